@@ -157,3 +157,8 @@ def csv_cells(record: Column, separator: str = ",") -> Column:
         ),
     ).otherwise(f)
     return F.when(record == "", F.array().cast("array<string>")).otherwise(F.transform(fields, unquote))
+
+
+def split_list(text: Column, separator: str = ";") -> Column:
+    """A joined list as an array; blank text is an empty list."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), separator, -1), lambda v: v != "")

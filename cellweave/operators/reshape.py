@@ -23,11 +23,11 @@ Step = Callable[[DataFrame, Layout], DataFrame]
 def concat_portions(df: DataFrame) -> DataFrame:
     """Portions of each table one after the other, by `part_ix`.
 
-    Pure arithmetic: a portion has fewer than 2**40 rows.
+    Pure arithmetic: a portion has fewer than 2**32 rows.
     """
     return df.select(
         "table_id",
-        (F.shiftleft(F.col("part_ix").cast("bigint"), 40) + F.col("row_ix")).alias("row_ix"),
+        (F.shiftleft(F.col("part_ix").cast("bigint"), 32) + F.col("row_ix")).alias("row_ix"),
         "cells",
     )
 
@@ -37,13 +37,18 @@ def sequence(
 ) -> DataFrame:
     """Concatenated tables through the steps in order, then cleaned cells."""
     df = df.select(*TABLE_COLUMNS)
-    layout = layout or layout_of(df)
+    if layout is None and not all(getattr(step, "row_local", False) for step in steps):
+        layout = layout_of(df)
     df = reduce(lambda d, step: step(d, layout), steps, df)
     return clean_rows()(df, layout) if clean else df
 
 
 def _row_local(change: Callable[[Column], Column]) -> Step:
-    return lambda df, layout: df.withColumn("cells", change(F.col("cells")))
+    def step(df: DataFrame, layout: Layout) -> DataFrame:
+        return df.withColumn("cells", change(F.col("cells")))
+
+    step.row_local = True
+    return step
 
 
 def _strings(values: list[Column]) -> Column:

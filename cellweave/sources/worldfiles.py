@@ -11,9 +11,16 @@ from cellweave.plans.records import worlds_from_csv, worlds_from_sector
 INDEX_COLUMNS = ["table_path", "pages", "tags"]
 
 
-def read_keyed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A rectangular CSV with titles, strings only; a blank cell is null."""
-    return spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+def read_keyed_csv(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """A rectangular CSV with titles, strings only; a blank cell is null.
+
+    `place` adds `_place`, which orders the rows of a file.
+    """
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
+    if not place:
+        return df
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return df.select("*", at.alias("_place"))
 
 
 def read_sector_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -34,15 +41,14 @@ def read_worlds(spark: SparkSession, source: str, path: str) -> DataFrame:
 
 
 def _last_per_key(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """The last row of each key in file order."""
+    """The last row of each key in file order, by `_place`."""
     latest = F.max_by(F.struct(*[v.alias(n) for n, v in values.items()]), F.col("_place"))
-    placed = df.withColumn("_place", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    return placed.groupBy(*keys).agg(latest.alias("v")).select(*keys, "v.*")
+    return df.groupBy(*keys).agg(latest.alias("v")).select(*keys, "v.*")
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Overrides per location and good; a blank cell overrides nothing."""
-    df = read_keyed_csv(spark, path).withColumnsRenamed({"Location": "location", "D66": "d66"})
+    df = read_keyed_csv(spark, path, place=True).withColumnsRenamed({"Location": "location", "D66": "d66"})
     return _last_per_key(
         df,
         ["location", "d66"],
@@ -57,7 +63,7 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 def read_illegality(spark: SparkSession, path: str) -> DataFrame:
     """The lowest law level at which a good is illegal."""
-    df = read_keyed_csv(spark, path).withColumnRenamed("D66", "d66")
+    df = read_keyed_csv(spark, path, place=True).withColumnRenamed("D66", "d66")
     return _last_per_key(df, ["d66"], {"illegal_level": text.parse_int(F.col("Illegal law level"))})
 
 

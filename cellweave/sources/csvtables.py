@@ -182,3 +182,27 @@ def flatten_recognised(df: DataFrame, json: str = "data") -> DataFrame:
         F.col("row_ix").cast("bigint").alias("row_ix"),
         F.transform("boxes", lambda b: b["text"]).alias("cells"),
     )
+
+
+def read_portions(items: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Portions of tables from recognised items and the regions that name them.
+
+    `items` are boxes with recogniser JSON in `data`; `regions` are boxes with
+    `(region_id, table_id, part_ix)`. A region takes the one item it holds;
+    regions with none or several come back as `(table_id, error)`.
+    """
+    from cellweave.operators.regions import items_in_regions, match_counts
+
+    boxes = items.select("item_id", "doc", "page", "method", "left", "top", "right", "bottom")
+    matches = items_in_regions(boxes, regions).select("region_id", "item_id")
+    counted = match_counts(regions, matches)
+    good = counted.filter("tables = 1").select("region_id")
+    names = regions.select("region_id", "table_id", "part_ix")
+    portions = flatten_recognised(
+        matches.join(good, "region_id", "left_semi")
+        .join(names, "region_id")
+        .join(items.select("item_id", "page", "data"), "item_id")
+        .select("table_id", "part_ix", "page", "data")
+    )
+    errors = counted.filter("tables <> 1").join(names, "region_id").select("table_id", F.col("outcome").alias("error"))
+    return portions, errors

@@ -147,13 +147,13 @@ def csv_cells(record: Column, separator: str = ",") -> Column:
     """Split one whole CSV record into cells; an empty record has none."""
     sep = re.escape(separator)
     fields = F.regexp_extract_all(
-        record, F.lit(rf'(?s)(?:\A|{sep})("(?:[^"]|"")*+"[^{sep}]*+|[^{sep}]*+)'), F.lit(1)
+        record, F.lit(rf'(?s)(?:\A|{sep})("[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'), F.lit(1)
     )
     unquote = lambda f: F.when(
         f.startswith('"'),
         F.concat(
-            F.replace(F.regexp_extract(f, r'(?s)\A"((?:[^"]|"")*+)"', 1), F.lit('""'), F.lit('"')),
-            F.regexp_extract(f, r'(?s)\A"(?:[^"]|"")*+"(.*)\z', 1),
+            F.replace(F.regexp_extract(f, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"')),
+            F.regexp_extract(f, r'(?s)\A"[^"]*+(?:""[^"]*+)*+"(.*)\z', 1),
         ),
     ).otherwise(f)
     return F.when(record == "", F.array().cast("array<string>")).otherwise(F.transform(fields, unquote))

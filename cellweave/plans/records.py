@@ -106,15 +106,15 @@ def law_levels(df: DataFrame, layout: Layout = Layout()) -> DataFrame:
     carry = lambda c: Running(
         "last", F.when(described | (F.col(c) != ""), F.struct(F.when(~described, F.col(c)).alias("v")))
     )
-    carried = running(df, {"weapons": carry("Weapons Banned"), "armour": carry("Armour")}, layout)
+    carried = running(df, {"_weapons": carry("Weapons Banned"), "_armour": carry("Armour")}, layout)
     return carried.select(
         "table_id",
         "row_ix",
         lowest.alias("min_level"),
         F.when(~level.endswith("+"), lowest).alias("max_level"),
         F.when(described, F.col("Weapons Banned")).alias("description"),
-        F.col("weapons.v").alias("weapons_banned"),
-        F.col("armour.v").alias("armour_banned"),
+        F.col("_weapons.v").alias("weapons_banned"),
+        F.col("_armour.v").alias("armour_banned"),
     )
 
 

@@ -148,36 +148,37 @@ def batch_sizes(regions: DataFrame) -> DataFrame:
 def non_overlapping_batches(regions: DataFrame) -> DataFrame:
     """Number the batches of each page so that no two regions of a batch overlap.
 
-    Each region, in order of `region_id`, takes the lowest batch without an
-    earlier region it overlaps. All regions whose earlier neighbours are settled
-    are settled in the same round; rounds are written out one by one. There are
-    as many rounds as the longest chain of regions overlapping one by one.
+    Gives `(region_id, batch)`. Any order of the regions will do: they are taken
+    in the order of a hash, and each gets the lowest batch without an earlier
+    region it overlaps. All regions whose earlier neighbours are settled get
+    theirs in the same round, so with the hashed order a long row of boxes, each
+    overlapping the next, takes few rounds. Every round is written out.
     """
-    edges = cut_lineage(overlapping(regions).select(F.col("region_a").alias("earlier"), F.col("region_b").alias("region_id")))
-    todo = cut_lineage(regions.select("region_id"))
-    settled = None
-    while todo.limit(1).count():
-        waiting = edges.join(todo.select(F.col("region_id").alias("earlier")), "earlier", "left_semi")
-        ready = todo.join(waiting.select("region_id").distinct(), "region_id", "left_anti")
-        if settled is None:
-            fresh = ready.withColumn("batch", F.lit(0).cast("bigint"))
-        else:
-            used = (
-                edges.join(settled.withColumnRenamed("region_id", "earlier"), "earlier")
-                .select("region_id", "batch")
-                .distinct()
-                .groupBy("region_id")
-                .agg(F.collect_list("batch").alias("used"))
-            )
-            free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")).cast("array<bigint>"), F.col("used")))
-            fresh = ready.join(used, "region_id", "left").select(
-                "region_id", F.when(F.col("used").isNull(), 0).otherwise(free).cast("bigint").alias("batch")
-            )
-        settled = cut_lineage(fresh if settled is None else settled.unionByName(fresh))
-        todo = cut_lineage(todo.join(settled, "region_id", "left_anti"))
-    return regions.select("region_id").join(settled, "region_id") if settled is not None else todo.withColumn(
-        "batch", F.lit(0).cast("bigint")
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    first = rank("region_a") < rank("region_b")
+    pairs = overlapping(regions).select(
+        F.when(first, F.col("region_a")).otherwise(F.col("region_b")).alias("earlier"),
+        F.when(first, F.col("region_b")).otherwise(F.col("region_a")).alias("region_id"),
     )
+    pairs = cut_lineage(pairs)
+    state = cut_lineage(regions.select("region_id", F.lit(None).cast("bigint").alias("batch")))
+    while state.filter("batch is null").limit(1).count():
+        unsettled = state.filter("batch is null").select("region_id")
+        neighbours = (
+            pairs.join(unsettled, "region_id", "left_semi")
+            .join(state.withColumnRenamed("region_id", "earlier"), "earlier")
+            .groupBy("region_id")
+            .agg(F.max(F.col("batch").isNull()).alias("waits"), F.collect_set("batch").alias("used"))
+        )
+        upto = F.sequence(F.lit(0).cast("bigint"), F.size("used").cast("bigint"))
+        free = F.coalesce(F.array_min(F.array_except(upto, F.col("used"))), F.lit(0))
+        state = cut_lineage(
+            state.join(neighbours, "region_id", "left").select(
+                "region_id",
+                F.coalesce("batch", F.when(~F.coalesce("waits", F.lit(False)), free)).cast("bigint").alias("batch"),
+            )
+        )
+    return state
 
 
 def reading_order(df: DataFrame, group: str) -> DataFrame:

@@ -48,10 +48,13 @@ class Formats:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Both sides of the goods by worlds product are dealt into this many blocks."""
+    """Both sides of the goods by worlds product are dealt into this many blocks.
+
+    Worlds go into as many as there are shuffle partitions unless said otherwise.
+    """
 
     goods: int = 4
-    worlds: int = 8
+    worlds: int | None = None
 
 
 def world_views(worlds: DataFrame, trade_codes: DataFrame, ignore_unknown: bool = False) -> DataFrame:
@@ -93,8 +96,9 @@ def product(goods: DataFrame, worlds: DataFrame, world_key: str = "world_ix", bl
     """
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    g = goods.withColumn("_g", deal("d66", blocks.goods)).withColumn("_w", every(blocks.worlds))
-    w = worlds.withColumn("_w", deal(world_key, blocks.worlds)).withColumn("_g", every(blocks.goods))
+    world_blocks = blocks.worlds or int(goods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = goods.withColumn("_g", deal("d66", blocks.goods)).withColumn("_w", every(world_blocks))
+    w = worlds.withColumn("_w", deal(world_key, world_blocks)).withColumn("_g", every(blocks.goods))
     return g.join(w, ["_g", "_w"]).drop("_g", "_w")
 
 

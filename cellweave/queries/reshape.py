@@ -85,7 +85,8 @@ def split_column(spark, d):
 
 
 def transpose(spark, d):
-    return _run(document_words(spark, d), [reshape.transpose()])
+    lines = document_lines(spark, d)
+    return _run(lines.select("table_id", "row_ix", F.split("line", ", ", -1).alias("cells")), [reshape.transpose()])
 
 
 def transpose_long_tables(spark, d):
@@ -231,7 +232,7 @@ FROM (SELECT *, string_split(props, ':') AS p FROM events)""",
     ),
     "t8_transpose": Query(
         transpose,
-        f"""WITH {DOCUMENT_WORDS},
+        f"""WITH {DOCUMENT_LINES}, words AS (SELECT table_id, row_ix, string_split(line, ', ') AS cells FROM lines),
 widths AS (SELECT table_id, max(len(cells)) AS width FROM words GROUP BY table_id),
 cols AS (SELECT table_id, unnest(range(width)) AS c FROM widths)
 SELECT w.table_id, c AS row_ix, w.row_ix AS col_ix, coalesce(w.cells[c + 1], '') AS cell

@@ -146,8 +146,9 @@ def csv_line(cells: Column) -> Column:
 def csv_cells(record: Column, separator: str = ",") -> Column:
     """Split one whole CSV record into cells; an empty record has none."""
     sep = re.escape(separator)
+    # A separator in front of every field, so that no match is empty.
     fields = F.regexp_extract_all(
-        record, F.lit(rf'(?s)(?:\A|{sep})("[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'), F.lit(1)
+        F.concat(F.lit(separator), record), F.lit(rf'(?s){sep}("[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'), F.lit(1)
     )
     unquote = lambda f: F.when(
         f.startswith('"'),

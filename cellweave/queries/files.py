@@ -18,13 +18,13 @@ def document_rows(spark, d):
     """Documents as rows of a table per source: language, text with line breaks and quotes, length."""
     docs = load(spark, d, "documents")
     return rows(
-        docs, F.col("source"), F.col("doc_id"), [F.col("lang"), F.concat(F.lit('say "'), "text", F.lit('", then')), F.col("n_chars")]
+        docs, F.col("source"), F.col("doc_id"), [F.when(F.col("lang") == "fr", "").otherwise(F.col("lang")), F.concat(F.lit('say "'), "text", F.lit('", then')), F.col("n_chars")]
     )
 
 
 DOCUMENT_ROWS = """doc_rows AS (
     SELECT source AS table_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_ix,
-           [lang, 'say "' || text || '", then', CAST(n_chars AS VARCHAR)] AS cells FROM documents)"""
+           [CASE WHEN lang = 'fr' THEN '' ELSE lang END, 'say "' || text || '", then', CAST(n_chars AS VARCHAR)] AS cells FROM documents)"""
 
 
 def csv_round_trip(spark, d):
@@ -261,7 +261,7 @@ SELECT CAST(table_id AS BIGINT) AS doc_id, row_ix, len(string_split(line, ' '))
     ),
     "k1_csv_text": Query(
         csv_text,
-        f"""SELECT source AS table_id, doc_id AS row_ix, lang || ',' || {_csv_cell("t")} || ',' || n_chars AS value
+        f"""SELECT source AS table_id, doc_id AS row_ix, CASE WHEN lang = 'fr' THEN '' ELSE lang END || ',' || {_csv_cell("t")} || ',' || n_chars AS value
 FROM (SELECT *, 'say "' || text || '", then' AS t FROM documents)""",
     ),
     "k2_json_to_csv": Query(

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 # (?U): \s, \w and \d follow Unicode, so a no-break space is space too.
 SPACES = r"(?U)\s+"
+# Only the runs of white space that are not a single plain space already.
+UNCLEAN_SPACES = r"(?U) \s+|[^\S ]\s*"
 
 
 def clean_text(text: Column) -> Column:
     """Strip, and turn every run of white space into one space."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return F.trim(F.regexp_replace(text, UNCLEAN_SPACES, " "))
 
 
 def clean_cells(cells: Column) -> Column:

@@ -146,12 +146,12 @@ def world_source(spark, d):
 
 
 def recognised_json(spark, d):
-    """Recogniser output per document: a row per line, a boxed text per word."""
+    """Recogniser output per document: a row per line, a boxed text per phrase."""
     box = lambda w, i: F.struct(
         F.lit(1.5).alias("top"), i.cast("double").alias("left"), F.length(w).cast("double").alias("width"), F.lit(9.0).alias("height"), w.alias("text")
     )
     docs = load(spark, d, "documents").select(
-        "doc_id", F.to_json(F.transform(F.split("text", "\n", -1), lambda line: F.transform(F.split(line, " ", -1), box))).alias("data")
+        "doc_id", F.to_json(F.transform(F.split("text", "\n", -1), lambda line: F.transform(F.split(line, ", ", -1), box))).alias("data")
     )
     flat = csvtables.flatten_recognised(docs)
     return flat.select("doc_id", "row_ix", F.size("cells").cast("bigint").alias("n_cells"), F.array_join("cells", "|").alias("line"))
@@ -257,7 +257,7 @@ FROM supplier, (VALUES ('csv'), ('travellermap_tsv_file')) v(source) GROUP BY 1,
     "s10_flatten_recognised": Query(
         recognised_json,
         f"""WITH {DOCUMENT_LINES}
-SELECT CAST(table_id AS BIGINT) AS doc_id, row_ix, len(string_split(line, ' ')) AS n_cells, replace(line, ' ', '|') AS line FROM lines""",
+SELECT CAST(table_id AS BIGINT) AS doc_id, row_ix, len(string_split(line, ', ')) AS n_cells, replace(line, ', ', '|') AS line FROM lines""",
     ),
     "k1_csv_text": Query(
         csv_text,

@@ -120,6 +120,41 @@ def wrap_transpose(spark, d):
     return _run(document_words(spark, d), [reshape.wrap_row_every_n(5), reshape.transpose()], clean=True)
 
 
+# Long tables: all documents of a language are one table, cut into chunks -----------
+
+
+def _long_tables(spark, d):
+    """Headed lines by language; the order is sparse, as after concatenating portions."""
+    docs = load(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    head = F.regexp_extract("line", r"\A([A-Z]\S*)", 1)
+    df = docs.select(
+        F.col("lang").alias("table_id"),
+        (F.shiftleft("doc_id", 20) + F.col("n")).alias("row_ix"),
+        F.array(head, F.length("line").cast("string")).alias("cells"),
+    )
+    return df, layout_of(df, bits=10)
+
+
+LONG_TABLES = """long_rows AS (
+    SELECT lang AS table_id, doc_id * 1048576 + generate_subscripts(ls, 1) - 1 AS row_ix, unnest(ls) AS line
+    FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+headed AS (SELECT table_id, row_ix, regexp_extract(line, '^([A-Z][^ \\t\\n\\f\\r]*)', 1) AS head,
+                  CAST(length(line) AS VARCHAR) AS len FROM long_rows)"""
+
+
+def _long_run(steps):
+    def run(spark, d):
+        df, layout = _long_tables(spark, d)
+        return to_cells(renumber(reshape.sequence(df, steps, clean=False, layout=layout), layout))
+
+    return run
+
+
+fold_long_tables = _long_run([reshape.fold_rows([StaticRowCounts((3,)), EmptyColumn(0)])])
+wrap_long_tables = _long_run([reshape.wrap_row_every_n(3)])
+prepend_long_tables = _long_run([reshape.prepend_row(["Head", "Length"])])
+
+
 # Groupers ----------------------------------------------------------------------
 
 
@@ -287,6 +322,34 @@ slots AS (SELECT table_id, unnest(range(CAST(least(n, 5) * ((n + 4) // 5) AS BIG
 SELECT slots.table_id, s // h AS row_ix, s % h AS col_ix,
        trim(regexp_replace(coalesce(cell, ''), '{SPACE_CLASS}', ' ', 'g'), ' ') AS cell
 FROM slots LEFT JOIN placed ON placed.table_id = slots.table_id AND placed.k = (s % h) * 5 + s // h""",
+    ),
+    "t5_prepend_long_tables": Query(
+        prepend_long_tables,
+        cells_sql(
+            f"""{LONG_TABLES}, both_kinds AS (SELECT table_id, row_ix, [head, len] AS cells FROM headed
+    UNION ALL SELECT DISTINCT table_id, -1, ['Head', 'Length'] FROM headed)""",
+            "both_kinds",
+        ),
+    ),
+    "t6_fold_long_tables": Query(
+        fold_long_tables,
+        cells_sql(
+            f"""{LONG_TABLES},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_ix) - 1 AS rank FROM headed),
+groups AS (SELECT *, CASE WHEN rank < 3 THEN -1 ELSE sum(CASE WHEN rank >= 3 AND head <> '' THEN 1 ELSE 0 END)
+               OVER (PARTITION BY table_id ORDER BY row_ix) END AS g FROM ranked),
+folded AS (SELECT table_id, g, [coalesce(string_agg(nullif(head, ''), ' ' ORDER BY row_ix), ''),
+                                string_agg(len, ' ' ORDER BY row_ix)] AS cells FROM groups GROUP BY table_id, g)""",
+            "folded",
+            "g",
+        ),
+    ),
+    "t9_wrap_long_tables": Query(
+        wrap_long_tables,
+        f"""WITH {LONG_TABLES},
+flat AS (SELECT table_id, row_ix, 0 AS p, head AS cell FROM headed UNION ALL SELECT table_id, row_ix, 1, len FROM headed),
+placed AS (SELECT table_id, cell, row_number() OVER (PARTITION BY table_id ORDER BY row_ix, p) - 1 AS k FROM flat)
+SELECT table_id, k // 3 AS row_ix, k % 3 AS col_ix, cell FROM placed""",
     ),
     "g1_all_rows": Query(_groups([StaticRowCounts((2,)), AllRows()]), _groups_sql("CASE WHEN row_ix < 2 THEN 0 ELSE 1 END")),
     "g2_static_row_counts": Query(

@@ -166,7 +166,8 @@ def json_to_rows(df: DataFrame, json: str = "json") -> tuple[DataFrame, DataFram
     )
 
 
-RECOGNISED = "array<array<struct<top:float,left:float,width:float,height:float,text:string>>>"
+# Of the boxed cells only the text is read.
+RECOGNISED = "array<array<struct<text:string>>>"
 
 
 def flatten_recognised(df: DataFrame, json: str = "data") -> DataFrame:

@@ -17,8 +17,6 @@ all steps, otherwise running values are built chunk by chunk (`running`).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,31 +78,32 @@ def running(
     """Add running values per key in row order.
 
     Small tables: one window per table. Otherwise the order column is cut into
-    chunks of 2**bits values, hence at most as many rows: a window per
-    (key, chunk) gives the local running values, and the chunk totals, one
-    narrow row per chunk, are accumulated and joined back as offsets.
+    chunks of 2**bits values, hence at most as many rows. A window per
+    (key, chunk) gives the local running values; what came before a chunk is
+    the running value over the chunk totals, worked out in the same way, so no
+    window ever holds more than 2**bits rows, however sparse the order is.
     """
     if not layout.chunked:
         return _running_within(df, values, keys, order, reverse)
 
+    # The input is read twice, for the totals and for the rows.
     df = cut_lineage(df).withColumn("_chunk", F.shiftright(order, layout.bits))
     chunk_keys = (*keys, "_chunk")
     local = _running_within(df, {f"_local_{n}": v for n, v in values.items()}, chunk_keys, order, reverse)
 
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("_chunk") if reverse else F.asc("_chunk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = df.groupBy(*chunk_keys).agg(
-        *[_total(v, order, reverse).alias(f"_total_{n}") for n, v in values.items()]
-    )
-    offsets = totals.select(
-        *chunk_keys,
-        *[_over(v.kind, F.col(f"_total_{n}"), before).alias(f"_before_{n}") for n, v in values.items()],
-    ).filter(reduce(lambda a, b: a | b, [F.col(f"_before_{n}").isNotNull() for n in values]))
+    totals = cut_lineage(
+        df.groupBy(*chunk_keys).agg(*[_total(v, order, reverse).alias(f"_total_{n}") for n, v in values.items()])
+    ).withColumnRenamed("_chunk", "_at")
+    before = running(
+        totals,
+        {f"_before_{n}": Running(v.kind, F.col(f"_total_{n}"), inclusive=False) for n, v in values.items()},
+        layout_of(totals, keys, layout.bits),
+        keys,
+        order="_at",
+        reverse=reverse,
+    ).select(*keys, F.col("_at").alias("_chunk"), *[f"_before_{n}" for n in values])
 
-    joined = local.join(offsets, list(chunk_keys), "left")
+    joined = local.join(before, list(chunk_keys), "left")
     for name, v in values.items():
         here, earlier = F.col(f"_local_{name}"), F.col(f"_before_{name}")
         if v.kind == "sum":
@@ -119,24 +118,19 @@ def running(
 
 def _running_within(df, values, keys, order, reverse):
     w = Window.partitionBy(*keys).orderBy(F.desc(order) if reverse else F.asc(order))
-    return df.select(
-        "*",
-        *[
-            _over(v.kind, v.value, w.rowsBetween(Window.unboundedPreceding, 0 if v.inclusive else -1), True).alias(n)
-            for n, v in values.items()
-        ],
-    )
-
-
-def _over(kind: str, value: Column, window, zero: bool = False) -> Column:
-    if kind == "sum":
-        total = F.sum(value).over(window)
-        return F.coalesce(total, F.lit(0)) if zero else total
-    if kind == "max":
-        return F.max(value).over(window)
-    if kind == "last":
-        return F.last(value, ignorenulls=True).over(window)
-    raise ValueError(f"unknown running value {kind!r}")
+    columns = []
+    for name, v in values.items():
+        frame = w.rowsBetween(Window.unboundedPreceding, 0 if v.inclusive else -1)
+        if v.kind == "sum":
+            value = F.coalesce(F.sum(v.value).over(frame), F.lit(0))
+        elif v.kind == "max":
+            value = F.max(v.value).over(frame)
+        elif v.kind == "last":
+            value = F.last(v.value, ignorenulls=True).over(frame)
+        else:
+            raise ValueError(f"unknown running value {v.kind!r}")
+        columns.append(value.alias(name))
+    return df.select("*", *columns)
 
 
 def _total(v: Running, order: str, reverse: bool) -> Column:

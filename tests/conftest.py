@@ -18,8 +18,8 @@ def spark():
 
 @pytest.fixture(params=["whole", "chunked"])
 def layout(request):
-    """Both ways to run: tables known to be small, and tables cut into chunks of two rows."""
-    return Layout(chunked=request.param == "chunked", bits=1)
+    """Both ways to run: tables known to be small, and tables cut into chunks of four rows."""
+    return Layout(chunked=request.param == "chunked", bits=2)
 
 
 @pytest.fixture(scope="session")

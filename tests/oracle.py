@@ -28,9 +28,11 @@ def plain(value):
     return value
 
 
-def compare(spark, con, query, sf_dir: str) -> str | None:
+def compare(spark, con, query, sf_dir: str, check_plan=None) -> str | None:
     """None where both sides agree, else what differs."""
     df = query.run(spark, sf_dir)
+    if check_plan:
+        check_plan(df._jdf.queryExecution().executedPlan().toString())
     got = df.collect()
     if query.sql is None:
         return None

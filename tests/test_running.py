@@ -12,8 +12,8 @@ from cellweave.tables import Layout, Running, in_order, in_order_sorted, ordered
 def data(spark):
     rng = random.Random(5)
     rows = []
-    for table, n in {"a": 37, "b": 3, "c": 1}.items():
-        places = sorted(rng.sample(range(100), n))
+    for table, n in {"a": 47, "b": 3, "c": 1}.items():
+        places = sorted(rng.sample(range(600), n))
         rows += [(table, p, rng.randint(-3, 3), rng.choice([None, "x", "y", "z"])) for p in places]
     rng.shuffle(rows)
     return rows, spark.createDataFrame(rows, "table_id string, row_ix bigint, n bigint, s string").repartition(3)
@@ -57,7 +57,7 @@ def test_in_order(data):
         expected.update({(table, r[1]): i for i, r in enumerate(placed)})
     for out in (
         in_order(df, ("table_id",), order, "place"),
-        in_order_sorted(df, ("table_id",), order, Layout(True, bits=1), "place"),
+        in_order_sorted(df, ("table_id",), order, Layout(True, bits=2), "place"),
     ):
         assert {(r.table_id, r.row_ix): r.place for r in out.collect()} == expected
 

@@ -186,10 +186,10 @@ def reading_order(df: DataFrame, group: str) -> DataFrame:
 
     A new line starts where a box is 50 points or more below the one before it.
     """
+    layout = layout_of(df, (group,))
     by_height = in_order(
-        df, (group,), [F.col("page"), F.col("y"), F.col("x"), F.col("region_id")], "by_height"
+        df, (group,), [F.col("page"), F.col("y"), F.col("x"), F.col("region_id")], "by_height", layout
     )
-    layout = layout_of(df, (group,))
     above = running(
         by_height, {"above": Running("last", F.struct("page", "y"), False)}, layout, (group,), order="by_height"
     )
@@ -202,7 +202,7 @@ def reading_order(df: DataFrame, group: str) -> DataFrame:
         above, {"line": Running("sum", F.when(new_line, 1).otherwise(0))}, layout, (group,), order="by_height"
     )
     return in_order(
-        lines, (group,), [F.col("line"), F.col("x"), F.col("by_height")], "position"
+        lines, (group,), [F.col("line"), F.col("x"), F.col("by_height")], "position", layout
     ).drop("above", "by_height")
 
 

@@ -148,14 +148,20 @@ def renumber(df: DataFrame, layout: Layout, keys: tuple[str, ...] = ("table_id",
     return ranked.withColumn("row_ix", F.col("_rank")).drop("_rank")
 
 
-def in_order(df: DataFrame, keys: tuple[str, ...], order: list[Column], name: str = "row_ix") -> DataFrame:
+def in_order(
+    df: DataFrame,
+    keys: tuple[str, ...],
+    order: list[Column],
+    name: str = "row_ix",
+    layout: Layout | None = None,
+) -> DataFrame:
     """Number rows within `keys` by any sort order, 0-based and dense.
 
     `order` must decide every tie. Small groups take a plain window. Otherwise
     one global sort spreads even a single hot key over many tasks, the sorted
     rows get increasing ids, and those are made dense chunk by chunk.
     """
-    layout = layout_of(df, keys)
+    layout = layout or layout_of(df, keys)
     if not layout.chunked:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))

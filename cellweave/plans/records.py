@@ -149,6 +149,7 @@ def worlds_from_csv(df: DataFrame) -> DataFrame:
         ).alias("social"),
         null(EXT_TYPE).alias("ext"),
         null(SYSTEM_TYPE).alias("system"),
+        *[c for c in df.columns if c == "_place"],
     )
 
 
@@ -192,6 +193,7 @@ def worlds_from_sector(df: DataFrame) -> DataFrame:
             text.parse_int(value("W")).alias("num_worlds"),
             text.split_words(value("Stars")).alias("stellar"),
         ).alias("system"),
+        *[c for c in df.columns if c == "_place"],
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellweave.plans.records import worlds_from_sector
 from cellweave.queries import Query
 from cellweave.queries.catalog import SUPPLIER_BRANDS
 from cellweave.queries.inputs import CONVERSATION_PORTIONS, DOCUMENT_LINES, conversation_portions, load, rows
@@ -83,10 +84,20 @@ SECTOR_COLUMNS = {
 }
 
 
+def _sector_rows(spark, d):
+    return worlds_csv_rows(spark, d).selectExpr(*[f"cast({e} as string) AS `{c}`" for c, e in SECTOR_COLUMNS.items()])
+
+
 def sector_tsv(spark, d):
-    lines = worlds_csv_rows(spark, d).selectExpr(*[f"cast({e} as string) AS `{c}`" for c, e in SECTOR_COLUMNS.items()])
-    path = _keyed_file(lines, "sector", "\t", "")
-    df = worldfiles.read_worlds(spark, "travellermap_tsv_file", path)
+    path = _keyed_file(_sector_rows(spark, d), "sector", "\t", "")
+    return _flat_sector(worldfiles.read_worlds(spark, "travellermap_tsv_file", path))
+
+
+def sector_rows(spark, d):
+    return _flat_sector(worlds_from_sector(_sector_rows(spark, d)))
+
+
+def _flat_sector(df):
     n = lambda c: F.col(c).cast("bigint")
     words = lambda c: F.array_join(c, ";")
     return df.select(
@@ -136,7 +147,7 @@ def index_csv(spark, d):
 def world_source(spark, d):
     """The source is picked by name; both give the same worlds."""
     plain = worlds_csv_rows(spark, d)
-    tsv = plain.selectExpr(*[f"cast({e} as string) AS `{c}`" for c, e in SECTOR_COLUMNS.items()])
+    tsv = _sector_rows(spark, d)
     found = {
         "csv": worldfiles.read_worlds(spark, "csv", _keyed_file(plain.drop("s_suppkey"), "worlds")),
         "travellermap_tsv_file": worldfiles.read_worlds(spark, "travellermap_tsv_file", _keyed_file(tsv, "sector", "\t", "")),
@@ -206,6 +217,15 @@ listed AS (SELECT s_suppkey, string_agg(code, ':' ORDER BY code) AS codes FROM b
 flat AS (SELECT s_suppkey AS k, s_name, s_nationkey AS nk, lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') AS loc,
                 coalesce(codes, '') AS codes FROM supplier LEFT JOIN listed USING (s_suppkey))"""
 
+SECTOR_SQL = f"""WITH {WORLDS_FLAT_SQL}
+SELECT '"' || s_name || ' of' AS name, CASE k % 3 WHEN 0 THEN 'Amber' WHEN 1 THEN 'Red' ELSE '' END AS travel_code,
+       substr('ABCDEX', nk % 6 + 1, 1) AS starport, 'Spin' AS sector, CASE k % 3 WHEN 0 THEN NULL ELSE 'A' END AS subsector,
+       CAST(substr(loc, 1, 2) AS BIGINT) AS x, CAST(substr(loc, 3) AS BIGINT) AS y, 'ZhIN' AS allegiance,
+       CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'K' WHEN 2 THEN 'K;M' WHEN 3 THEN 'K;M' ELSE 'K;M;N' END AS bases, '' AS nobility,
+       k % 10 AS pop, replace(codes, ':', ';') AS codes, '65 9' AS cultural, 'C' || (k % 10) || '3-1' AS economic,
+       k % 6 - 3 AS importance, k * 7 - 300 AS ru, CAST(1 AS BIGINT) AS belts, k % 4 AS giants, k % 14 AS worlds,
+       CASE k % 2 WHEN 0 THEN 'G8;V;M1;V' ELSE '' END AS stars FROM flat"""
+
 QUERIES = {
     "s1_k1_csv_tables": Query(
         csv_round_trip,
@@ -223,17 +243,8 @@ SELECT table_id, row_ix, CAST(generate_subscripts(cells, 1) - 1 AS BIGINT) AS co
 SELECT s_name AS name, CAST(substr(loc, 1, 2) AS BIGINT) AS x, CAST(substr(loc, 3) AS BIGINT) AS y,
        substr('ABCDEX', nk % 6 + 1, 1) AS starport, CAST(nk % 10 AS BIGINT) AS law_level, k % 7 AS tech_level, codes FROM flat""",
     ),
-    "s4_sector_tsv": Query(
-        sector_tsv,
-        f"""WITH {WORLDS_FLAT_SQL}
-SELECT '"' || s_name || ' of' AS name, CASE k % 3 WHEN 0 THEN 'Amber' WHEN 1 THEN 'Red' ELSE '' END AS travel_code,
-       substr('ABCDEX', nk % 6 + 1, 1) AS starport, 'Spin' AS sector, CASE k % 3 WHEN 0 THEN NULL ELSE 'A' END AS subsector,
-       CAST(substr(loc, 1, 2) AS BIGINT) AS x, CAST(substr(loc, 3) AS BIGINT) AS y, 'ZhIN' AS allegiance,
-       CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'K' WHEN 2 THEN 'K;M' WHEN 3 THEN 'K;M' ELSE 'K;M;N' END AS bases, '' AS nobility,
-       k % 10 AS pop, replace(codes, ':', ';') AS codes, '65 9' AS cultural, 'C' || (k % 10) || '3-1' AS economic,
-       k % 6 - 3 AS importance, k * 7 - 300 AS ru, CAST(1 AS BIGINT) AS belts, k % 4 AS giants, k % 14 AS worlds,
-       CASE k % 2 WHEN 0 THEN 'G8;V;M1;V' ELSE '' END AS stars FROM flat""",
-    ),
+    "s4_sector_tsv": Query(sector_tsv, SECTOR_SQL),
+    "n2_sector_worlds": Query(sector_rows, SECTOR_SQL),
     "s5_overrides_csv": Query(
         overrides_csv,
         f"""WITH {OVERRIDES_SQL}

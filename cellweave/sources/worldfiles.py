@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import text
 from cellweave.plans.records import worlds_from_csv, worlds_from_sector
+from cellweave.tables import in_order
 
 INDEX_COLUMNS = ["table_path", "pages", "tags"]
 
@@ -17,27 +18,37 @@ def read_keyed_csv(spark: SparkSession, path: str, place: bool = False) -> DataF
     `place` adds `_place`, which orders the rows of a file.
     """
     df = spark.read.option("header", True).option("escape", '"').csv(path)
-    if not place:
-        return df
+    return df.select("*", _place()) if place else df
+
+
+def _place() -> Column:
     at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
-    return df.select("*", at.alias("_place"))
+    return at.alias("_place")
 
 
-def read_sector_tsv(spark: SparkSession, path: str) -> DataFrame:
+def read_sector_tsv(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
     """Tab separated, no quoting, blank lines skipped."""
-    return spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    df = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    return df.select("*", _place()) if place else df
 
 
 WORLD_SOURCES = {
-    "csv": lambda spark, path: worlds_from_csv(read_keyed_csv(spark, path)),
-    "travellermap_tsv_file": lambda spark, path: worlds_from_sector(read_sector_tsv(spark, path)),
+    "csv": lambda spark, path: worlds_from_csv(read_keyed_csv(spark, path, place=True)),
+    "travellermap_tsv_file": lambda spark, path: worlds_from_sector(read_sector_tsv(spark, path, place=True)),
 }
 
 
 def read_worlds(spark: SparkSession, source: str, path: str) -> DataFrame:
     if source not in WORLD_SOURCES:
         raise ValueError(f"unknown world data source {source!r}, want one of {sorted(WORLD_SOURCES)}")
-    return WORLD_SOURCES[source](spark, path)
+    return WORLD_SOURCES[source](spark, path).drop("_place")
+
+
+def read_numbered_worlds(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """Worlds with `world_ix`, their place in the file."""
+    if source not in WORLD_SOURCES:
+        raise ValueError(f"unknown world data source {source!r}, want one of {sorted(WORLD_SOURCES)}")
+    return in_order(WORLD_SOURCES[source](spark, path), (), [F.col("_place")], "world_ix").drop("_place")
 
 
 def _last_per_key(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Base-34 digits (no I, no O), starport letters, and the numbers
-# of a world profile in order.
+# Base-34 digits (no I, no O), starport letters, the numbers of a
+# world profile in order, and how ranges look.
 DIGITS = "0123456789ABCDEFGHJKLMNPQRSTUVWXYZ"
 STARPORTS = "ABCDEX"
 PROFILE_NUMBERS = ["size", "atmosphere", "hydrographic", "population", "government", "law_level", "tech_level"]
 
+RANGE_FROM, RANGE_UPTO = r"\A(\d+)[+]\z", r"\A(\d+)[-–]\z"
+RANGE_BOTH, RANGE_ONE = r"\A(\d+)[-–](\d+)\z", r"\A([-+]?\d+)\z"
+
 
 def parse_digit(char: Column) -> Column:
     """Value of one base-34 digit; null for anything else."""
@@ -55,10 +58,8 @@ def parse_range(text: Column) -> Column:
     `` any, `a+` from a, `a-` up to a, `a-b`, `a`; an en dash works as a hyphen.
     Null where malformed.
     """
-    least, most = r"\A(\d+)[+]\z", r"\A(\d+)[-–]\z"
-    both, one = r"\A(\d+)[-–](\d+)\z", r"\A([-+]?\d+)\z"
-    lo = F.coalesce(_number(text, least), _number(text, both), _number(text, one))
-    hi = F.coalesce(_number(text, most), _number(text, both, 2), _number(text, one))
+    lo = F.coalesce(_number(text, RANGE_FROM), _number(text, RANGE_BOTH), _number(text, RANGE_ONE))
+    hi = F.coalesce(_number(text, RANGE_UPTO), _number(text, RANGE_BOTH, 2), _number(text, RANGE_ONE))
     known = (text == "") | lo.isNotNull() | hi.isNotNull()
     return F.when(known, F.struct(lo.alias("lo"), hi.alias("hi")))
 

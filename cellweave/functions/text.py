@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 # (?U): \s, \w and \d follow Unicode, so a no-break space is space too.
 SPACES = r"(?U)\s+"
-# Only the runs of white space that are not a single plain space already.
-UNCLEAN_SPACES = r"(?U) \s+|[^\S ]\s*"
+
+# How a modifier and an amount of credits look.
+MODIFIER_PATTERN = r"\A(?s:(.+)) ([-+]\d+)\z"
+CREDITS_PATTERN = r"\AM?Cr([-+]?\d+)\z"
 
 
 def clean_text(text: Column) -> Column:
     """Strip, and turn every run of white space into one space."""
-    return F.trim(F.regexp_replace(text, UNCLEAN_SPACES, " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def clean_cells(cells: Column) -> Column:
@@ -90,7 +92,7 @@ def parse_set(text: Column) -> Column:
 
 def parse_credits(text: Column) -> Column:
     """`Cr1234` or `MCr30` as a number of credits; null where malformed."""
-    number = F.regexp_extract(text, r"\AM?Cr([-+]?\d+)\z", 1).try_cast("bigint")
+    number = F.regexp_extract(text, CREDITS_PATTERN, 1).try_cast("bigint")
     return F.when(text.startswith("MCr"), number * 1_000_000).otherwise(number)
 
 
@@ -99,7 +101,7 @@ def parse_modifiers(text: Column) -> Column:
 
     Null where any item is malformed.
     """
-    item = r"\A(?s:(.+)) ([-+]\d+)\z"
+    item = MODIFIER_PATTERN
     parts = F.split(text, ",", -1)
     entry = lambda s: F.struct(
         F.trim(F.regexp_extract(s, item, 1)).alias("name"), F.regexp_extract(s, item, 2).try_cast("int").alias("dm")

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 from cellweave.tables import in_order
 
+# What names, tags and node ids may look like, and how the stem of
+# a craft's file tells its category.
 NAME_PATTERN = r"\A[a-z0-9_-]+\z"
 TAG_PATTERN = r"\A[a-z0-9_/-]+\z"
 NODE_PATTERN = r"\A[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?\z"
+SMALL_CRAFT_STEM, SMALL_CRAFT_TAG = r"\A(.+)-small-craft", "category/small-craft"
+TYPE_STEM, TYPE_TAG = r"\A(.+)-type-(.+)\z", "spacecraft-type/"
+CLASS_STEM, CLASS_TAG = r"\A(.+)-class-(.+)\z", "spacecraft-class/"
 
 
 def _literals(values: list[str]) -> Column:
@@ -207,13 +212,11 @@ def name_by_position(
 
 def craft_name_and_category(stem: Column) -> tuple[Column, Column]:
     """Split a file stem such as `scout-type-s` into name and category tag."""
+    named = lambda pattern, tag: F.concat(F.lit(tag), F.regexp_extract(stem, pattern, 2))
     rules = [
-        (r"\A(.+)-small-craft", F.lit("category/small-craft")),
-        (r"\A(.+)-type-(.+)\z", F.concat(F.lit("spacecraft-type/"), F.regexp_extract(stem, r"\A(.+)-type-(.+)\z", 2))),
-        (
-            r"\A(.+)-class-(.+)\z",
-            F.concat(F.lit("spacecraft-class/"), F.regexp_extract(stem, r"\A(.+)-class-(.+)\z", 2)),
-        ),
+        (SMALL_CRAFT_STEM, F.lit(SMALL_CRAFT_TAG)),
+        (TYPE_STEM, named(TYPE_STEM, TYPE_TAG)),
+        (CLASS_STEM, named(CLASS_STEM, CLASS_TAG)),
     ]
     name, category = stem, F.lit("")
     for pattern, tag in reversed(rules):

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from cellweave.functions.text import clean_edges, join_cells, join_filled_cells
 from cellweave.tables import Layout, Running, in_order, ordered_items, running
 
+# How bullets, items, pairs and title words look.
 BULLET = "• "
+ITEM_PATTERN = r"(?d)• ([^:]+): (.+)"
+PAIR_PATTERN = r"([^,\d]+)(\d+)"
+TITLE_WORD = "[A-Z][a-z]+"
 
 
 def lines_of(df: DataFrame, keep_empty_cells: bool = True) -> DataFrame:
@@ -72,7 +76,7 @@ def suffix_sections(lines: DataFrame, suffix: str, list_marker: str, layout: Lay
 
 def name_level_pairs(list_text: Column) -> Column:
     """`Admin 1, Vacc Suit 0` as an array of `(name, level)`."""
-    pair = F.lit(r"([^,\d]+)(\d+)")
+    pair = F.lit(PAIR_PATTERN)
     names = F.regexp_extract_all(list_text, pair, F.lit(1))
     levels = F.regexp_extract_all(list_text, pair, F.lit(2))
     return F.zip_with(
@@ -88,7 +92,7 @@ def is_title_heading(line: Column, except_line: str) -> Column:
     return (
         F.size(words).between(1, 2)
         & (line != except_line)
-        & F.forall(words, lambda w: w.rlike("[A-Z][a-z]+"))
+        & F.forall(words, lambda w: w.rlike(TITLE_WORD))
     )
 
 
@@ -166,8 +170,7 @@ def section_items(marked: DataFrame, layout: Layout) -> DataFrame:
         marked.filter("part = 'item'"), ["table_id", "section_ix", "item_ix"], "row_ix", F.col("line"), layout
     )
     whole = F.array_join("items", " ")
-    pattern = r"(?d)• ([^:]+): (.+)"
-    field = lambda g: F.when(whole.rlike(pattern), F.regexp_extract(whole, pattern, g))
+    field = lambda g: F.when(whole.rlike(ITEM_PATTERN), F.regexp_extract(whole, ITEM_PATTERN, g))
     return found.select(
         "table_id",
         "section_ix",

@@ -90,7 +90,7 @@ def _sector_rows(spark, d):
 
 def sector_tsv(spark, d):
     path = _keyed_file(_sector_rows(spark, d), "sector", "\t", "")
-    return _flat_sector(worldfiles.read_worlds(spark, "travellermap_tsv_file", path))
+    return _flat_sector(worldfiles.read_worlds(spark, "sector_tsv", path))
 
 
 def sector_rows(spark, d):
@@ -150,7 +150,7 @@ def world_source(spark, d):
     tsv = _sector_rows(spark, d)
     found = {
         "csv": worldfiles.read_worlds(spark, "csv", _keyed_file(plain.drop("s_suppkey"), "worlds")),
-        "travellermap_tsv_file": worldfiles.read_worlds(spark, "travellermap_tsv_file", _keyed_file(tsv, "sector", "\t", "")),
+        "sector_tsv": worldfiles.read_worlds(spark, "sector_tsv", _keyed_file(tsv, "sector", "\t", "")),
     }
     counts = [df.groupBy("uwp.starport").agg(F.count("*").alias("n")).withColumn("source", F.lit(k)) for k, df in found.items()]
     return counts[0].unionByName(counts[1])
@@ -182,6 +182,12 @@ def json_text(spark, d):
     return _json_tables(spark, d).select("table_id", F.sha2("json", 256).alias("digest"))
 
 
+def json_round_trip(spark, d):
+    path = scratch_path(spark, "json")
+    csvtables.write_json_tables(concat_portions(conversation_portions(spark, d)), path)
+    return to_cells(csvtables.read_json_tables(spark, path))
+
+
 def _mixed_json(spark, d):
     """JSON tables, some of which are spoiled."""
     spoil = (
@@ -258,7 +264,7 @@ FROM part WHERE CAST(substr(p_brand, 7) AS INT) % 3 = 0 GROUP BY p_brand, p_type
     "s7_world_source": Query(
         world_source,
         """SELECT substr('ABCDEX', s_nationkey % 6 + 1, 1) AS starport, count(*) AS n, source
-FROM supplier, (VALUES ('csv'), ('travellermap_tsv_file')) v(source) GROUP BY 1, source""",
+FROM supplier, (VALUES ('csv'), ('sector_tsv')) v(source) GROUP BY 1, source""",
     ),
     "s8_index_csv": Query(
         index_csv,
@@ -286,6 +292,13 @@ SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY part_ix, row_
         f"""WITH {CONVERSATION_PORTIONS}
 SELECT table_id, sha256('[' || string_agg('["' || role || '",' || CAST(to_json(line) AS VARCHAR) || ']', ',' ORDER BY part_ix, row_ix) || ']') AS digest
 FROM portions GROUP BY table_id""",
+    ),
+    "k3_json_round_trip": Query(
+        json_round_trip,
+        f"""WITH {CONVERSATION_PORTIONS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY part_ix, row_ix) - 1 AS r FROM portions)
+SELECT table_id, r AS row_ix, CAST(c.i AS BIGINT) AS col_ix, CASE c.i WHEN 0 THEN role ELSE line END AS cell
+FROM placed, (VALUES (0), (1)) c(i)""",
     ),
     "u3_table_type_errors": Query(
         json_errors,

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str):
+    return spark.read.parquet(path).schema
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One benchmark table; its schema is looked up once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def rows(df: DataFrame, table: Column, order: Column, cells: list[Column] | Column) -> DataFrame:

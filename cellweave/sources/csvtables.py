@@ -114,7 +114,17 @@ def table_json(df: DataFrame, layout: Layout | None = None) -> DataFrame:
 
 
 def write_json_tables(df: DataFrame, path: str, layout: Layout | None = None) -> None:
-    table_json(df, layout).select("table_id", F.col("json").alias("value")).write.partitionBy("table_id").text(path)
+    """JSON lines with `table_id` and `rows`, one line per table."""
+    rows = ordered_items(df, ["table_id"], "row_ix", F.col("cells"), layout or layout_of(df))
+    rows.withColumnRenamed("items", "rows").write.json(path)
+
+
+def read_json_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of tables written by `write_json_tables`."""
+    df = spark.read.schema("table_id string, rows array<array<string>>").json(path)
+    return df.select("table_id", F.posexplode("rows").alias("row_ix", "cells")).withColumn(
+        "row_ix", F.col("row_ix").cast("bigint")
+    )
 
 
 def check_table_json(df: DataFrame, json: str = "json") -> DataFrame:

@@ -34,7 +34,7 @@ def read_sector_tsv(spark: SparkSession, path: str, place: bool = False) -> Data
 
 WORLD_SOURCES = {
     "csv": lambda spark, path: worlds_from_csv(read_keyed_csv(spark, path, place=True)),
-    "travellermap_tsv_file": lambda spark, path: worlds_from_sector(read_sector_tsv(spark, path, place=True)),
+    "sector_tsv": lambda spark, path: worlds_from_sector(read_sector_tsv(spark, path, place=True)),
 }
 
 

@@ -11,7 +11,7 @@ from cellweave.tables import PORTION_SCHEMA, Layout  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", shuffle_partitions=4)
+    session = local_session("2", shuffle_partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     return session
 

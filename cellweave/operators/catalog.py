@@ -8,12 +8,10 @@ partitions of a hot key otherwise.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.tables import in_order
+from cellweave.tables import Layout, in_order
 
 # What names, tags and node ids may look like, and how the stem of
 # a craft's file tells its category.
@@ -182,17 +180,15 @@ def audit(tables: DataFrame, templates: DataFrame) -> DataFrame:
 
     `tables` has `(path, transform)`, `templates` has `(path)`.
     """
-    problem = lambda df, text: df.select("path", F.lit(text).alias("problem"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            problem(templates.join(tables, "path", "left_anti"), "template without table"),
-            problem(tables.join(templates, "path", "left_anti"), "table without template"),
-            problem(
-                tables.filter("transform is null").join(templates, "path", "left_semi"), "no extraction configured"
-            ),
-        ],
+    both = tables.select("path", "transform", F.lit(True).alias("_table")).join(
+        templates.select("path", F.lit(True).alias("_template")), "path", "full_outer"
+    )
+    problem = (
+        F.when(F.col("_table").isNull(), "template without table")
+        .when(F.col("_template").isNull(), "table without template")
+        .when(F.col("transform").isNull(), "no extraction configured")
     )
+    return both.select("path", problem.alias("problem")).filter("problem is not null")
 
 
 def name_by_position(
@@ -204,7 +200,9 @@ def name_by_position(
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     right = sizes.filter(F.col("n") == len(names)).select(group)
-    ranked = in_order(df.join(right, group, "left_semi"), (group,), order, "position")
+    # The groups left have exactly len(names) rows.
+    small = Layout(chunked=False)
+    ranked = in_order(df.join(right, group, "left_semi"), (group,), order, "position", small)
     named = ranked.withColumn("name", F.get(_literals(names), F.col("position").cast("int")))
     errors = sizes.filter(F.col("n") != len(names)).withColumn("expected", F.lit(len(names)).cast("bigint"))
     return named, errors

@@ -138,6 +138,7 @@ def prepend_row(row: list[str], tables: DataFrame | None = None) -> Step:
         ).distinct()
         return df.select("table_id", (F.col("row_ix") + 1).alias("row_ix"), "cells").unionByName(headers)
 
+    step.row_local = tables is not None
     return step
 
 

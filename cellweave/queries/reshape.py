@@ -71,7 +71,7 @@ def prepend_row(spark, d):
     customer, nation = load(spark, d, "customer"), load(spark, d, "nation")
     df = rows(customer, F.col("c_nationkey"), F.col("c_custkey"), [F.col("c_name"), F.col("c_mktsegment")])
     work = nation.select(F.col("n_nationkey").cast("string").alias("table_id"))
-    return to_cells(reshape.sequence(df, [reshape.prepend_row(["Name", "Segment"], work)], clean=False, layout=layout_of(df)))
+    return to_cells(reshape.sequence(df, [reshape.prepend_row(["Name", "Segment"], work)], clean=False))
 
 
 def fold_rows(spark, d):

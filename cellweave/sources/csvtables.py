@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,44 +11,40 @@ from cellweave.functions import text
 from cellweave.tables import Layout, Running, layout_of, ordered_items, running
 
 
-def _numbered_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Give each line an order-correct `row_ix` without a shuffle of the text.
+def _bytes_setting(spark: SparkSession, name: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get(name).lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
-    A line's place is the byte where its file block starts plus its place in
-    the block. A line takes at least one byte, so places rise and stay unique.
-    Needs `_block` and `_seen`, an id that rises along a block.
-    """
-    starts = lines.groupBy(*keys, "_block").agg(F.min("_seen").alias("_first"))
-    return (
-        lines.join(starts, [*keys, "_block"])
-        .withColumn("row_ix", F.col("_block") + F.col("_seen") - F.col("_first"))
-        .drop("_block", "_seen", "_first")
-    )
 
+def _file_lines(spark: SparkSession, reader: DataFrame, *keys: Column) -> DataFrame:
+    """Lines with an order-correct `row_ix` per file, without a shuffle or a second read.
 
-def _file_lines(reader, path: str, *columns: Column) -> DataFrame:
-    return reader.select(
-        *columns,
-        F.col("value").alias("line"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seen"),
+    A file is cut into blocks of at least `floor` bytes, so the start of a block
+    divided by that numbers the blocks; the place in the task's input, at most
+    33 bits, orders the lines of a block.
+    """
+    floor = min(
+        _bytes_setting(spark, "spark.sql.files.maxPartitionBytes"),
+        _bytes_setting(spark, "spark.sql.files.openCostInBytes"),
     )
+    block = F.floor(F.col("_metadata.file_block_start") / floor)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return reader.select(*keys, F.col("value").alias("line"), (F.shiftleft(block, 33) + place).alias("row_ix"))
 
 
-def _records(lines: DataFrame, layout: Layout | None, keep_order: bool = True) -> DataFrame:
-    """Lines `(table_id, row_ix, line)` to rows of cells.
+def _records(lines: DataFrame, layout: Layout, keys: tuple[str, ...]) -> DataFrame:
+    """Lines to rows of cells, numbered from 0 per key.
 
     A line break inside quotes leaves an odd number of quotes open, so a record
     starts where the quotes before it are even.
     """
-    layout = layout or layout_of(lines)
     quotes = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).cast("bigint")
-    opened = running(lines, {"_quotes": Running("sum", quotes, inclusive=False)}, layout)
-    starts = F.when(F.col("_quotes") % 2 == 0, F.col("row_ix"))
-    placed = running(opened, {"_record": Running("last", starts)}, layout)
-    whole = ordered_items(placed, ["table_id", "_record"], "row_ix", F.col("line"), layout)
+    opened = running(lines, {"_quotes": Running("sum", quotes, inclusive=False)}, layout, keys)
+    starts = F.when(F.col("_quotes") % 2 == 0, 1).otherwise(0).cast("bigint")
+    placed = running(opened, {"_record": Running("sum", starts)}, layout, keys)
+    whole = ordered_items(placed, [*keys, "_record"], "row_ix", F.col("line"), layout)
     record = F.regexp_replace(F.array_join("items", "\n"), r"\r\z", "")
-    return whole.select("table_id", F.col("_record").alias("row_ix"), text.csv_cells(record).alias("cells"))
+    return whole.select(*keys, (F.col("_record") - 1).alias("row_ix"), text.csv_cells(record).alias("cells"))
 
 
 def read_csv_tables(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
@@ -55,10 +53,9 @@ def read_csv_tables(spark: SparkSession, path: str, layout: Layout | None = None
     Quotes must be balanced, as CSV writers do: a bare quote inside an unquoted
     cell is not supported.
     """
-    lines = _file_lines(
-        spark.read.option("lineSep", "\n").text(path), path, F.col("_metadata.file_path").alias("table_id")
-    )
-    return _records(_numbered_lines(lines, ["table_id"]), layout)
+    reader = spark.read.option("lineSep", "\n").text(path)
+    lines = _file_lines(spark, reader, F.col("_metadata.file_path").alias("table_id"))
+    return _records(lines, layout or layout_of(lines), ("table_id",))
 
 
 def read_csv_body(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
@@ -70,16 +67,10 @@ def read_written_tables(spark: SparkSession, path: str, layout: Layout | None =
     """Tables written by `write_csv_tables`, as portions: each part file is one."""
     reader = spark.read.schema("value string, table_id string").option("lineSep", "\n").text(path)
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
-    lines = _file_lines(reader, path, F.col("table_id").alias("table"), part.alias("part_ix"))
-    lines = _numbered_lines(lines, ["table", "part_ix"])
-    rows = _records(lines.withColumn("table_id", F.struct("table", "part_ix")), layout)
-    return rows.select(
-        F.col("table_id.table").alias("table_id"),
-        F.col("table_id.part_ix").alias("part_ix"),
-        F.lit(None).cast("int").alias("page"),
-        "row_ix",
-        "cells",
-    )
+    keys = ("table_id", "part_ix")
+    lines = _file_lines(spark, reader, F.col("table_id"), part.alias("part_ix"))
+    rows = _records(lines, layout or layout_of(lines, keys), keys)
+    return rows.select("table_id", "part_ix", F.lit(None).cast("int").alias("page"), "row_ix", "cells")
 
 
 def csv_lines(df: DataFrame) -> DataFrame:

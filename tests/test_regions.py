@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.operators import regions as reg
-from cellweave.tables import Layout
 
 BOX = "doc string, page int, method string, left bigint, top bigint, right bigint, bottom bigint"
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from cellweave.operators.reshape import concat_portions
 from cellweave.operators.userfn import check_rows, named_inputs_function, table_function
 from cellweave.sources import csvtables, worldfiles
-from cellweave.tables import renumber
 
 ROWS = [["h1", "h2"], [], ["", "x"], ['say "hi"', "a,b", ""], ["two\nlines\n", "cr\r\nlf"], [""], ["last"]]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import languageid, mixing, packing, quality, toxicity, urlfilter
+from cellweave.llm import languageid, languagemodel, mixing, packing, quality, toxicity, urlfilter
 from cellweave.llm.common import held_out, read
 from cellweave.queries import Query
 
@@ -49,6 +49,10 @@ FROM rated
 """
 
 
+def op5_language_model(spark, sf_dir):
+    return languagemodel.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
@@ -75,6 +79,7 @@ def op9_language(spark, sf_dir):
 QUERIES = {
     "op2_toxicity": Query(op2_toxicity),
     "op4_source_mix": Query(op4_source_mix, OP4_SQL),
+    "op5_language_model": Query(op5_language_model),
     "op6_quality": Query(op6_quality),
     "op8_url_filter": Query(op8_url_filter),
     "op9_language": Query(op9_language),

@@ -102,8 +102,13 @@ def learn(docs: DataFrame, per_language: int = 2000, n_grams: int = 3000, parts:
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     seen = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language)
+    # Hashes are even, so of a language with many rows those below twice the wanted share are enough to choose from.
+    span = 1 << 30
+    bars = [(k, span if n <= 4 * per_language else span * 2 * per_language // n) for k, n in seen.items()]
+    bar = F.element_at(F.create_map(*[F.lit(x) for pair in bars for x in pair]), F.col("lang")) if bars else F.lit(0)
+    hashed = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("_hash")).filter(F.col("_hash") < bar)
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    chosen = hashed.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language)
     # Bounded by languages times per_language.
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
 

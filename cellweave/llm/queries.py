@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import languageid, languagemodel, mixing, packing, quality, toxicity, urlfilter
+from cellweave.llm import editprint, jaccard, languageid, languagemodel, mixing, neighbours, packing, quality, toxicity, urlfilter
 from cellweave.llm.common import held_out, read
 from cellweave.queries import Query
 
 
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard.linked(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
@@ -16,6 +20,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(kept, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_fingerprints(spark, sf_dir):
+    return editprint.fingerprint(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_source_mix(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,6 +68,11 @@ def op6_quality(spark, sf_dir):
     return quality.score(kept, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_neighbours(spark, sf_dir):
+    vectors = neighbours.usable(read(spark, sf_dir, "embeddings"))
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op8_url_filter(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -77,10 +90,13 @@ def op9_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_jaccard_join": Query(op1_jaccard_join),
     "op2_toxicity": Query(op2_toxicity),
+    "op3_fingerprints": Query(op3_fingerprints),
     "op4_source_mix": Query(op4_source_mix, OP4_SQL),
     "op5_language_model": Query(op5_language_model),
     "op6_quality": Query(op6_quality),
+    "op7_neighbours": Query(op7_neighbours),
     "op8_url_filter": Query(op8_url_filter),
     "op9_language": Query(op9_language),
     "op10_packing": Query(op10_packing),

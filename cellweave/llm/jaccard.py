@@ -354,7 +354,10 @@ def _open_pairs(places: DataFrame, classes: DataFrame, bits: DataFrame, join: Ja
 
 
 def one_of_each(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """The rows of `docs` with one document of each component: that with the smallest id; of rows with that id, one."""
-    kept = linked(docs, join).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    alone = docs.filter(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(alone)
+    """The rows of `docs` with one document of each component: that with the smallest id; of rows with that id, one. Rows without an id stay."""
+    gone = linked(docs, join).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
+    if not repeated.head(1):
+        return left
+    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))

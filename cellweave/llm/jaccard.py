@@ -10,9 +10,9 @@ How nodes meet. A sketch holds the `sketch` smallest hashes of a set. Of two
 sets with a similarity of t or more, each of the smallest hashes of their union
 is in both with chance t, so with t = 0.75 they miss each other in a sketch of
 48 with a chance of 0.25 ** 48; sets of up to 48 shingles cannot miss. Hashes in
-more than `crowd` sketches are set aside where they are less than a quarter of
-a node's sketch: for sets whose similarity rests on crowded hashes they are at
-least half of the set, and otherwise the others are alike by one half or more and meet as well.
+more than `crowd` sketches are set aside where they are less than half of a
+node's sketch: its other hashes, 25 or more or all it has, are then alike by
+one half or more to those of any set that it links with, and meet as well.
 
 What is compared. First every node with the smallest node of each place it
 meets others, which joins most groups with a row per node, however large they
@@ -281,7 +281,7 @@ def linked(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
     postings = cut_lineage(postings.join(met, "token"))
     crowded = postings.filter(F.col("met") > join.crowd)
     leaning = crowded.groupBy("node").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter(
-        F.col("k") * 4 >= F.least("n", F.lit(join.sketch))
+        F.col("k") * 2 >= F.least("n", F.lit(join.sketch))
     )
     places = cut_lineage(
         postings.filter(F.col("met") <= join.crowd).unionByName(crowded.join(leaning.select("node"), "node", "left_semi").select(postings.columns))

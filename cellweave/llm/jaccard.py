@@ -15,9 +15,10 @@ node's sketch: its other hashes, 25 or more or all it has, are then alike by
 one half or more to those of any set that it links with, and meet as well.
 
 What is compared. First every node with the smallest node of each place it
-meets others, which joins most groups with a row per node, however large they
-are. Then, with trees, all nodes that still meet nodes of another class. Places with more
-than `tile` nodes are dealt into blocks, and each pair of blocks is a task's work.
+meets others, then, in crowds, with others by hash, which joins most groups with
+a row per node, however large they are. Then, with trees, all nodes that still
+meet nodes of another class. Places with more than `tile` nodes are dealt into
+blocks, and each pair of blocks that may hold two classes is a task's work.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from cellweave.llm.words import Words, groups, joined, mixed, words_of
 from cellweave.session import cut_lineage, scratch_path
 
 BITS = 2048
+#: Pairs of branches that are looked at in one go.
+AT_ONCE = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ class JaccardJoin:
     whole: int = 100
     sketch: int = 48
     crowd: int = 128
-    tile: int = 256
+    tile: int = 1024
 
 
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -186,10 +189,14 @@ class SignatureTree:
 
 
 def tree_pairs(left: SignatureTree, right: SignatureTree, join: JaccardJoin, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of different classes that may link: both trees are walked down together, all pairs of a level at once."""
-    level_a, level_b = len(left.levels) - 1, len(right.levels) - 1
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    while True:
+    """Pairs of nodes of different classes that may link: both trees are walked down together, many pairs of branches at once."""
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    waiting = [(np.zeros(1, np.int64), np.zeros(1, np.int64), len(left.levels) - 1, len(right.levels) - 1)]
+    while waiting:
+        a, b, level_a, level_b = waiting.pop()
+        if len(a) > AT_ONCE:
+            waiting.append((a[AT_ONCE:], b[AT_ONCE:], level_a, level_b))
+            a, b = a[:AT_ONCE], b[:AT_ONCE]
         bits_a, low_a, high_a, spare_a, class_a = (x[a] for x in left.levels[level_a])
         bits_b, low_b, high_b, spare_b, class_b = (x[b] for x in right.levels[level_b])
         shared = np.bitwise_count(bits_a & bits_b).sum(1).astype(np.int64)
@@ -198,21 +205,25 @@ def tree_pairs(left: SignatureTree, right: SignatureTree, join: JaccardJoin, sam
         kept = _may_link(join, low_a, low_b, most)
         kept &= (high_a * join.whole >= low_b * join.part) & (high_b * join.whole >= low_a * join.part)
         kept &= (class_a != class_b) | (class_a == -1)
-        if same and level_a == level_b:
+        if same:
+            # The same tree on both sides, so both levels are the same.
             kept &= (a < b) if level_a == 0 else (a <= b)
         a, b = a[kept], b[kept]
-        if level_a == level_b == 0 or not len(a):
-            return a, b
-        if level_a >= level_b:
+        if level_a == level_b == 0:
+            found_a.append(a)
+            found_b.append(b)
+            continue
+        if not len(a):
+            continue
+        down_a, down_b = same or level_a >= level_b, same or level_b > level_a
+        if down_a:
             a, which = left.children(level_a, a)
             b, level_a = b[which], level_a - 1
-            if same:
-                # The same tree is walked on both sides, so both go down.
-                b, which = right.children(level_b, b)
-                a, level_b = a[which], level_b - 1
-        else:
+        if down_b:
             b, which = right.children(level_b, b)
             a, level_b = a[which], level_b - 1
+        waiting.append((a, b, level_a, level_b))
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def _tiles(batches, join: JaccardJoin):
@@ -223,7 +234,7 @@ def _tiles(batches, join: JaccardJoin):
     def made(table: pa.Table):
         side = table["side"].to_numpy()
         n, node, classes = (table[c].to_numpy() for c in ("n", "node", "class"))
-        bits = table["bits"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
         trees = []
         for s in (0, 1):
             own = np.flatnonzero(side == s)
@@ -287,24 +298,24 @@ def linked(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
         postings.filter(F.col("met") <= join.crowd).unionByName(crowded.join(leaning.select("node"), "node", "left_semi").select(postings.columns))
     )
 
-    # Each node with the smallest of each place.
-    first = places.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"))
-    stars = (
-        places.join(first, "token")
-        .select(F.col("node").alias("a"), F.col("first.node").alias("b"), "n", F.col("first.n").alias("m"))
-        .filter((F.col("a") != F.col("b")) & (F.least("n", "m") * join.whole >= F.greatest("n", "m") * join.part))
-        .select("a", "b")
-        .distinct()
-    )
     bits = nodes.select("node", "n", "bits")
-    near = (
-        stars.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
-        .join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
-        .filter(_may_link(join, F.col("na"), F.col("nb"), F.least(F.col("na") - _missing("bits_a", "bits_b"), F.col("nb") - _missing("bits_b", "bits_a"))))
-        .select("a", "b")
-    )
-    found = components(verified(cut_lineage(near.distinct()), docs, join))
-    classes = cut_lineage(found.select("node", F.col("component").alias("class")))
+    # Each node with the smallest of each place.
+    first = places.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first")).select("token", "first.*")
+    links = verified(_near(_stars(places, first, join), bits, join), docs, join)
+    links, classes = _classes(links)
+    # Then, where crowds are still open, with one of each place by hash, as long as that halves what is open.
+    left = None
+    while True:
+        crowd = cut_lineage(_open(places, classes, join).filter(F.col("size") > join.tile))
+        now = crowd.filter("class <> main").count()
+        if not now or (left is not None and 2 * now > left):
+            break
+        left = now
+        drawn = crowd.groupBy("token").agg(F.min_by(F.struct("node", "n", "class"), F.xxhash64("token", "node", F.lit(now))).alias("first"))
+        drawn = drawn.select("token", "first.node", "first.n", F.col("first.class").alias("first_class"))
+        again = _stars(crowd.join(drawn.select("token", "first_class"), "token").filter("class <> first_class"), drawn.drop("first_class"), join)
+        more = verified(_near(again, bits, join), docs, join)
+        links, classes = _classes(links.unionByName(more))
 
     more = verified(cut_lineage(_open_pairs(places, classes, bits, join)), docs, join)
     of = lambda c: classes.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}"))
@@ -326,23 +337,70 @@ def linked(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
     )
 
 
-def _open_pairs(places: DataFrame, classes: DataFrame, bits: DataFrame, join: JaccardJoin) -> DataFrame:
-    """Pairs that may link at places that still hold nodes of several classes, by signature trees."""
+def _stars(places: DataFrame, first: DataFrame, join: JaccardJoin) -> DataFrame:
+    """Pairs `(a, b)` of each node of a place and the place's `first` node, where their sizes allow a link."""
+    first = first.select("token", F.col("node").alias("b"), F.col("n").alias("m"))
+    return (
+        places.select("token", F.col("node").alias("a"), "n")
+        .join(first, "token")
+        .filter((F.col("a") != F.col("b")) & (F.least("n", "m") * join.whole >= F.greatest("n", "m") * join.part))
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def _near(pairs: DataFrame, bits: DataFrame, join: JaccardJoin) -> DataFrame:
+    """Pairs whose bitmaps allow a link."""
+    side = lambda c: bits.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+    overlap = F.least(F.col("na") - _missing("bits_a", "bits_b"), F.col("nb") - _missing("bits_b", "bits_a"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(join, F.col("na"), F.col("nb"), overlap))
+    return cut_lineage(met.select("a", "b").distinct())
+
+
+def _classes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links, written, and `(node, class)` of the nodes they have."""
+    links = cut_lineage(links)
+    return links, cut_lineage(components(links).select("node", F.col("component").alias("class")))
+
+
+def _open(places: DataFrame, classes: DataFrame, join: JaccardJoin) -> DataFrame:
+    """Rows of places that hold nodes of several classes, with the class of most of its nodes (`main`), and their number in all (`size`) and in others (`others`).
+
+    Of places with the same nodes only one is given.
+    """
     held = places.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed_places = (
-        held.groupBy("token")
-        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-        .filter("low <> high")
-        # Places with the same nodes are one.
-        .groupBy("size", "who")
-        .agg(F.min("token").alias("token"))
-        .select("token", F.ceil(F.col("size") / join.tile).cast("int").alias("blocks"))
+    per_class = held.groupBy("token", "class").agg(
+        F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")
     )
-    dealt = held.join(mixed_places, "token").select(
-        "token", "node", "n", "class", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    several = (
+        per_class.groupBy("token")
+        .agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.sum("who").alias("who"))
+        .filter("most < size")
+        .groupBy("size", "who")
+        .agg(F.min_by(F.struct("token", "main", "most"), "token").alias("one"))
+        .select("one.token", "one.main", "size", (F.col("size") - F.col("one.most")).alias("others"))
     )
-    # A tile is a pair of blocks; a block meets itself and all others once.
-    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    return held.join(several, "token").select("token", "node", "n", "class", "main", "size", "others")
+
+
+def _open_pairs(places: DataFrame, classes: DataFrame, bits: DataFrame, join: JaccardJoin) -> DataFrame:
+    """Pairs that may link at places that still hold nodes of several classes, by signature trees.
+
+    A place of up to `tile` nodes is a tile. In larger ones, nodes outside the
+    main class are dealt into blocks that meet each other, and those of the main class into blocks that only meet the former.
+    """
+    small = F.col("size") <= join.tile
+    minor = F.when(small, F.lit(1)).otherwise(F.ceil(F.col("others") / join.tile)).cast("int")
+    major = F.when(small, F.lit(0)).otherwise(F.ceil((F.col("size") - F.col("others")) / join.tile)).cast("int")
+    is_major = ~small & (F.col("class") == F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = _open(places, classes, join).withColumns({"minor": minor, "major": major})
+    dealt = dealt.select(
+        "token", "node", "n", "class",
+        F.when(is_major, F.col("minor") + deal(F.col("major"))).otherwise(deal(F.col("minor"))).alias("own"),
+        F.when(is_major, F.col("minor")).otherwise(F.col("minor") + F.col("major")).alias("meets"),
+    )
+    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")).select(
         F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
         "node",

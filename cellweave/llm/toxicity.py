@@ -20,11 +20,11 @@ PLACE_BITS = 20
 
 @dataclass(frozen=True)
 class Rates:
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 8.0
     l2: float = 1.0
-    epochs: int = 4
+    epochs: int = 2
     #: At most so many labelled rows of either class are learned from.
     per_class: int = 4000
 

@@ -23,8 +23,9 @@ from cellweave.llm.words import mixed
 
 PLACES = 128
 CYCLE = 4096  # steps after which the shared bits repeat
-#: A task works on about so many characters at once.
-CHARS = 24_000_000
+#: A task walks through about so many characters side by side, and prepares so many at once.
+CHARS = 16_000_000
+BLOCK = 1 << 20
 
 _MOVES = (np.random.default_rng(17).random((CYCLE, 256)) < 0.5).astype(np.int64)
 _MOVES[:, 0] = 0  # symbol 0 stands after each text: there the walk rests
@@ -57,13 +58,21 @@ def fingerprints_of(texts: list[str]) -> np.ndarray:
     sizes = np.array([len(t) for t in texts], np.int64)
     if not sizes.sum():
         return out
-    points = np.frombuffer("\0\0".join([*texts, ""]).encode("utf-32-le"), "<u4")
+    # A text's symbols, then two of 0; and what is put out at each: a mix of the symbol and the two after it.
     ends = np.cumsum(sizes + 2) - 2
-    symbols = (mixed(points.astype(np.uint64), 51) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    symbols[ends] = symbols[ends + 1] = 0
-    padded = np.append(symbols, [0, 0]).astype(np.uint64)
-    # What is put out: a mix of the character and the two after it.
-    shown = mixed(padded[:-2] | padded[1:-1] << np.uint64(8) | padded[2:] << np.uint64(16), 52).astype(np.uint8)
+    symbols, shown = np.zeros(ends[-1] + 2, np.uint8), np.zeros(ends[-1] + 2, np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK)))
+        points = np.frombuffer("\0\0".join([*texts[first:last], ""]).encode("utf-32-le"), "<u4")
+        own = slice(ends[first] - sizes[first], ends[last - 1] + 2)
+        part = (mixed(points, 51) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        rest = ends[first:last] - own.start
+        part[rest] = part[rest + 1] = 0
+        symbols[own] = part
+        padded = np.append(part, [0, 0]).astype(np.uint64)
+        shown[own] = mixed(padded[:-2] | padded[1:-1] << np.uint64(8) | padded[2:] << np.uint64(16), 52).astype(np.uint8)
+        first = last
     lanes = np.flatnonzero(sizes)
     at, end = (ends - sizes)[lanes], ends[lanes]
     samples, step = _SAMPLES.reach(6 * int(sizes.max()) + 64), 0

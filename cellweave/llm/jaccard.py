@@ -143,8 +143,9 @@ def verified(pairs: DataFrame, docs: DataFrame, join: JaccardJoin) -> DataFrame:
     def compare(batches):
         for batch in batches:
             kept = []
-            for i, (x, y) in enumerate(zip(batch["ta"].to_pylist(), batch["tb"].to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, (x, y) in enumerate(zip(batch["ta"], batch["tb"])):
+                # Read in place: the sets of a batch may be large.
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) and len(y):
                     overlap = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
                     if overlap * join.whole >= join.part * (len(x) + len(y) - overlap):

@@ -145,8 +145,8 @@ def learn(docs: DataFrame, per_language: int = 2000, n_grams: int = 3000, parts:
     return LanguageFilters.build(languages, {k: np.array(v, np.uint32) for k, v in grams.items()})
 
 
-def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """Add `lang_pred` and `score` (0 to 1): the language that contains the largest share of the text's n-grams.
+def identify(docs: DataFrame, filters: LanguageFilters, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add `lang_pred` and `score` (0 to 1), or columns of other names: the language that contains the largest share of the text's n-grams.
 
     `und` and 0 where the text is null, empty or has no letter, or where no
     language was learned. Ties, also where no n-gram is known, go to the
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
     def work():
         def step(texts):
-            names, scores = [], []
+            found, scores = [], []
             at = 0
             for group in groups([t and t.lower() for t in texts]):
                 shares = filters.shares(group) if filters.languages else None
@@ -163,14 +163,14 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
                     text = texts[at]
                     at += 1
                     if shares is None or not text or not _LETTER.search(text):
-                        names.append(UNKNOWN)
+                        found.append(UNKNOWN)
                         scores.append(0.0)
                     else:
                         best = int(np.argmax(shares[i]))
-                        names.append(filters.languages[best])
+                        found.append(filters.languages[best])
                         scores.append(float(shares[i, best]))
-            return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            return dict(zip(names, (pa.array(found, pa.string()), pa.array(scores, pa.float64()))))
 
         return step
 
-    return add_from_text(docs, {"lang_pred": "string", "score": "double"}, work, ["text"])
+    return add_from_text(docs, dict(zip(names, ("string", "double"))), work, ["text"])

@@ -189,8 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, training: Training = Training(), p
     )
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Add `score` (0 to 1) and `predicted` (1 from 0.5) to every row.
+def score(docs: DataFrame, model: QualityModel, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add `score` (0 to 1) and `predicted` (1 from 0.5), or columns of other names, to every row.
 
     Inputs are `text` (null: empty) and `n_chars` (null: unknown). Columns of the new names are replaced.
     """
@@ -203,8 +203,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 at += len(group)
                 scores.append(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
             found = np.concatenate(scores) if scores else np.zeros(0)
-            return {"score": pa.array(found), "predicted": pa.array((found >= 0.5).astype(np.int32))}
+            return dict(zip(names, (pa.array(found), pa.array((found >= 0.5).astype(np.int32)))))
 
         return step
 
-    return add_from_text(docs, {"score": "double", "predicted": "integer"}, work, ["text", "n_chars"])
+    return add_from_text(docs, dict(zip(names, ("double", "integer"))), work, ["text", "n_chars"])

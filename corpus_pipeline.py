@@ -21,18 +21,16 @@ LEAST_LANGUAGE_SCORE = 0.1
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no language that was learned, go."""
     filters = languageid.learn(docs.select("doc_id", "text", "lang"))
-    [row] = fresh(docs, "whole_row")
-    judged = languageid.identify(docs.select("text", F.struct("*").alias(row)), filters)
-    kept = (F.col("lang_pred") != languageid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.filter(kept).select(f"{row}.*")
+    found, score = fresh(docs, "lang_found", "lang_score")
+    judged = languageid.identify(docs, filters, (found, score))
+    return judged.filter((F.col(found) != languageid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier of low quality than of high go."""
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
-    [row] = fresh(docs, "whole_row")
-    judged = quality.score(docs.select("text", "n_chars", F.struct("*").alias(row)), model)
-    return judged.filter("predicted = 1").select(f"{row}.*")
+    score, good = fresh(docs, "quality_score", "quality_good")
+    return quality.score(docs, model, (score, good)).filter(F.col(good) == 1).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def lazily(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column, a few at a time: long texts are not all held as Python strings at once."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def add_from_text(
     df: DataFrame, columns: dict[str, str], work: Callable[[], Callable[[list], dict[str, pa.Array]]], inputs: list[str]
 ) -> DataFrame:
@@ -51,10 +57,12 @@ def add_from_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
-        for batch in batches:
-            made = step(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [made[c] for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *columns])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                made = step(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
+                arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [made[c] for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *columns])
 
     return df.select(*kept, *own).mapInArrow(run, schema)
 

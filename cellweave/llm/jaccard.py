@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.common import lazily
 from cellweave.llm.components import components
 from cellweave.llm.words import Words, groups, joined, mixed, words_of
 from cellweave.session import cut_lineage, scratch_path
@@ -82,7 +83,7 @@ def sketches(docs: DataFrame, join: JaccardJoin) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for group in groups(batch["text"].to_pylist()):
+            for group in groups(lazily(batch["text"])):
                 n, s1, s2, small, bits = [], [], [], [], []
                 for tokens in shingle_sets(group, join.words):
                     n.append(len(tokens))
@@ -126,7 +127,7 @@ def verified(pairs: DataFrame, docs: DataFrame, join: JaccardJoin) -> DataFrame:
     def sets(batches):
         for batch in batches:
             at = 0
-            for group in groups(batch["text"].to_pylist()):
+            for group in groups(lazily(batch["text"])):
                 made = [t.tobytes() for t in shingle_sets(group, join.words)]
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(at, len(group)), pa.array(made, pa.binary())], names=["node", "tokens"]

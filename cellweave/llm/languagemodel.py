@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import fresh, held_out
+from cellweave.llm.common import fresh, held_out, lazily
 from cellweave.llm.words import groups, mixed, words_of
 from cellweave.session import cut_lineage, scratch_path
 
@@ -86,7 +86,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for group in groups(batch["text"].to_pylist()):
+            for group in groups(lazily(batch["text"])):
                 ids, kinds, _ = tokens_of(group)
                 held.append((ids, kinds.astype(np.int8)))
                 size += len(ids)
@@ -377,7 +377,7 @@ def score(docs: DataFrame, shape: Shape = Shape(), parts: int = 10, part: int =
         for batch in batches:
             at = 0
             held, size = [], 0
-            for group in [*groups(batch["text"].to_pylist()), None]:
+            for group in [*groups(lazily(batch["text"])), None]:
                 if group is None or size > 4_000_000:
                     rows = sum(len(g[1]) - 1 for g in held)
                     if rows:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.common import lazily
 from cellweave.llm.words import groups, mixed, span_ids, words_of
 from cellweave.session import cut_lineage
 
@@ -45,7 +46,7 @@ class Coder:
     """
 
     #: The look-up table starts anew beyond so many entries.
-    HELD = 1_000_000
+    HELD = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -175,9 +176,8 @@ def tokenized(docs: DataFrame, packing: Packing, bounds: list[int]) -> DataFrame
     def run(batches):
         coder = _coder(path)
         for batch in batches:
-            texts, ids = batch["text"].to_pylist(), batch["doc_id"]
-            at = 0
-            for group in groups(texts):
+            ids, at = batch["doc_id"], 0
+            for group in groups(lazily(batch["text"])):
                 own = ids.slice(at, len(group))
                 keys = sort_keys(group, own.to_pylist())
                 coded = coder.encode(group, end)
@@ -261,9 +261,7 @@ def pack(docs: DataFrame, packing: Packing | None = None) -> DataFrame:
 
     def run(batches):
         next_at = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             parts, counts = batch["part"].to_numpy(), batch["n"].to_numpy()
             begins = np.zeros(len(counts), np.int64)
             for part in np.unique(parts).tolist():

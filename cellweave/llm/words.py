@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Texts are handled in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be undone
 _STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -114,8 +114,8 @@ def inherit_tags(catalog: DataFrame) -> DataFrame:
 
 
 def output_paths(tables: DataFrame) -> DataFrame:
-    """Name the output file of each table, and sort by it."""
-    return tables.withColumn("out_path", F.concat("path", F.lit(".csv"))).orderBy("out_path")
+    """Name the output file of each table. Sort by it where order is wanted: joins do not keep it."""
+    return tables.withColumn("out_path", F.concat("path", F.lit(".csv")))
 
 
 def pages_of(portions: DataFrame, page_offset: int) -> DataFrame:
@@ -163,8 +163,10 @@ def merge_records(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         if hasattr(data_type, "fields"):
             fields = [merge(x[f.name], y[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in data_type.fields]
             return F.when(x.isNotNull() | y.isNotNull(), F.struct(*fields))
-        conflicts.append(F.when(x != y, F.lit(name)))
-        return F.when(F.coalesce(x != y, F.lit(False)), None).otherwise(F.coalesce(x, y))
+        # Arrays are sets here: their order does not count.
+        unequal = F.array_sort(x) != F.array_sort(y) if data_type.typeName() == "array" else x != y
+        conflicts.append(F.when(unequal, F.lit(name)))
+        return F.when(F.coalesce(unequal, F.lit(False)), None).otherwise(F.coalesce(x, y))
 
     fields = [f for f in left.schema.fields if f.name != key]
     merged = [merge(F.col(f"a.{f.name}"), F.col(f"b.{f.name}"), f.dataType, f.name).alias(f.name) for f in fields]

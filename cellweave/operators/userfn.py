@@ -1,8 +1,7 @@
 """User functions on whole tables, in Python, one call per table.
 
-The function sees a whole table, so tables are counted first: where one has
-more rows than `max_rows`, the run fails instead of overloading a task. Write
-such a job with the steps of `reshape` and `sections`.
+The function sees a whole table, so each table must fit in a task's memory.
+For longer tables write the job with the steps of `reshape` and `sections`.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import cellweave
-from cellweave.tables import CHUNK_BITS
 
 # Send this package's functions to the workers along with the job, so that it
 # need not be installed on them.
@@ -26,16 +24,18 @@ RESULT = "table_id string, row_ix bigint, cells array<string>"
 
 
 def check_rows(rows: Rows) -> None:
-    """A result must be a list of lists of strings."""
-    want = "want list[list[str]], got "
-    if not isinstance(rows, list):
-        raise TypeError(f"{want}. with type {type(rows).__name__}")
-    for i, row in enumerate(rows):
-        if not isinstance(row, list):
-            raise TypeError(f"{want}.[{i}] with type {type(row).__name__}")
-        for j, cell in enumerate(row):
-            if not isinstance(cell, str):
-                raise TypeError(f"{want}.[{i}][{j}] with type {type(cell).__name__}")
+    """Raise a `TypeError` that names the first place where a result is not a list of lists of strings."""
+
+    def misfits():
+        yield "the table", rows, list
+        for i, row in enumerate(rows):
+            yield f"row {i}", row, list
+            for j, cell in enumerate(row):
+                yield f"row {i}, cell {j}", cell, str
+
+    for place, found, kind in misfits():
+        if not isinstance(found, kind):
+            raise TypeError(f"{place} must be a {kind.__name__}, not a {type(found).__name__}")
 
 
 def concat_tables(portions: list[Rows]) -> Rows:
@@ -48,15 +48,8 @@ def _result(table_id: str, rows: Rows) -> pd.DataFrame:
     return pd.DataFrame({"table_id": table_id, "row_ix": range(len(rows)), "cells": rows})
 
 
-def _check_sizes(df: DataFrame, max_rows: int) -> None:
-    longest = df.groupBy("table_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest > max_rows:
-        raise ValueError(f"a user function takes tables of at most {max_rows} rows, found one of {longest}")
-
-
-def table_function(df: DataFrame, fn: Callable[[list[Rows]], Rows], max_rows: int = 1 << CHUNK_BITS) -> DataFrame:
+def table_function(df: DataFrame, fn: Callable[[list[Rows]], Rows]) -> DataFrame:
     """Run `fn` on the portions of each table; its result is not cleaned."""
-    _check_sizes(df, max_rows)
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part_ix", "row_ix"])
@@ -66,9 +59,7 @@ def table_function(df: DataFrame, fn: Callable[[list[Rows]], Rows], max_rows: in
     return df.select("table_id", "part_ix", "row_ix", "cells").groupBy("table_id").applyInPandas(call, RESULT)
 
 
-def named_inputs_function(
-    inputs: dict[str, DataFrame], fn: Callable[..., Rows], max_rows: int = 1 << CHUNK_BITS
-) -> DataFrame:
+def named_inputs_function(inputs: dict[str, DataFrame], fn: Callable[..., Rows]) -> DataFrame:
     """Run `fn(**tables)` per table id over several inputs, names in sorted order.
 
     An input without rows for a table id is passed as an empty table.
@@ -78,7 +69,6 @@ def named_inputs_function(
     for name in names:
         one = inputs[name].select("table_id", "row_ix", "cells").withColumn("name", F.lit(name))
         tagged = one if tagged is None else tagged.unionByName(one)
-    _check_sizes(tagged, max_rows)
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_ix")

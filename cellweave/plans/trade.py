@@ -152,6 +152,14 @@ def wide(goods: DataFrame, trades: DataFrame, formats: Formats, locations: list[
     ).join(pivoted, "d66", "left")
 
 
+def by_world(goods: DataFrame, trades: DataFrame, formats: Formats) -> DataFrame:
+    """The wide table, flat: a row per good and world in any number of worlds; goods without properties have one row without a world."""
+    shown = trades.select("d66", "world_ix", "location", format_dm(formats).alias("shown"))
+    return goods.select(
+        "d66", "name", F.col("properties.tons").alias("tons"), F.col("properties.base_price").alias("base_price")
+    ).join(shown, "d66", "left")
+
+
 def _good_rows(goods: DataFrame, trades: DataFrame, formats: Formats, layout: Layout) -> DataFrame:
     shown = ordered_items(
         trades.withColumn("shown", format_dm(formats)), ["d66"], "world_ix", F.col("shown"), layout

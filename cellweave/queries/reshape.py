@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +132,7 @@ def _long_tables(spark, d):
     df = docs.select(
         F.col("lang").alias("table_id"),
         (F.shiftleft("doc_id", 20) + F.col("n")).alias("row_ix"),
-        F.array(head, F.length("line").cast("string")).alias("cells"),
+        F.array(head, F.col("line")).alias("cells"),
     )
     return df, layout_of(df, bits=10)
 
@@ -139,7 +141,7 @@ LONG_TABLES = """long_rows AS (
     SELECT lang AS table_id, doc_id * 1048576 + generate_subscripts(ls, 1) - 1 AS row_ix, unnest(ls) AS line
     FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 headed AS (SELECT table_id, row_ix, regexp_extract(line, '^([A-Z][^ \\t\\n\\f\\r]*)', 1) AS head,
-                  CAST(length(line) AS VARCHAR) AS len FROM long_rows)"""
+                  line AS len FROM long_rows)"""
 
 
 def _long_run(steps):
@@ -190,16 +192,14 @@ def user_function(spark, d):
 
 
 def _side_by_side(first, rest):
-    return [[*a, *b] for a, b in zip(first, [*rest, *[[]] * len(first)])]
+    return [[*a, *b] for a, b in zip_longest(first, rest, fillvalue=[])]
 
 
 def named_inputs(spark, d):
-    portions = conversation_portions(spark, d)
-    return to_cells(
-        named_inputs_function(
-            {"rest": portions.filter("part_ix = 1"), "first": portions.filter("part_ix = 0")}, _side_by_side
-        )
-    )
+    """The user's lines beside all others, as far as the longer side goes."""
+    turns = conversation_portions(spark, d)
+    side = lambda own: reshape.concat_portions(turns.filter(own))
+    return to_cells(named_inputs_function({"rest": side("role <> 'user'"), "first": side("role = 'user'")}, _side_by_side))
 
 
 def _whole_table(portions):
@@ -377,10 +377,14 @@ FROM placed, (VALUES (0), (1), (2)) c(i)""",
     "u2_named_inputs_function": Query(
         named_inputs,
         f"""WITH {CONVERSATION_PORTIONS},
-a AS (SELECT * FROM portions WHERE part_ix = 0), b AS (SELECT * FROM portions WHERE part_ix = 1)
-SELECT a.table_id, a.row_ix, CAST(c.i AS BIGINT) AS col_ix,
-       CASE c.i WHEN 0 THEN a.role WHEN 1 THEN a.line WHEN 2 THEN b.role ELSE b.line END AS cell
-FROM a LEFT JOIN b USING (table_id, row_ix), (VALUES (0), (1), (2), (3)) c(i) WHERE c.i < 2 OR b.role IS NOT NULL""",
+n AS (SELECT table_id, role, line, role = 'user' AS own,
+             row_number() OVER (PARTITION BY table_id, role = 'user' ORDER BY part_ix, row_ix) - 1 AS r FROM portions),
+a AS (SELECT * FROM n WHERE own), b AS (SELECT * FROM n WHERE NOT own),
+beside AS (SELECT coalesce(a.table_id, b.table_id) AS table_id, coalesce(a.r, b.r) AS row_ix,
+                  list_concat(CASE WHEN a.role IS NULL THEN [] ELSE [a.role, a.line] END,
+                              CASE WHEN b.role IS NULL THEN [] ELSE [b.role, b.line] END) AS cells
+           FROM a FULL JOIN b ON a.table_id = b.table_id AND a.r = b.r)
+SELECT table_id, row_ix, CAST(generate_subscripts(cells, 1) - 1 AS BIGINT) AS col_ix, unnest(cells) AS cell FROM beside""",
     ),
     "u4_user_function_with_helpers": Query(
         user_summary,

@@ -175,14 +175,9 @@ def formatted(spark, d):
     return trades(spark, d).select("d66", "world_ix", trade.format_dm(FORMATS).alias("shown"))
 
 
-LOCATIONS = [f"{n:04d}" for n in range(25)]
-
-
 def wide_table(spark, d):
-    """Worlds as columns: those of the first 25 locations, and all worlds that share them."""
-    first = worlds(spark, d).filter(F.col("location").isin(LOCATIONS))
-    some = trade.calculate_trades(goods(spark, d), first, illegality(spark, d), overrides(spark, d))
-    return trade.wide(goods(spark, d), some, FORMATS, LOCATIONS).withColumnsRenamed({n: f"w{n}" for n in LOCATIONS})
+    """All worlds: the wide table as cells."""
+    return trade.by_world(goods(spark, d), trades(spark, d), FORMATS)
 
 
 def _numbered_goods(spark, d):
@@ -220,11 +215,9 @@ QUERIES = {
     "q7_wide_by_world": Query(
         wide_table,
         f"""WITH {PAIRS_SQL}
-SELECT g.d66, any_value(g.name) AS name, any_value(CASE WHEN has_properties THEN g.tons END) AS tons,
-       any_value(CASE WHEN has_properties THEN CAST(g.base_price AS BIGINT) END) AS base_price,
-       """
-        + ", ".join(f"max(CASE WHEN location = '{n}' THEN shown END) AS w{n}" for n in LOCATIONS)
-        + " FROM goods g LEFT JOIN shown ON shown.d66 = g.d66 GROUP BY g.d66",
+SELECT g.d66, g.name, CASE WHEN has_properties THEN g.tons END AS tons,
+       CASE WHEN has_properties THEN CAST(g.base_price AS BIGINT) END AS base_price, s.world_ix, s.location, s.shown
+FROM goods g LEFT JOIN shown s ON s.d66 = g.d66""",
     ),
     "k5_trade_csv": Query(
         csv_report,

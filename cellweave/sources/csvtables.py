@@ -81,14 +81,16 @@ def write_csv_tables(df: DataFrame, path: str) -> None:
     """One folder of CSV text per table, lines in order, CRLF line ends.
 
     Rows are ranged over `(table_id, row_ix)`: a small table is one file, a long
-    one several whose names are in order.
+    one several whose names are in order. Tables of an earlier run are replaced
+    where they are written again and stay otherwise.
     """
     (
         csv_lines(df)
         .repartitionByRange("table_id", "row_ix")
         .sortWithinPartitions("table_id", "row_ix")
         .select("table_id", "value")
-        .write.mode("errorifexists")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("lineSep", "\r\n")
         .partitionBy("table_id")
         .text(path)

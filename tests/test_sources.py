@@ -99,8 +99,6 @@ def test_user_functions(spark, portions, rows_of):
     plain = concat_portions(df)
     both = named_inputs_function({"b": plain.filter("table_id = 't'"), "a": plain}, lambda a, b: [["a", str(len(a))], ["b", str(len(b))]])
     assert rows_of(both, "u") == [["a", "1"], ["b", "0"]]
-    with pytest.raises(ValueError, match="at most 2 rows"):
-        table_function(df, lambda parts: [], max_rows=2)
     for bad in ("rows", ["row"], [[1]], [[["deep"]]]):
         with pytest.raises(TypeError):
             check_rows(bad)

@@ -1,20 +1,21 @@
 """Reshaping steps over tables in the form of `cellweave.tables`.
 
 A step is a function `(df, layout) -> df`. `sequence` runs several of them as
-one lazy plan. Row-local steps are plain projections on `cells` and keep
-`row_ix`; the others keep `row_ix` unique and in order, not dense.
+one plan. Row-local steps (`row_local`) are plain projections on `cells` and
+keep `row_ix`; the others keep `row_ix` unique and in order, not dense. Steps
+that may give a table more rows than it had are marked `lengthens`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import text
 from cellweave.operators.grouping import RowGrouper, assign_groups
+from cellweave.session import cut_lineage
 from cellweave.tables import TABLE_COLUMNS, Layout, Running, layout_of, running
 
 Step = Callable[[DataFrame, Layout], DataFrame]
@@ -23,23 +24,38 @@ Step = Callable[[DataFrame, Layout], DataFrame]
 def concat_portions(df: DataFrame) -> DataFrame:
     """Portions of each table one after the other, by `part_ix`.
 
-    Pure arithmetic: a portion has fewer than 2**32 rows.
+    Pure arithmetic: a portion has fewer than 2**32 rows. A larger `row_ix`
+    fails the run, since rows of two portions would be mixed.
     """
+    row = F.when(F.col("row_ix").between(0, (1 << 32) - 1), F.col("row_ix")).otherwise(
+        F.raise_error(F.concat(F.lit("row "), "row_ix", F.lit(" of table "), "table_id", F.lit(" does not fit in a portion"))).cast("bigint")
+    )
     return df.select(
-        "table_id",
-        (F.shiftleft(F.col("part_ix").cast("bigint"), 32) + F.col("row_ix")).alias("row_ix"),
-        "cells",
+        "table_id", (F.shiftleft(F.col("part_ix").cast("bigint"), 32) + row).alias("row_ix"), "cells"
     )
 
 
 def sequence(
     df: DataFrame, steps: list[Step], clean: bool = True, layout: Layout | None = None
 ) -> DataFrame:
-    """Concatenated tables through the steps in order, then cleaned cells."""
+    """Concatenated tables through the steps in order, then cleaned cells.
+
+    Rows are counted before the first step that needs to know how long tables
+    are, and again where a step in between may have made them longer: what it
+    gave is written out first, so that counting does not work it out twice.
+    """
     df = df.select(*TABLE_COLUMNS)
-    if layout is None and not all(getattr(step, "row_local", False) for step in steps):
-        layout = layout_of(df)
-    df = reduce(lambda d, step: step(d, layout), steps, df)
+    longer = False
+    for step in steps:
+        if not getattr(step, "row_local", False):
+            if layout is None:
+                layout = layout_of(df)
+            elif longer and not layout.chunked:
+                df = cut_lineage(df)
+                layout = layout_of(df, bits=layout.bits)
+            longer = False
+        df = step(df, layout)
+        longer = longer or getattr(step, "lengthens", False)
     return clean_rows()(df, layout) if clean else df
 
 
@@ -123,17 +139,16 @@ def prepend_row(row: list[str], tables: DataFrame | None = None) -> Step:
     that have no rows as well. Without it, the tables seen in the data are used.
     """
 
-
     def step(df: DataFrame, layout: Layout) -> DataFrame:
         first = _strings([F.lit(c) for c in row])
-        if tables is None:
+        if tables is None and not layout.chunked:
             # The first row of each table brings the new one along.
             ranked = running(df, {"_rank": Running("sum", F.lit(1).cast("bigint"), inclusive=False)}, layout)
             old = F.struct((F.col("row_ix") + 1).alias("row_ix"), "cells")
             new = F.struct(F.lit(0).cast("bigint").alias("row_ix"), first.alias("cells"))
             both = F.when(F.col("_rank") == 0, F.array(new, old)).otherwise(F.array(old))
             return ranked.select("table_id", F.inline(both))
-        headers = tables.select(
+        headers = (df if tables is None else tables).select(
             "table_id", F.lit(0).cast("bigint").alias("row_ix"), first.alias("cells")
         ).distinct()
         return df.select("table_id", (F.col("row_ix") + 1).alias("row_ix"), "cells").unionByName(headers)
@@ -198,6 +213,7 @@ def transpose() -> Step:
             )
         return _columns_of(df, ["table_id"], F.max(F.size("cells"))).select(*TABLE_COLUMNS)
 
+    step.lengthens = True
     return step
 
 
@@ -260,4 +276,5 @@ def wrap_row_every_n(columns: int) -> Step:
             )
         )
 
+    step.lengthens = True
     return step

@@ -107,22 +107,22 @@ def calculate_trades(
 ) -> DataFrame:
     """`(d66, world_ix, location, dm, common, available, illegal)` for goods with properties."""
     traded = goods.filter("properties is not null").select("d66", "properties").join(illegality, "d66", "left")
-    pairs = product(traded, worlds, blocks=blocks).join(
-        overrides.select(
-            "location",
-            "d66",
-            *[F.col(c).alias(f"o_{c}") for c in ("available", "purchase_dm", "sale_dm", "illegal")],
-        ),
-        ["location", "d66"],
-        "left",
+    # The overrides of a location, one a good at most, travel with its worlds:
+    # the product is made last and is not shuffled again for them.
+    changes = overrides.groupBy("location").agg(
+        F.map_from_entries(
+            F.collect_set(F.struct("d66", F.struct("available", "purchase_dm", "sale_dm", "illegal").alias("change")))
+        ).alias("changes")
     )
+    pairs = product(traded, worlds.join(changes, "location", "left"), blocks=blocks)
+    change = F.try_element_at("changes", F.col("d66"))
     p, classes, law, limit = F.col("properties"), F.col("classes"), F.col("law_level"), F.col("illegal_level")
     common = F.array_contains(p["availability"], "All")
-    available = override(common | F.arrays_overlap(p["availability"], classes), F.col("o_available"))
-    illegal = override(F.coalesce(law >= limit, F.lit(False)), F.col("o_illegal"))
-    purchase = override(best_dm(p["purchase_dm"], classes), F.col("o_purchase_dm"))
+    available = override(common | F.arrays_overlap(p["availability"], classes), change["available"])
+    illegal = override(F.coalesce(law >= limit, F.lit(False)), change["illegal"])
+    purchase = override(best_dm(p["purchase_dm"], classes), change["purchase_dm"])
     sale = F.when(illegal & limit.isNotNull(), law - limit).otherwise(best_dm(p["sale_dm"], classes))
-    sale = override(sale, F.col("o_sale_dm"))
+    sale = override(sale, change["sale_dm"])
     return pairs.select(
         "d66",
         "world_ix",

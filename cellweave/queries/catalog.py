@@ -110,11 +110,15 @@ BRAND_NUMBER = "cast(substring(brand, 7) as int)"
 
 
 def supplier_brands(spark, d):
-    """Suppliers with the brands they had large returned sales of; some have none."""
-    line = load(spark, d, "lineitem").filter("l_quantity >= 50 and l_returnflag = 'R'")
+    """Suppliers with the brands they sold more of than twice their mean brand; some have none."""
+    line = load(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("quantity"))
     part = load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    sold = line.join(part, "l_partkey").groupBy("l_suppkey", "p_brand").agg(F.sum("quantity").alias("quantity"))
     brands = (
-        line.select("l_suppkey", "l_partkey").join(part, "l_partkey").groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("brands"))
+        sold.groupBy("l_suppkey")
+        .agg(F.sum("quantity").alias("whole"), F.collect_list(F.struct("p_brand", "quantity")).alias("each"))
+        .withColumn("large", F.filter("each", lambda b: b["quantity"] * F.size("each") > F.col("whole") * 2))
+        .select("l_suppkey", F.col("large.p_brand").alias("brands"))
     )
     return load(spark, d, "supplier").join(brands, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(
         "s_suppkey", "s_name", "s_nationkey", F.coalesce("brands", F.array().cast("array<string>")).alias("codes")
@@ -130,9 +134,12 @@ def brand_codes(spark, d):
     )
 
 
-SUPPLIER_BRANDS = """brands AS (
-    SELECT DISTINCT l_suppkey AS s_suppkey, p_brand AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE l_quantity >= 50 AND l_returnflag = 'R'),
+SUPPLIER_BRANDS = """sold AS (
+    SELECT l_suppkey, p_brand, sum(CAST(l_quantity AS BIGINT)) AS quantity
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand),
+brands AS (
+    SELECT l_suppkey AS s_suppkey, p_brand AS code FROM sold
+    QUALIFY quantity * count(*) OVER (PARTITION BY l_suppkey) > sum(quantity) OVER (PARTITION BY l_suppkey) * 2),
 codes AS (SELECT DISTINCT p_brand AS code, 'Class ' || (CAST(substr(p_brand, 7) AS INT) % 7) AS classification
           FROM part WHERE p_brand <> 'Brand#13')"""
 

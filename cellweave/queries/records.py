@@ -46,9 +46,12 @@ def parse_locations(spark, d):
 
 
 def digits(spark, d):
-    df = load(spark, d, "customer").selectExpr("c_custkey", "substring(c_mktsegment, c_custkey % 8 + 1, 1) AS c")
+    """Every character of the segments."""
+    df = load(spark, d, "customer").selectExpr(
+        "c_custkey", "explode(sequence(1, length(c_mktsegment))) AS place", "substring(c_mktsegment, place, 1) AS c"
+    )
     value = codes.parse_digit(F.col("c"))
-    return df.select("c_custkey", value.cast("bigint").alias("value"), codes.format_digit(value).alias("shown"))
+    return df.select("c_custkey", F.col("place").cast("bigint").alias("place"), value.cast("bigint").alias("value"), codes.format_digit(value).alias("shown"))
 
 
 def trade_goods(spark, d):
@@ -189,9 +192,10 @@ FROM (SELECT c_custkey, lpad(CAST(c_custkey % 10000 AS VARCHAR), 3 + c_nationkey
     ),
     "n1_parse_digit": Query(
         digits,
-        f"""SELECT c_custkey, CAST(v AS BIGINT) AS value, CASE WHEN v IS NOT NULL THEN c END AS shown FROM (
-    SELECT c_custkey, c, CASE WHEN c <> '' AND strpos({DIGITS_SQL}, c) > 0 THEN strpos({DIGITS_SQL}, c) - 1 END AS v
-    FROM (SELECT c_custkey, substr(c_mktsegment, c_custkey % 8 + 1, 1) AS c FROM customer))""",
+        f"""SELECT c_custkey, place, CAST(v AS BIGINT) AS value, CASE WHEN v IS NOT NULL THEN c END AS shown FROM (
+    SELECT c_custkey, place, c, CASE WHEN c <> '' AND strpos({DIGITS_SQL}, c) > 0 THEN strpos({DIGITS_SQL}, c) - 1 END AS v
+    FROM (SELECT c_custkey, place, substr(c_mktsegment, place, 1) AS c
+          FROM (SELECT *, unnest(range(1, length(c_mktsegment) + 1)) AS place FROM customer)))""",
     ),
     "n1_profile_errors": Query(
         profile_errors,

@@ -1,7 +1,7 @@
 """The trade table over suppliers (worlds) and kinds of parts (goods).
 
 Goods are the pairs of brand and type of `part`, some 150 at any size; worlds
-are suppliers with the classes of the brands they had large returned sales of.
+are suppliers with the classes of the brands they sold much of.
 """
 
 from __future__ import annotations
@@ -92,18 +92,23 @@ def illegality(spark, d) -> DataFrame:
 
 
 def overrides(spark, d) -> DataFrame:
-    line = load(spark, d, "lineitem").filter("l_quantity >= 48 and l_returnflag = 'A'")
+    """One for each place and kind of good of which at least half of the sales were returned."""
+    line = load(spark, d, "lineitem")
     part = load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
     sold = (
-        line.select("l_suppkey", "l_partkey", "l_linenumber")
+        line.select("l_suppkey", "l_partkey", "l_linenumber", "l_returnflag")
         .join(part, "l_partkey")
         .selectExpr(
             "lpad(cast(l_suppkey % 10000 as string), 4, '0') AS location",
             "concat(cast(substring(p_brand, 7) as int), '-', left(p_type, 2)) AS d66",
             "l_linenumber",
+            "CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS back",
         )
     )
-    return sold.groupBy("location", "d66").agg(F.max("l_linenumber").alias("m"), F.count("*").alias("n")).selectExpr(
+    counted = sold.groupBy("location", "d66").agg(
+        F.max("l_linenumber").alias("m"), F.count("*").alias("n"), F.sum("back").alias("back")
+    )
+    return counted.filter("back * 2 >= n").selectExpr(
         "location", "d66",
         "CASE m % 3 WHEN 0 THEN true WHEN 1 THEN false END AS available",
         "CASE WHEN m % 4 = 1 THEN cast(m as bigint) END AS purchase_dm",
@@ -118,7 +123,7 @@ OVERRIDES_SQL = """overrides AS (
            CASE m % 5 WHEN 0 THEN true WHEN 1 THEN false END AS illegal
     FROM (SELECT lpad(CAST(l_suppkey % 10000 AS VARCHAR), 4, '0') AS location,
                  CAST(substr(p_brand, 7) AS INT) || '-' || left(p_type, 2) AS d66, max(l_linenumber) AS m, count(*) AS n
-          FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48 AND l_returnflag = 'A' GROUP BY 1, 2))"""
+          FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING 2 * count(*) FILTER (l_returnflag = 'A') >= count(*)))"""
 
 PAIRS_SQL = f"""{GOODS_SQL}, {WORLDS_SQL}, {OVERRIDES_SQL},
 best_purchase AS (SELECT d66, world_ix, max(dm) AS dm FROM purchase JOIN classes USING (class) GROUP BY d66, world_ix),

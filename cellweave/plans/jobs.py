@@ -43,22 +43,38 @@ def _tagged_table(spark: SparkSession, job: TradeJob, tags: list[str], columns:
     return records.by_header(csvtables.read_csv_tables(spark, f"{job.tables}/{path}"), columns)
 
 
+def _refuse(faults: DataFrame, what: str, name: str) -> None:
+    """Fail where there are malformed records, and show the first of them."""
+    shown = [f"{r[name]} ({', '.join(r.bad)})" for r in faults.select(name, "bad").limit(20).collect()]
+    if shown:
+        raise ValueError(f"malformed {what}: {'; '.join(shown)}")
+
+
 def trade_report(spark: SparkSession, job: TradeJob) -> DataFrame:
-    """The report as `(block, line_ix, line)`; write it with `write_report`."""
-    goods = records.trade_goods(_tagged_table(spark, job, GOODS_TAGS, records.GOODS_COLUMNS))
+    """The report as `(block, line_ix, line)`; write it with `write_report`.
+
+    A malformed good, world, law level or override fails the run: it would get
+    a number that looks right. All of them are in the `..._faults` frames.
+    """
+    goods_rows = _tagged_table(spark, job, GOODS_TAGS, records.GOODS_COLUMNS)
+    _refuse(records.goods_faults(goods_rows), "goods", "D66")
+    goods = records.trade_goods(goods_rows)
     goods = cut_lineage(goods.withColumnRenamed("row_ix", "good_ix").drop("table_id"))
     criteria = ["Classification", "Code", *records.CRITERIA_COLUMNS]
     codes = records.trade_codes(_tagged_table(spark, job, CODES_TAGS, criteria))
 
     unknown_ok = "trade-codes" in job.ignore_unknown
     numbered = worldfiles.read_numbered_worlds(spark, job.world_source, job.worlds)
+    _refuse(worldfiles.world_faults(spark, job.world_source, job.worlds), "worlds", "Name")
     worlds = cut_lineage(trade.world_views(numbered, codes, unknown_ok))
 
     if job.illegality:
+        _refuse(worldfiles.illegality_faults(spark, job.illegality), "law levels", "D66")
         illegality = worldfiles.read_illegality(spark, job.illegality)
     else:
         illegality = spark.createDataFrame([], "d66 string, illegal_level bigint")
     if job.overrides:
+        _refuse(worldfiles.override_faults(spark, job.overrides), "overrides", "Location")
         overrides = worldfiles.read_overrides(spark, job.overrides)
     else:
         overrides = spark.createDataFrame(

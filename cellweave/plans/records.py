@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes, text
@@ -50,6 +50,24 @@ def bad_records(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFram
     return checked.filter(F.size("bad") == 0).drop("bad"), checked.filter(F.size("bad") > 0)
 
 
+def unparsed(df: DataFrame, parsers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows with a text that does not parse, and the columns at fault in `bad`; a blank text is no fault."""
+    wrong = lambda c, parse: (F.coalesce(F.col(c), F.lit("")) != "") & parse(F.col(c)).isNull()
+    return _with_bad(df, [F.when(wrong(c, parse), F.lit(c)) for c, parse in parsers.items()])
+
+
+def _with_bad(df: DataFrame, faults: list[Column]) -> DataFrame:
+    return df.withColumn("bad", F.array_compact(F.array(*faults))).filter(F.size("bad") > 0)
+
+
+def goods_faults(df: DataFrame) -> DataFrame:
+    """Rows of goods without number or name, or with a base price where that or a modifier is malformed or blank."""
+    priced = F.col("Base Price").isNotNull()
+    parsers = {"Base Price": text.parse_credits, "Purchase DM": text.parse_modifiers, "Sale DM": text.parse_modifiers}
+    missing = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(c)) for c in ("D66", "Type")]
+    return _with_bad(df, missing + [F.when(priced & parse(F.col(c)).isNull(), F.lit(c)) for c, parse in parsers.items()])
+
+
 def by_header(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows keyed by the titles in row 0: `(table_id, row_ix, <columns>)`.
 

@@ -185,6 +185,15 @@ def wide_table(spark, d):
     return trade.by_world(goods(spark, d), trades(spark, d), FORMATS)
 
 
+def rejected_records(spark, d):
+    """Goods some of whose prices and modifiers were spoiled."""
+    spoiled = goods_rows(spark, d).withColumns({
+        "Base Price": F.when(F.expr("b % 5 = 1 AND `Base Price` IS NOT NULL"), F.lit("Cr 1,x")).otherwise(F.col("Base Price")),
+        "Purchase DM": F.when(F.expr("hi % 4 = 0"), F.concat("Purchase DM", F.lit(", oops"))).otherwise(F.col("Purchase DM")),
+    })
+    return records.goods_faults(spoiled).select(F.col("D66").alias("d66"), F.array_join("bad", ";").alias("bad"))
+
+
 def _numbered_goods(spark, d):
     listed = goods(spark, d).withColumn("book", F.lit(1))
     return in_order(listed, ("book",), [F.col("d66")], "good_ix").drop("book")
@@ -216,6 +225,12 @@ QUERIES = {
     "q3_availability": Query(availability, f"WITH {PAIRS_SQL} SELECT d66, world_ix, common, available FROM pairs"),
     "q4_legality": Query(legality, f"WITH {PAIRS_SQL} SELECT d66, world_ix, illegal FROM pairs"),
     "q5_trade_table": Query(trade_table, f"WITH {PAIRS_SQL} SELECT * FROM trades"),
+    "q5_rejected_records": Query(
+        rejected_records,
+        f"""WITH {GOODS_SQL}
+SELECT d66, concat_ws(';', CASE WHEN b % 5 = 1 THEN 'Base Price' END, CASE WHEN hi % 4 = 0 THEN 'Purchase DM' END) AS bad
+FROM goods WHERE has_properties AND (b % 5 = 1 OR hi % 4 = 0)""",
+    ),
     "q6_formatted": Query(formatted, f"WITH {PAIRS_SQL} SELECT d66, world_ix, shown FROM shown"),
     "q7_wide_by_world": Query(
         wide_table,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions import text
-from cellweave.plans.records import worlds_from_csv, worlds_from_sector
+from cellweave.functions import codes, text
+from cellweave.plans.records import unparsed, worlds_from_csv, worlds_from_sector
 from cellweave.tables import in_order
 
 INDEX_COLUMNS = ["table_path", "pages", "tags"]
@@ -51,6 +51,25 @@ def read_numbered_worlds(spark: SparkSession, source: str, path: str) -> DataFra
     return in_order(WORLD_SOURCES[source](spark, path), (), [F.col("_place")], "world_ix").drop("_place")
 
 
+def world_faults(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """Worlds whose profile or location is there but malformed, with the columns in `bad`."""
+    df, place = (read_keyed_csv(spark, path), "Location") if source == "csv" else (read_sector_tsv(spark, path), "Hex")
+    return unparsed(df, {"UWP": codes.parse_profile, place: codes.parse_location})
+
+
+def override_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Overrides with a malformed value, with the columns in `bad`."""
+    parsers = {
+        "Available": text.parse_bool, "Purchase DM": text.parse_int, "Sale DM": text.parse_int, "Illegal": text.parse_bool,
+    }
+    return unparsed(read_keyed_csv(spark, path), parsers)
+
+
+def illegality_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with a malformed law level, with the column in `bad`."""
+    return unparsed(read_keyed_csv(spark, path), {"Illegal law level": text.parse_int})
+
+
 def _last_per_key(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """The last row of each key in file order, by `_place`."""
     latest = F.max_by(F.struct(*[v.alias(n) for n, v in values.items()]), F.col("_place"))

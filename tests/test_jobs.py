@@ -1,5 +1,7 @@
 """Both jobs from files to files."""
 
+import pytest
+
 from cellweave.operators import reshape
 from cellweave.operators.grouping import StaticRowCounts
 from cellweave.plans import jobs, trade
@@ -7,6 +9,23 @@ from cellweave.plans.extraction import Choice
 from cellweave.sources.csvtables import read_written_tables
 
 
+def _refused(spark, job, tmp_path):
+    """One malformed value at a time fails the report, and is named."""
+    spoiled = {
+        "goods": ("trade/goods.csv", "Poor +3", "Poor 3", "11 .Sale DM."),
+        "worlds": ("worlds.csv", "A548698-C", "A5486", "Midgard .UWP."),
+        "law levels": ("illegal.csv", "21,7", "21,seven", "21 .Illegal law level."),
+        "overrides": ("over.csv", "true,,4", "yes,,4", "0204 .Available."),
+    }
+    for what, (name, old, new, place) in spoiled.items():
+        path = tmp_path / name
+        good = path.read_text()
+        path.write_text(good.replace(old, new))
+        with pytest.raises(ValueError, match=f"malformed {what}: {place}"):
+            jobs.trade_report(spark, job)
+        path.write_text(good)
+
+
 def test_trade_report(spark, tmp_path):
     (tmp_path / "index.csv").write_text("table_path,pages,tags\ntrade/goods.csv,1;2,trade;type/trade-good\ncodes.csv,3,type/trade-code\n")
     (tmp_path / "trade").mkdir()
@@ -30,6 +49,7 @@ def test_trade_report(spark, tmp_path):
         illegality=str(tmp_path / "illegal.csv"), overrides=str(tmp_path / "over.csv"), ignore_unknown=["trade-codes"],
         formats=trade.Formats(illegal="x{}", unavailable="({})"), key=False, explanation=False,
     )
+    _refused(spark, job, tmp_path)
     out = tmp_path / "report"
     jobs.write_report(jobs.trade_report(spark, job), str(out))
     text = "".join(p.read_text() for p in sorted(out.glob("part-*")))

@@ -245,3 +245,24 @@ def test_small_tables_share_one_exchange(portions):
 def test_cells_form(portions):
     out = to_cells(portions([[["a", "b"], [], ["c"]]]))
     assert sorted(map(tuple, out.collect())) == [("t", 0, 0, "a"), ("t", 0, 1, "b"), ("t", 2, 0, "c")]
+
+
+def test_rows_are_counted_again_after_steps_that_add_some(portions, rows_of):
+    """One wide row becomes many rows: the steps after it must not trust the first count."""
+    seen = []
+
+    def look(df, layout):
+        seen.append(layout.chunked)
+        return df
+
+    df = reshape.concat_portions(portions([[[str(i) for i in range(50)]]]))
+    steps = [look, reshape.wrap_row_every_n(1), look, reshape.fold_rows([StaticRowCounts((7,)), AllRows()])]
+    out = reshape.sequence(df, steps, layout=Layout(chunked=False, bits=3))
+    assert seen == [False, True]
+    assert rows_of(out) == [[" ".join(map(str, range(7)))], [" ".join(map(str, range(7, 50)))]]
+
+
+def test_a_row_number_that_does_not_fit_fails(spark):
+    df = spark.createDataFrame([("t", 0, 1 << 32, ["a"])], "table_id string, part_ix int, row_ix bigint, cells array<string>")
+    with pytest.raises(Exception, match="does not fit in a portion"):
+        reshape.concat_portions(df).collect()

@@ -16,8 +16,11 @@ def run(portions, rows_of, layout, tables, steps):
     return rows_of(reshape.sequence(df, steps, layout=layout))
 
 
-HEADED = [["", "top b"], ["head a", "head b"], ["x1", "y1"], ["", "y2"], ["x3", "y3"], ["x4", ""], ["x5", "y5"]]
-RAGGED5 = [["a1", "a2", "a3", "a4", "a5"], ["b1", "b2", "b3", "b4"], ["c1", "c2", "c3"], ["d1", "d2"], ["e1"], []]
+FORM = [
+    ["Ship", "", "Crew"], ["", "Mass", "(max)"], ["Gnat", "12", "3"], ["", "t", ""], ["", "", "or 4"], ["Wasp", "90", ""], ["", "", "11"],
+]
+FOLDED_FORM = [["Ship", "Mass", "Crew (max)"], ["Gnat", "12 t", "3 or 4"], ["Wasp", "90", "11"]]
+UNEVEN = [["p", "q"], ["a", "b", "c", "d", "e", "f"], ["k"], [], ["w", "x", "y", "z"]]
 
 CASES = {
     "no steps": ([[["h 1", "h 2"], ["x", "y"]]], [], [["h 1", "h 2"], ["x", "y"]]),
@@ -30,19 +33,19 @@ CASES = {
         [["h1"], ["h2"], ["x"], ["y"], ["z"]],
     ),
     "fold a header": (
-        [HEADED[:3] + [["x2", "y2"]]],
+        [FORM[:3]],
         [reshape.fold_rows([StaticRowCounts((2,))])],
-        [["head a", "top b head b"], ["x1", "y1"], ["x2", "y2"]],
+        [FOLDED_FORM[0], FORM[2]],
     ),
     "fold by counts": (
-        [HEADED],
-        [reshape.fold_rows([StaticRowCounts((2, 2, 2))])],
-        [["head a", "top b head b"], ["x1", "y1 y2"], ["x3 x4", "y3"], ["x5", "y5"]],
+        [FORM],
+        [reshape.fold_rows([StaticRowCounts((2, 3, 2))])],
+        FOLDED_FORM,
     ),
     "fold by counts, then by empty column": (
-        [HEADED],
+        [FORM],
         [reshape.fold_rows([StaticRowCounts((2,)), EmptyColumn(0)])],
-        [["head a", "top b head b"], ["x1", "y1 y2"], ["x3", "y3"], ["x4", ""], ["x5", "y5"]],
+        FOLDED_FORM,
     ),
     "fold leading empty rows": (
         [[["", "a"], ["", "b"], ["x", "c"], [], ["", "d"]]],
@@ -72,24 +75,24 @@ CASES = {
     ),
     "expand into nothing": ([[["a", "b"]]], [reshape.expand_column_on_regex(0, "a", [], ["x"])], [["b"]]),
     "join 1 to 3": (
-        [RAGGED5],
-        [reshape.join_columns(1, 3, " ")],
-        [["a1", "a2 a3", "a4", "a5"], ["b1", "b2 b3", "b4"], ["c1", "c2 c3"], ["d1", "d2"], ["e1"], []],
+        [UNEVEN],
+        [reshape.join_columns(1, 3, "/")],
+        [["p", "q"], ["a", "b/c", "d", "e", "f"], ["k"], [], ["w", "x/y", "z"]],
     ),
     "join from 1": (
-        [RAGGED5],
-        [reshape.join_columns(from_=1, delim=" ")],
-        [["a1", "a2 a3 a4 a5"], ["b1", "b2 b3 b4"], ["c1", "c2 c3"], ["d1", "d2"], ["e1"], []],
+        [UNEVEN],
+        [reshape.join_columns(from_=1, delim="/")],
+        [["p", "q"], ["a", "b/c/d/e/f"], ["k"], [], ["w", "x/y/z"]],
     ),
     "join to 3": (
-        [RAGGED5],
-        [reshape.join_columns(to=3, delim=" ")],
-        [["a1 a2 a3", "a4", "a5"], ["b1 b2 b3", "b4"], ["c1 c2 c3"], ["d1 d2"], ["e1"], []],
+        [UNEVEN],
+        [reshape.join_columns(to=3, delim="/")],
+        [["p/q"], ["a/b/c", "d", "e", "f"], ["k"], [], ["w/x/y", "z"]],
     ),
     "join all": (
-        [RAGGED5],
-        [reshape.join_columns(delim=" ")],
-        [["a1 a2 a3 a4 a5"], ["b1 b2 b3 b4"], ["c1 c2 c3"], ["d1 d2"], ["e1"], []],
+        [UNEVEN],
+        [reshape.join_columns(delim="/")],
+        [["p/q"], ["a/b/c/d/e/f"], ["k"], [], ["w/x/y/z"]],
     ),
     "join an empty range": ([[["a", "b", "c"]]], [reshape.join_columns(2, 1, "-")], [["a", "b", "c"]]),
     "split": (
@@ -98,14 +101,14 @@ CASES = {
         [["0", "a", "b", "c"], ["0", "a", "b", "c", "d"], ["0", "a"], ["0"], [], ["0", ""]],
     ),
     "wrap": (
-        [[["a1", "a2", "a3", "a4"], ["b1", "b2", "b3", "b4", "b5"], ["c1", "c2", "c3"], [], ["e1"]]],
-        [reshape.wrap_row_every_n(2)],
-        [["a1", "a2"], ["a3", "a4"], ["b1", "b2"], ["b3", "b4"], ["b5", "c1"], ["c2", "c3"], ["e1"]],
+        [[["n1"], ["n2", "n3", "n4", "n5"], [], ["n6", "n7", "n8"]]],
+        [reshape.wrap_row_every_n(3)],
+        [["n1", "n2", "n3"], ["n4", "n5", "n6"], ["n7", "n8"]],
     ),
     "transpose": (
-        [[["a1", "a2", "a3"], ["b1", "b2"], ["c1", "c2", "c3"]]],
+        [[["a"], ["b", "c"], [], ["d", "e", "f"]]],
         [reshape.transpose()],
-        [["a1", "b1", "c1"], ["a2", "b2", "c2"], ["a3", "", "c3"]],
+        [["a", "b", "", "d"], ["", "c", "", "e"], ["", "", "", "f"]],
     ),
     "transpose nothing": ([[[], []]], [reshape.transpose()], []),
     "wrap then transpose": (
@@ -231,7 +234,7 @@ def test_layout_follows_the_longest_table(portions):
 
 def test_small_tables_share_one_exchange(portions):
     """Consecutive steps on small tables are grouped on `table_id` once."""
-    df = reshape.concat_portions(portions([HEADED])).repartition(3)
+    df = reshape.concat_portions(portions([FORM])).repartition(3)
     steps = [
         reshape.fold_rows([StaticRowCounts((2,)), EmptyColumn(0)]),
         reshape.wrap_row_every_n(2),

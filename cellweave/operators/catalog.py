@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from cellweave.tables import Layout, in_order
 
+#: An output file is named after its table, and ends so.
+OUTPUT_SUFFIX = ".csv"
+
 # What names, tags and node ids may look like, and how the stem of
 # a craft's file tells its category.
 NAME_PATTERN = r"\A[a-z0-9_-]+\z"
@@ -115,7 +118,7 @@ def inherit_tags(catalog: DataFrame) -> DataFrame:
 
 def output_paths(tables: DataFrame) -> DataFrame:
     """Name the output file of each table. Sort by it where order is wanted: joins do not keep it."""
-    return tables.withColumn("out_path", F.concat("path", F.lit(".csv")))
+    return tables.withColumn("out_path", F.concat("path", F.lit(OUTPUT_SUFFIX)))
 
 
 def pages_of(portions: DataFrame, page_offset: int) -> DataFrame:

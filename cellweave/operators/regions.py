@@ -154,7 +154,7 @@ def non_overlapping_batches(regions: DataFrame) -> DataFrame:
     theirs in the same round, so with the hashed order a long row of boxes, each
     overlapping the next, takes few rounds. Every round is written out.
     """
-    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    rank = lambda c: F.struct(F.md5(F.col(c).cast("string").cast("binary")), F.col(c))
     first = rank("region_a") < rank("region_b")
     pairs = overlapping(regions).select(
         F.when(first, F.col("region_a")).otherwise(F.col("region_b")).alias("earlier"),

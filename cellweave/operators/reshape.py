@@ -154,6 +154,7 @@ def prepend_row(row: list[str], tables: DataFrame | None = None) -> Step:
         return df.select("table_id", (F.col("row_ix") + 1).alias("row_ix"), "cells").unionByName(headers)
 
     step.row_local = tables is not None
+    step.for_tables = lambda listed: prepend_row(row, listed if tables is None else tables)
     return step
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import catalog as cat
 from cellweave.operators.reshape import Step, concat_portions, sequence
+from cellweave.session import scratch_path
 from cellweave.tables import Layout, layout_of
 
 
@@ -33,23 +34,40 @@ def extract(
 ) -> DataFrame:
     """Reshape the chosen tables: one plan per transform, shared by its tables.
 
-    Tables without a transform are concatenated as they are.
+    Tables without a transform are concatenated as they are; those with one that
+    is not in `transforms` give nothing (see `unknown_transforms`). The chosen
+    rows are written once, by transform, so each plan reads its own tables only.
     """
-    chosen = portions.join(work.select(F.col("path").alias("table_id"), "transform"), "table_id")
+    listed = work.select(F.col("path").alias("table_id"), "transform")
+    spark, path = work.sparkSession, scratch_path(work.sparkSession, "chosen")
+    chosen = portions.join(listed, "table_id").select("table_id", "part_ix", "row_ix", "cells", "transform")
+    chosen.write.partitionBy("transform").parquet(path)
+    chosen = spark.read.schema(chosen.schema).parquet(path)
     layout = layout or layout_of(chosen)
-    plain = concat_portions(chosen.filter(F.col("transform").isNull() | ~F.col("transform").isin(list(transforms))))
-    parts = [
-        sequence(concat_portions(chosen.filter(F.col("transform") == name)), steps, layout=layout)
-        for name, steps in transforms.items()
-    ]
-    return reduce(DataFrame.unionByName, parts, plain)
+    # One row per transform, of which there are as many as the caller has named.
+    used = {r.transform for r in listed.select("transform").distinct().collect()}
+    parts = []
+    for name in sorted(used & set(transforms)):
+        own = listed.filter(F.col("transform") == name).select("table_id")
+        steps = [s.for_tables(own) if hasattr(s, "for_tables") else s for s in transforms[name]]
+        parts.append(sequence(concat_portions(chosen.filter(F.col("transform") == name)), steps, layout=layout))
+    return reduce(DataFrame.unionByName, parts, concat_portions(chosen.filter("transform is null")))
+
+
+def unknown_transforms(work: DataFrame, transforms: dict[str, list[Step]]) -> DataFrame:
+    """`(table_id, error)` of the tables whose transform is not there."""
+    unknown = work.filter(F.col("transform").isNotNull() & ~F.col("transform").isin(list(transforms)))
+    return unknown.select(F.col("path").alias("table_id"), F.format_string("unknown transform %s", "transform").alias("error"))
 
 
 def index_rows(work: DataFrame, portions: DataFrame, page_offset: int = 1) -> DataFrame:
+    """Index rows of the tables of the work list; one without portions has no pages."""
     pages = cat.pages_of(portions, page_offset).withColumnRenamed("table_id", "path")
-    return work.join(pages, "path").select(F.col("out_path").alias("table_path"), "pages", "tags")
+    return work.join(pages, "path", "left").select(
+        F.col("out_path").alias("table_path"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), "tags"
+    )
 
 
-def run_outcomes(work: DataFrame, portions: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per table of the work list: done, or what went wrong."""
-    return cat.outcomes(work.select(F.col("path").alias("table_id")), portions, errors)
+def run_outcomes(work: DataFrame, written: DataFrame, errors: DataFrame) -> DataFrame:
+    """Per table of the work list: written, or what went wrong."""
+    return cat.outcomes(work.select(F.col("path").alias("table_id")), written, errors)

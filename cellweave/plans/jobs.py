@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import catalog as cat
-from cellweave.operators.reshape import Step
+from cellweave.operators.reshape import Step, concat_portions
 from cellweave.plans import extraction, records, trade
 from cellweave.session import cut_lineage
 from cellweave.sources import csvtables, worldfiles
+from cellweave.tables import in_order
 
 # Tags of the tables the trade report reads.
 GOODS_TAGS = ["type/trade-good"]
@@ -30,6 +31,8 @@ class TradeJob:
     overrides: str | None = None
     ignore_unknown: list[str] = field(default_factory=list)
     formats: trade.Formats = trade.Formats()
+    #: `tables` is the folder that `extract_tables` wrote, not one of CSV files.
+    extracted: bool = False
     output: str = "csv"
     headers: bool = True
     key: bool = True
@@ -40,9 +43,18 @@ def _tagged_table(spark: SparkSession, job: TradeJob, tags: list[str], columns:
     """The one table with these tags, keyed by its titles."""
     index = worldfiles.read_index(spark, job.index)
     path = cat.only_row(cat.with_all_tags(index, tags), ", ".join(tags)).first().table_path
+    if job.extracted:
+        name = path.removesuffix(cat.OUTPUT_SUFFIX)
+        return records.by_header(_renumbered(csvtables.read_written_tables(spark, job.tables, only=name)), columns)
     return records.by_header(csvtables.read_csv_tables(spark, f"{job.tables}/{path}"), columns)
 
 
+def _renumbered(portions: DataFrame) -> DataFrame:
+    """Portions as tables whose rows are numbered from 0: the first part file has the titles."""
+    rows = concat_portions(portions)
+    return in_order(rows.withColumnRenamed("row_ix", "place"), ("table_id",), [F.col("place")], "row_ix").drop("place")
+
+
 def _refuse(faults: DataFrame, what: str, name: str) -> None:
     """Fail where there are malformed records, and show the first of them."""
     shown = [f"{r[name]} ({', '.join(r.bad)})" for r in faults.select(name, "bad").limit(20).collect()]
@@ -56,7 +68,7 @@ def trade_report(spark: SparkSession, job: TradeJob) -> DataFrame:
     A malformed good, world, law level or override fails the run: it would get
     a number that looks right. All of them are in the `..._faults` frames.
     """
-    goods_rows = _tagged_table(spark, job, GOODS_TAGS, records.GOODS_COLUMNS)
+    goods_rows = cut_lineage(_tagged_table(spark, job, GOODS_TAGS, records.GOODS_COLUMNS))
     _refuse(records.goods_faults(goods_rows), "goods", "D66")
     goods = records.trade_goods(goods_rows)
     goods = cut_lineage(goods.withColumnRenamed("row_ix", "good_ix").drop("table_id"))
@@ -69,13 +81,15 @@ def trade_report(spark: SparkSession, job: TradeJob) -> DataFrame:
     worlds = cut_lineage(trade.world_views(numbered, codes, unknown_ok))
 
     if job.illegality:
-        _refuse(worldfiles.illegality_faults(spark, job.illegality), "law levels", "D66")
-        illegality = worldfiles.read_illegality(spark, job.illegality)
+        laws = cut_lineage(worldfiles.read_keyed_csv(spark, job.illegality, place=True))
+        _refuse(worldfiles.illegality_faults(spark, laws), "law levels", "D66")
+        illegality = worldfiles.read_illegality(spark, laws)
     else:
         illegality = spark.createDataFrame([], "d66 string, illegal_level bigint")
     if job.overrides:
-        _refuse(worldfiles.override_faults(spark, job.overrides), "overrides", "Location")
-        overrides = worldfiles.read_overrides(spark, job.overrides)
+        given = cut_lineage(worldfiles.read_keyed_csv(spark, job.overrides, place=True))
+        _refuse(worldfiles.override_faults(spark, given), "overrides", "Location")
+        overrides = worldfiles.read_overrides(spark, given)
     else:
         overrides = spark.createDataFrame(
             [], "location string, d66 string, available boolean, purchase_dm bigint, sale_dm bigint, illegal boolean"
@@ -103,15 +117,22 @@ def extract_tables(
     errors: DataFrame | None = None,
     page_offset: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
-    """Extract the chosen tables to CSV below `out`; gives the new index and the outcomes.
+    """Extract the chosen tables to CSV below `out/tables`; gives the new index, written to `out/index`, and the outcomes.
 
     `portions` has `table_id` equal to catalog paths. `errors` `(table_id, error)`
     are reading errors of tables; the other tables are extracted all the same.
+    `trade_report` reads both folders, with `extracted`. A later run adds tables
+    to them, or replaces those that the choice overwrites.
     """
     spark = catalog.sparkSession
     errors = errors if errors is not None else spark.createDataFrame([], "table_id string, error string")
     work = cut_lineage(extraction.work_list(catalog, index, choice))
-    good = portions.join(errors.select("table_id"), "table_id", "left_anti")
-    csvtables.write_csv_tables(extraction.extract(work, good, transforms), f"{out}/tables")
-    new_index = cat.upsert_index(index, extraction.index_rows(work, good, page_offset))
-    return new_index, extraction.run_outcomes(work, good, errors)
+    errors = cut_lineage(errors.unionByName(extraction.unknown_transforms(work, transforms)))
+    sound = work.join(errors.select(F.col("table_id").alias("path")), "path", "left_anti")
+    # Written before it is ranged into files, which reads it twice, and to know which tables came out.
+    extracted = cut_lineage(extraction.extract(sound, portions, transforms))
+    csvtables.write_csv_tables(extracted, f"{out}/tables")
+    written = extracted.select("table_id").distinct()
+    indexed = sound.join(written.select(F.col("table_id").alias("path")), "path", "left_semi")
+    worldfiles.write_index(cat.upsert_index(index, extraction.index_rows(indexed, portions, page_offset)), f"{out}/index")
+    return worldfiles.read_index(spark, f"{out}/index"), extraction.run_outcomes(work, written, errors)

@@ -136,7 +136,21 @@ FROM regions a JOIN regions b ON {OVERLAP} AND a.region_id < b.region_id""",
     "p4_batches_by_page": Query(
         batch_sizes, f"WITH {REGIONS_SQL} SELECT doc, page, method, count(*) AS regions FROM regions GROUP BY doc, page, method"
     ),
-    "p5_non_overlapping_batches": Query(batches),
+    "p5_non_overlapping_batches": Query(
+        batches,
+        f"""WITH RECURSIVE {REGIONS_SQL},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY md5(CAST(region_id AS VARCHAR)), region_id) AS r FROM regions),
+walk AS (
+    SELECT *, CAST(0 AS BIGINT) AS batch,
+           [{{'batch': CAST(0 AS BIGINT), 'lft': lft, 'tp': tp, 'rgt': rgt, 'btm': btm}}] AS placed
+    FROM ranked WHERE r = 1
+    UNION ALL
+    SELECT * REPLACE (list_append(placed, {{'batch': batch, 'lft': lft, 'tp': tp, 'rgt': rgt, 'btm': btm}}) AS placed) FROM (
+        SELECT b.*, list_min(list_filter(range(len(a.placed) + 1), lambda k: NOT list_contains(list_transform(list_filter(a.placed,
+               lambda p: p.lft <= b.rgt AND b.lft <= p.rgt AND p.tp <= b.btm AND b.tp <= p.btm), lambda p: p.batch), k))) AS batch, a.placed
+        FROM walk a JOIN ranked b ON b.page = a.page AND b.r = a.r + 1))
+SELECT region_id, batch FROM walk""",
+    ),
     "p6_quantised_boxes": Query(
         sizes,
         f"""WITH {ITEMS_SQL} SELECT item_id, lft AS left, tp AS top, rgt - lft AS width, btm - tp AS height,

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes, text
-from cellweave.plans.records import unparsed, worlds_from_csv, worlds_from_sector
+from cellweave.plans.records import by_header, unparsed, worlds_from_csv, worlds_from_sector
+from cellweave.sources.csvtables import read_csv_tables
 from cellweave.tables import in_order
 
 INDEX_COLUMNS = ["table_path", "pages", "tags"]
 
 
 def read_keyed_csv(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
-    """A rectangular CSV with titles, strings only; a blank cell is null.
+    """CSV files with titles, strings only; a blank cell is null.
 
-    `place` adds `_place`, which orders the rows of a file.
+    Columns go by title, so files may have them in different orders; quoted line
+    breaks are kept. `place` adds `_place`, which orders the rows of a file.
     """
-    df = spark.read.option("header", True).option("escape", '"').csv(path)
-    return df.select("*", _place()) if place else df
+    rows = read_csv_tables(spark, path)
+    # One row per column of the files.
+    titles = rows.filter("row_ix = 0").select(F.posexplode("cells").alias("at", "title")).groupBy("title").agg(F.min("at").alias("at"))
+    names = [r.title for r in titles.orderBy("at", "title").collect() if r.title]
+    keyed = by_header(rows, names).toDF("_file", "_row", *names)
+    cells = [F.when(F.col(_quoted(c)) != "", F.col(_quoted(c))).alias(c) for c in names]
+    return keyed.select(*cells, *([F.struct("_file", "_row").alias("_place")] if place else []))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _place() -> Column:
@@ -26,6 +39,11 @@ def _place() -> Column:
     return at.alias("_place")
 
 
+def _keyed(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """Rows of a keyed CSV with their `_place`, where they are not read yet."""
+    return source if isinstance(source, DataFrame) else read_keyed_csv(spark, source, place=True)
+
+
 def read_sector_tsv(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
     """Tab separated, no quoting, blank lines skipped."""
     df = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
@@ -57,17 +75,17 @@ def world_faults(spark: SparkSession, source: str, path: str) -> DataFrame:
     return unparsed(df, {"UWP": codes.parse_profile, place: codes.parse_location})
 
 
-def override_faults(spark: SparkSession, path: str) -> DataFrame:
+def override_faults(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Overrides with a malformed value, with the columns in `bad`."""
     parsers = {
         "Available": text.parse_bool, "Purchase DM": text.parse_int, "Sale DM": text.parse_int, "Illegal": text.parse_bool,
     }
-    return unparsed(read_keyed_csv(spark, path), parsers)
+    return unparsed(_keyed(spark, path), parsers)
 
 
-def illegality_faults(spark: SparkSession, path: str) -> DataFrame:
+def illegality_faults(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Rows with a malformed law level, with the column in `bad`."""
-    return unparsed(read_keyed_csv(spark, path), {"Illegal law level": text.parse_int})
+    return unparsed(_keyed(spark, path), {"Illegal law level": text.parse_int})
 
 
 def _last_per_key(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
@@ -76,9 +94,9 @@ def _last_per_key(df: DataFrame, keys: list[str], values: dict[str, Column]) ->
     return df.groupBy(*keys).agg(latest.alias("v")).select(*keys, "v.*")
 
 
-def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+def read_overrides(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Overrides per location and good; a blank cell overrides nothing."""
-    df = read_keyed_csv(spark, path, place=True).withColumnsRenamed({"Location": "location", "D66": "d66"})
+    df = _keyed(spark, path).withColumnsRenamed({"Location": "location", "D66": "d66"})
     return _last_per_key(
         df,
         ["location", "d66"],
@@ -91,14 +109,20 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_illegality(spark: SparkSession, path: str) -> DataFrame:
+def read_illegality(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """The lowest law level at which a good is illegal."""
-    df = read_keyed_csv(spark, path, place=True).withColumnRenamed("D66", "d66")
+    df = _keyed(spark, path).withColumnRenamed("D66", "d66")
     return _last_per_key(df, ["d66"], {"illegal_level": text.parse_int(F.col("Illegal law level"))})
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index of written tables: pages and tags come as arrays, other columns stay."""
+    """The index of written tables: pages and tags come as arrays, other columns stay.
+
+    `path` is a CSV file, or a folder of `write_index`, of which the last version is read.
+    """
+    lines = spark.read.text(path)
+    if "run" in lines.columns:
+        path = f"{path}/run={lines.agg(F.max('run')).first()[0]}"
     return parse_index(read_keyed_csv(spark, path))
 
 
@@ -119,4 +143,5 @@ def format_index(df: DataFrame) -> DataFrame:
 
 
 def write_index(df: DataFrame, path: str) -> None:
-    format_index(df).write.option("header", True).option("escape", '"').csv(path)
+    """A new version in the folder `path`; `df` may read an older one, which stays."""
+    format_index(df).write.option("header", True).option("escape", '"').csv(f"{path}/run={time.time_ns()}")

@@ -4,7 +4,7 @@ import pytest
 
 from cellweave.operators import reshape
 from cellweave.operators.grouping import StaticRowCounts
-from cellweave.plans import jobs, trade
+from cellweave.plans import jobs, records, trade
 from cellweave.plans.extraction import Choice
 from cellweave.sources.csvtables import read_written_tables
 
@@ -87,3 +87,42 @@ def test_extract_tables(spark, tmp_path, portions, rows_of):
     assert sorted(map(tuple, outcomes.collect())) == [
         ("b/bad", False, "multiple (2) tables in region"), ("b/one", True, None), ("b/two", True, None),
     ]
+
+    # A second run adds, and replaces what is to be overwritten; the report's reader opens what the index names.
+    newer = portions({"b/two": [[["newer"]]], "b/three": []})
+    more = catalog.unionByName(
+        spark.createDataFrame([("b/three", "table", ["t"], False, "titles"), ("b/four", "table", ["t"], False, "absent")], catalog.schema)
+    )
+    titles = {"titles": [reshape.prepend_row(["a", "b"])]}
+    again, outcomes = jobs.extract_tables(more, newer, new_index, titles, Choice(with_tags=["t"], overwrite=True), str(tmp_path / "out"))
+    assert {r.table_id: (r.ok, r.error) for r in outcomes.collect()} == {
+        "b/one": (False, "unknown transform header"), "b/two": (True, None), "b/bad": (False, "no output"), "b/old": (False, "no output"),
+        "b/three": (True, None), "b/four": (False, "unknown transform absent"),
+    }
+    assert {r.table_path: r.pages for r in again.collect()} == {"b/old.csv": [9], "b/one.csv": [2, 3], "b/two.csv": [2], "b/three.csv": []}
+    back = reshape.concat_portions(read_written_tables(spark, str(tmp_path / "out" / "tables")))
+    assert [rows_of(back, t) for t in ("b/one", "b/two", "b/three")] == [[["h 1", "2"], ["x", "y"], ["z"]], [["newer"]], [["a", "b"]]]
+
+
+def test_report_from_extraction(spark, tmp_path, portions):
+    """The trade report reads the folders that an extraction wrote."""
+    catalog = spark.createDataFrame(
+        [("b/goods", "table", ["type/trade-good"], False, "goods"), ("b/codes", "table", ["type/trade-code"], False, None)],
+        "path string, kind string, tags array<string>, disabled boolean, transform string",
+    )
+    data = portions(
+        {
+            "b/goods": [[["11", "Common", "All", "2D", "Cr100", "Rich +2", "Poor +3", "x,\ny"]], [["66", "Exotics", "Ask"]]],
+            "b/codes": [[["Classification", "Code", *records.CRITERIA_COLUMNS], ["Rich", "Ri", "", "6,8", "", "6-8", "4-9", "", ""]]],
+        }
+    )
+    index = spark.createDataFrame([], "table_path string, pages array<int>, tags array<string>")
+    titles = reshape.prepend_row(["D66", "Type", "Availability", "Tons", "Base Price", "Purchase DM", "Sale DM", "Examples"])
+    jobs.extract_tables(catalog, data, index, {"goods": [titles]}, Choice(), str(tmp_path))
+    (tmp_path / "worlds.csv").write_text("Location,Name,UWP,Bases,Trade Codes,Travel Code\n0304,Midgard,A548698-C,x,Ri,\n")
+    job = jobs.TradeJob(
+        index=str(tmp_path / "index"), tables=str(tmp_path / "tables"), extracted=True, world_source="csv",
+        worlds=str(tmp_path / "worlds.csv"), key=False, explanation=False,
+    )
+    lines = [r.line for r in jobs.trade_report(spark, job).orderBy("block", "line_ix").collect()]
+    assert lines == ["D66,Goods,Tons,Base Price (cr),0304", "11,Common,2D,100,+2", "66,Exotics,,"]

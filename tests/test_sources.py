@@ -104,3 +104,13 @@ def test_user_functions(spark, portions, rows_of):
             check_rows(bad)
     for good in ([], [[], []], [[""], []], [["a", "b"]]):
         check_rows(good)
+
+
+def test_keyed_csv_by_title(spark, tmp_path):
+    """Columns go by title, whatever their order in a file; a quoted line break stays in its cell."""
+    (tmp_path / "a.csv").write_text('Location,D66,Available,Purchase DM,Sale DM,Illegal,Comment\n0101,11,true,1,,,"two\nlines"\n')
+    (tmp_path / "b.csv").write_text('Comment,Illegal,Sale DM,D66,Location\n"says ""no"", so",true,-2,12,0202\n\n')
+    got = {tuple(r) for r in worldfiles.read_overrides(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("0101", "11", True, 1, None, None), ("0202", "12", None, None, -2, True)}
+    comments = worldfiles.read_keyed_csv(spark, str(tmp_path / "*.csv")).select("Comment").collect()
+    assert sorted(r.Comment for r in comments) == ['says "no", so', "two\nlines"]

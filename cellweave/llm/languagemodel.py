@@ -36,8 +36,12 @@ class Shape:
     window: int = 16
     lanes: int = 64
     rate: float = 0.01
-    #: The network is fitted on at most so many documents; counts always cover all of them.
-    max_docs: int = 1500
+    #: Lanes of a long block of tokens: of at least 64 windows each, up to so many side by side.
+    wide: int = 512
+    #: Tokens that a task lays out in lanes at once.
+    block: int = 1 << 20
+    #: Sixteenths of all training documents per round; after each, the weights of its tasks are averaged.
+    rounds: tuple[int, ...] = (1, 2, 3, 3, 3, 4)
     #: Counts of at most so many frequent tokens are sent to all tasks; the others are joined.
     max_shared: int = 1 << 18
 
@@ -149,9 +153,12 @@ def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray):
     return n + z * (h - n), z, r, n, own[:, 2 * k :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x *= 1 / x.sum(1, keepdims=True)
+    return x
 
 
 def begin(words: np.ndarray, word_counts: np.ndarray, kind_mass: np.ndarray, shape: Shape) -> Gru:
@@ -179,61 +186,103 @@ def begin(words: np.ndarray, word_counts: np.ndarray, kind_mass: np.ndarray, sha
     return Gru(words[order], word_class[order], place[order], p, kind_mass)
 
 
-def train(gru: Gru, docs: list[np.ndarray], shape: Shape) -> None:
-    """One pass of truncated backpropagation over documents (their inputs) laid end to end in lanes, by Adam."""
-    if not docs:
-        return
-    p, k, closed = gru.p, shape.hidden, len(gru.p["inner_b"])
-    flat = np.concatenate(docs)
-    starts = np.concatenate([np.arange(len(d)) == 0 for d in docs])
-    lanes = max(1, min(shape.lanes, len(flat) // shape.window))
-    steps = len(flat) // lanes
-    flat, starts = flat[: lanes * steps].reshape(lanes, steps), starts[: lanes * steps].reshape(lanes, steps)
-    m, v, t = {n: np.zeros_like(a) for n, a in p.items()}, {n: np.zeros_like(a) for n, a in p.items()}, 0
-    h = np.zeros((lanes, k))
-    for at in range(0, steps, shape.window):
-        xs, new = flat[:, at : at + shape.window], starts[:, at : at + shape.window]
-        w = xs.shape[1]
+class Trainer:
+    """Truncated backpropagation by Adam; weights and moments can be taken out as one vector and put in again."""
+
+    def __init__(self, gru: Gru, shape: Shape):
+        self.gru, self.shape, self.t = gru, shape, 0
+        self.m, self.v = ({n: np.zeros_like(a) for n, a in gru.p.items()} for _ in range(2))
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for part in (self.gru.p, self.m, self.v) for a in part.values()])
+
+    def put(self, state: np.ndarray, t: int) -> None:
+        at = 0
+        for part in (self.gru.p, self.m, self.v):
+            for a in part.values():
+                a[...] = state[at : at + a.size].reshape(a.shape)
+                at += a.size
+        self.t = t
+
+    def block(self, flat: np.ndarray, starts: np.ndarray, rate: float, fall: bool = False) -> None:
+        """Learn from all tokens of documents laid end to end; `starts` marks the first of each. With `fall` the rate falls to 0 in the second half."""
+        shape, k = self.shape, self.shape.hidden
+        most = max(shape.lanes, min(shape.wide, len(flat) // (64 * shape.window)))
+        lanes = max(1, min(most, len(flat) // shape.window))
+        steps = -(-len(flat) // lanes)
+        # What fills up the last lane is in no gradient.
+        spare = lanes * steps - len(flat)
+        flat = np.concatenate([flat, np.zeros(spare, flat.dtype)]).reshape(lanes, steps)
+        starts = np.concatenate([starts, np.ones(spare, bool)]).reshape(lanes, steps)
+        real = (np.arange(lanes * steps) < lanes * steps - spare).reshape(lanes, steps)
+        h = np.zeros((lanes, k), self.gru.p["state"].dtype)
+        for at in range(0, steps, shape.window):
+            own = slice(at, at + shape.window)
+            h, grad = self._gradient(flat[:, own], starts[:, own], real[:, own], h)
+            self._move(grad, rate * min(1.0, 2 - 2 * at / steps) if fall else rate, lanes)
+
+    def _gradient(self, xs: np.ndarray, new: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        gru, p, k, closed = self.gru, self.gru.p, self.shape.hidden, len(self.gru.p["inner_b"])
+        lanes, w = xs.shape
         hs, kept = [], []
+        zero = h.dtype.type(0)
         # The state before token i predicts it; the state after it has read it.
         for i in range(w):
-            h = np.where(new[:, i : i + 1], 0.0, h)
+            h = np.where(new[:, i : i + 1], zero, h)
             hs.append(h)
             before = h
             h, z, r, n, cand = step(p, p["embed"][xs[:, i]], h)
             kept.append((before, z, r, n, cand))
         H = np.stack(hs, 1).reshape(-1, k)
-        x = xs.ravel()
+        x, live = xs.ravel(), real.ravel()
         c = gru.classes(x)
         grad = {name: np.zeros_like(a) for name, a in p.items()}
-        d = np.exp(_log_softmax(H @ p["class_w"] + p["class_b"]))
+        d = _softmax(H @ p["class_w"] + p["class_b"])
         d[np.arange(len(x)), c] -= 1
+        d[~live] = 0
         grad["class_w"], grad["class_b"] = H.T @ d, d.sum(0)
         dH = d @ p["class_w"].T
-        for q in np.unique(c[c < closed]):
-            own = np.flatnonzero(c == q)
-            d = np.exp(_log_softmax(H[own] @ p["inner_w"][q] + p["inner_b"][q]))
-            d[np.arange(len(own)), gru.word_place[x[own]]] -= 1
-            grad["inner_w"][q], grad["inner_b"][q] = H[own].T @ d, d.sum(0)
-            dH[own] += d @ p["inner_w"][q].T
+        order = np.argsort(np.where(live, c, len(p["class_b"])), kind="stable")
+        edges = np.searchsorted(c[order[: live.sum()]], np.arange(closed + 1))
+        for q in range(closed):
+            own = order[edges[q] : edges[q + 1]]
+            if len(own):
+                near = H[own]
+                d = _softmax(near @ p["inner_w"][q] + p["inner_b"][q])
+                d[np.arange(len(own)), gru.word_place[x[own]]] -= 1
+                grad["inner_w"][q], grad["inner_b"][q] = near.T @ d, d.sum(0)
+                dH[own] += d @ p["inner_w"][q].T
         dH = dH.reshape(lanes, w, k)
-        dh = np.zeros((lanes, k))
+        dh, gates = np.zeros_like(h), np.zeros((lanes, w, 3 * k), h.dtype)
         for i in range(w - 1, -1, -1):
             before, z, r, n, cand = kept[i]
             dn = dh * (1 - z) * (1 - n**2)
             dz = dh * (before - n) * z * (1 - z)
             dr = dn * cand * r * (1 - r)
             own = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(grad["embed"], xs[:, i], np.concatenate([dz, dr, dn], 1))
+            gates[:, i] = np.concatenate([dz, dr, dn], 1)
             grad["state"] += before.T @ own
             dh = dh * z + own @ p["state"].T + dH[:, i]
-            dh = np.where(new[:, i : i + 1], 0.0, dh)
-        t += 1
-        for name, a in p.items():
-            g = grad[name] / lanes
-            m[name] += 0.1 * (g - m[name])
-            v[name] += 0.01 * (g * g - v[name])
-            a -= shape.rate * min(1.0, 2 - 2 * at / steps) * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-6)
+            dh = np.where(new[:, i : i + 1], zero, dh)
+        order = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.diff(x[order], prepend=-1))
+        grad["embed"][x[order[first]]] = np.add.reduceat(gates.reshape(-1, 3 * k)[order], first, axis=0)
+        return h, grad
+
+    def _move(self, grad: dict[str, np.ndarray], rate: float, lanes: int) -> None:
+        self.t += 1
+        for name, a in self.gru.p.items():
+            g, m, v = grad[name] / lanes, self.m[name], self.v[name]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            a -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-6)
+
+
+def train(gru: Gru, docs: list[np.ndarray], shape: Shape) -> None:
+    """One pass over documents (their inputs)."""
+    if docs:
+        starts = np.concatenate([np.arange(len(d)) == 0 for d in docs])
+        Trainer(gru, shape).block(np.concatenate(docs), starts, shape.rate, fall=True)
 
 
 class Scorer:
@@ -333,27 +382,92 @@ def shared_counts(counts: DataFrame, shape: Shape) -> tuple[DataFrame, Counts, i
 
 
 def learn(docs: DataFrame, found: Counts, shape: Shape) -> Gru:
-    """Fit the network on whole documents, at most `max_docs` of them (those with the smallest hashes)."""
+    """Fit the network on all of `docs`, each document in one round.
+
+    In a round, each task goes on from the weights so far with its share of the
+    round's documents. Weights and moments are then averaged by numbers of tokens, in
+    tasks that hold a piece of them each, so the driver gets one set a round.
+    """
     top = np.lexsort((found.tokens, -found.counts))[: shape.words]
     mass = found.mass - np.bincount(found.kinds[top], weights=found.counts[top] + 0.1, minlength=OPEN)
     gru = begin(found.tokens[top], found.counts[top].astype(float), np.maximum(mass, 0.1), shape)
-    few = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(shape.max_docs).distinct()
-    # Bounded by the limit.
-    sample = docs.join(F.broadcast(few), "doc_id", "left_semi")
+    gru.p = {n: a.astype(np.float32) for n, a in gru.p.items()}
+    whole, done = Trainer(gru, shape), 0
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(sum(shape.rounds)))
+    for share in shape.rounds:
+        rate = shape.rate * min(1.0, 2 - 2 * (done + share / 2) / sum(shape.rounds))
+        some = docs.filter((spread >= done) & (spread < done + share))
+        got = _round(some, gru, shape, whole.state(), whole.t, rate)
+        if got is not None:
+            whole.put(*got)
+        done += share
+    return gru
+
+
+PIECES = 32
+
+
+def _round(docs: DataFrame, gru: Gru, shape: Shape, state: np.ndarray, t: int, rate: float) -> tuple[np.ndarray, int] | None:
+    """The averaged state after all tokens of `docs`, and the most steps of any task; None without documents."""
+    cuts = np.linspace(0, len(state), PIECES + 1).astype(int)
 
     def run(batches):
+        own = Trainer(Gru(gru.vocabulary, gru.word_class, gru.word_place, {n: a.copy() for n, a in gru.p.items()}, gru.mass), shape)
+        own.put(state, t)
+        held, size, tokens = [], 0, 0
+
+        def learned():
+            starts = np.zeros(size, bool)
+            for (_, first), at in zip(held, np.cumsum([0, *[len(h[0]) for h in held]])):
+                starts[at + first[:-1]] = True
+            own.block(np.concatenate([h[0] for h in held]), starts, rate)
+
         for batch in batches:
-            ids, texts, out = batch["doc_id"].to_pylist(), batch["text"].to_pylist(), []
-            for text in texts:
-                tokens, kinds, _ = tokens_of([(text or "").encode()])
-                out.append(gru.inputs(tokens, kinds).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "x"])
-
-    table = sample.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, x binary").toArrow()
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["x"].to_pylist()))
-    order = np.random.default_rng(9).permutation(len(rows))
-    train(gru, [np.frombuffer(rows[i][1], np.int32).astype(np.int64) for i in order], shape)
-    return gru
+            for group in groups(lazily(batch["text"])):
+                ids, kinds, first = tokens_of(group)
+                held.append((gru.inputs(ids, kinds).astype(np.int32), first))
+                size += len(ids)
+                tokens += len(ids)
+                if size >= shape.block:
+                    learned()
+                    held, size = [], 0
+        if size:
+            learned()
+        if tokens:
+            out = own.state()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(PIECES), pa.int32()),
+                    pa.array([tokens] * PIECES, pa.int64()),
+                    pa.array([own.t] * PIECES, pa.int64()),
+                    pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                ],
+                names=["piece", "tokens", "t", "held"],
+            )
+
+    def mean(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for piece, tokens, steps, held in zip(*[lazily(batch[c]) for c in ("piece", "tokens", "t", "held")]):
+                own = sums.setdefault(piece, [0, 0, 0.0])
+                own[0] += tokens
+                own[1] = max(own[1], steps)
+                own[2] = own[2] + tokens * np.frombuffer(held, np.float32).astype(float)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(sums), pa.int32()),
+                    pa.array([s[1] for s in sums.values()], pa.int64()),
+                    pa.array([(s[2] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary()),
+                ],
+                names=["piece", "t", "held"],
+            )
+
+    each = docs.select("text").mapInArrow(run, "piece int, tokens bigint, t bigint, held binary")
+    rows = sorted(each.repartition("piece").mapInArrow(mean, "piece int, t bigint, held binary").collect())
+    if not rows:
+        return None
+    return np.frombuffer(b"".join(r["held"] for r in rows), np.float32), max(r["t"] for r in rows)
 
 
 def score(docs: DataFrame, shape: Shape = Shape(), parts: int = 10, part: int = 0) -> DataFrame:
@@ -364,7 +478,7 @@ def score(docs: DataFrame, shape: Shape = Shape(), parts: int = 10, part: int =
     0. Equal texts have equal scores up to rounding; other columns are ignored; an empty table gives an
     empty one. Rows without an id count as held out.
 
-    Tokens are counted over all training rows. Counts of frequent tokens are
+    Tokens are counted over all training rows, and the network learns from all of them. Counts of frequent tokens are
     sent to tasks; the rare tokens of each row are joined with the full counts.
     """
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), parts, part).alias("held_out"))

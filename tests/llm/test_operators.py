@@ -237,3 +237,17 @@ def test_hilbert_neighbours_are_one_step_apart():
     assert sorted(keys.tolist()) == list(range(512))
     walk = points[np.argsort(keys)]
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+def test_language_model_learns_word_order_from_every_training_row(spark):
+    shape = Shape(words=20, classes=4)
+    # The 1500 documents with the smallest hashes have one order of words, all others the reverse.
+    ids = [r.id for r in spark.range(3000).orderBy(F.xxhash64("id")).collect()]
+    texts = [(i, ("a b c d " if n < 1500 else "d c b a ") * 50) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    _, found, _ = languagemodel.shared_counts(languagemodel.count_tokens(docs), shape)
+    gru = languagemodel.learn(docs, found, shape)
+    for text in (b"a b c d " * 50, b"d c b a " * 50):
+        tokens, kinds, first = languagemodel.tokens_of([text])
+        score = languagemodel.Scorer(gru).scores(gru.inputs(tokens, kinds), first)[0]
+        assert score / len(tokens) > -0.7  # shares alone: -1.4

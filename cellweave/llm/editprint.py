@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.components import components
 from cellweave.llm.words import mixed
+from cellweave.session import cut_lineage
 
 PLACES = 128
 CYCLE = 4096  # steps after which the shared bits repeat
@@ -184,23 +185,99 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_classes(prints: DataFrame, least: float = 0.75, bands: int = 24, places: int = 6) -> DataFrame:
-    """`(fingerprint, class_id)` of `(fingerprint)`: distinct fingerprints, linked where banding finds them and their likeness is `least` or more.
+def near_classes(prints: DataFrame, least: float = 0.75, bands: int = 24, places: int = 6, tile: int = 512) -> DataFrame:
+    """`(fingerprint, class_id)` of `(fingerprint)`: distinct fingerprints, linked where they meet in a band and their likeness is `least` or more.
 
     A band is `places` sampled places; fingerprints that agree on all of them
-    meet in its bucket. Each is compared with the bucket's smallest one only,
-    so a bucket of any size costs a row per fingerprint; links between others of a bucket come from other bands.
+    meet in its bucket. Each is compared with the bucket's first one. In buckets
+    that then still hold several classes, all of different classes are compared, in tiles.
     `class_id` is the smallest fingerprint of the class.
     """
     rng = np.random.default_rng(23)
     own = prints.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct()
+    # Numbers stand for fingerprints, so that rows of bands are narrow.
+    own = cut_lineage(own.select(F.monotonically_increasing_id().alias("node"), F.unhex("fingerprint").alias("bytes")))
     picks = [sorted(rng.choice(PLACES, places, replace=False).tolist()) for _ in range(bands)]
-    keys = [F.concat(F.lit(f"{b}:"), *[F.substr("fingerprint", F.lit(2 * p + 1), F.lit(2)) for p in pick]) for b, pick in enumerate(picks)]
-    met = own.select("fingerprint", F.explode(F.array(*keys)).alias("band"))
-    first = met.groupBy("band").agg(F.min("fingerprint").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    pairs = met.join(first, "band").filter("fingerprint <> first").select("fingerprint", "first").distinct()
-    links = pairs.filter(likeness(F.col("fingerprint"), F.col("first")) >= least)
-    found = components(links.select(F.col("fingerprint").alias("a"), F.col("first").alias("b")))
-    return own.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component", "fingerprint").alias("class_id")
+    # Buckets that share a number by chance are compared as one.
+    keys = [F.xxhash64(F.lit(b), *[F.substr("bytes", F.lit(p + 1), F.lit(1)) for p in pick]) for b, pick in enumerate(picks)]
+    met = own.select("node", F.explode(F.array(*keys)).alias("band"))
+    met = cut_lineage(met.join(met.groupBy("band").count().filter("count > 1").select("band"), "band"))
+    first = met.groupBy("band").agg(F.min("node").alias("b"))
+    pairs = met.join(first, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    side = lambda c: own.select(F.col("node").alias(c), F.hex("bytes").alias(f"print_{c}"))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").filter(likeness(F.col("print_a"), F.col("print_b")) >= least)
+    classes = cut_lineage(components(links.select("a", "b")).select("node", F.col("component").alias("class")))
+    last = components(_open_links(met, classes, own, least, tile)).select(F.col("node").alias("class"), "component")
+    whole = own.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(last, "class", "left")
+    whole = cut_lineage(whole.select("bytes", F.coalesce("component", "class").alias("class")))
+    names = whole.groupBy("class").agg(F.min("bytes").alias("least"))
+    return whole.join(names, "class").select(F.lower(F.hex("bytes")).alias("fingerprint"), F.lower(F.hex("least")).alias("class_id"))
+
+
+def _open_links(met: DataFrame, classes: DataFrame, own: DataFrame, least: float, tile: int) -> DataFrame:
+    """Links `(a, b)` of classes in buckets that hold several.
+
+    A bucket of up to `tile` nodes is a tile. In larger ones, nodes outside the
+    largest class are dealt into blocks that meet each other, and those of that class into blocks that only meet the former.
+    """
+    held = met.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    several = (
+        held.groupBy("band", "class")
+        .agg(F.count("*").alias("k"))
+        .groupBy("band")
+        .agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"))
+        .filter("most < size")
+    )
+    small = F.col("size") <= tile
+    minor = F.when(small, F.lit(1)).otherwise(F.ceil((F.col("size") - F.col("most")) / tile)).cast("int")
+    major = F.when(small, F.lit(0)).otherwise(F.ceil(F.col("most") / tile)).cast("int")
+    is_major = ~small & (F.col("class") == F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = held.join(several, "band").withColumns({"minor": minor, "major": major})
+    dealt = dealt.select(
+        "band", "node", "class",
+        F.when(is_major, F.col("minor") + deal(F.col("major"))).otherwise(deal(F.col("minor"))).alias("own"),
+        F.when(is_major, F.col("minor")).otherwise(F.col("minor") + F.col("major")).alias("meets"),
+    )
+    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")).select(
+        F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "node",
+        "class",
     )
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            for row in zip(*[batch[c].to_pylist() for c in ("tile", "side", "class", "bytes")]):
+                if row[0] != at:
+                    yield from linked(held)
+                    held, at = [], row[0]
+                held.append(row[1:])
+        yield from linked(held)
+
+    def linked(rows):
+        """Links that join what is alike in a tile: within its one side, or between its two."""
+        if len(rows) < 2:
+            return
+        sides, names = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+        prints = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, PLACES)
+        split, now, found = int((sides == 0).sum()), names.copy(), []
+        for i in range(split):
+            rest = slice(split if split < len(rows) else i + 1, None)
+            alike = (prints[i] == prints[rest]).sum(1) >= least * PLACES
+            for j in np.flatnonzero(alike & (now[rest] != now[i])) + rest.start:
+                if now[j] != now[i]:
+                    found.append((names[i], names[j]))
+                    now[now == now[j]] = now[i]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    carried = tiles.join(own, "node").repartition("tile").sortWithinPartitions("tile", "side", "node")
+    return carried.select("tile", "side", "class", "bytes").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def with_classes(docs: DataFrame) -> DataFrame:
+    """`fingerprint(docs)` and the `class_id` of each row's fingerprint among all of them."""
+    found = cut_lineage(fingerprint(docs))
+    return found.join(near_classes(found), "fingerprint").select(*found.columns, "class_id")

@@ -21,7 +21,7 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_fingerprints(spark, sf_dir):
-    return editprint.fingerprint(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return editprint.with_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_source_mix(spark, sf_dir):

@@ -251,3 +251,48 @@ def test_language_model_learns_word_order_from_every_training_row(spark):
         tokens, kinds, first = languagemodel.tokens_of([text])
         score = languagemodel.Scorer(gru).scores(gru.inputs(tokens, kinds), first)[0]
         assert score / len(tokens) > -0.7  # shares alone: -1.4
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_near_classes_compare_all_of_a_bucket(spark, tile):
+    rng = np.random.default_rng(6)
+    # Frequent places are shared by all, so most buckets have an unlike first member (zeros elsewhere); groups of 5 are near copies.
+    common = rng.random(128) < 0.7
+    made = [np.zeros(128, np.uint8)]
+    for _ in range(12):
+        middle = rng.integers(1, 256, 128).astype(np.uint8)
+        for _ in range(5):
+            x = middle.copy()
+            x[rng.choice(128, 10, replace=False)] = 0
+            made.append(x)
+    for x in made:
+        x[common & (rng.random(128) < 0.5)] = 0
+        x[:40] = 0
+    x = np.unique(np.array(made), axis=0)
+    root = list(range(len(x)))
+    rng2 = np.random.default_rng(23)
+    picks = [sorted(rng2.choice(128, 6, replace=False).tolist()) for _ in range(24)]
+    for i in range(len(x)):
+        for j in range(i):
+            if (x[i] == x[j]).mean() >= 0.75 and any((x[i][p] == x[j][p]).all() for p in picks):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    prints = [r.tobytes().hex() for r in x]
+    got = {r.fingerprint: r.class_id for r in editprint.near_classes(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), tile=tile).collect()}
+    assert got == {p: min(q for q, s in zip(prints, root) if s == r) for p, r in zip(prints, root)}
+
+
+def test_near_classes_link_past_an_unlike_first_member(spark):
+    rng = np.random.default_rng(23)
+    picks = [rng.choice(128, 6, replace=False) for _ in range(24)]
+    a = np.random.default_rng(2).integers(1, 255, 128).astype(np.uint8)
+    b = a.copy()
+    b[1:31] += 1
+    shared = np.unique(np.concatenate([p for p in picks if (a[p] == b[p]).all()]))
+    # Smaller than both, in all buckets where they meet, and unlike them.
+    z = np.zeros(128, np.uint8)
+    z[shared] = a[shared]
+    assert (a == b).mean() >= 0.75 > (a == z).mean() and z.tobytes() < min(a.tobytes(), b.tobytes())
+    prints = [x.tobytes().hex() for x in (z, a, b)]
+    got = {r.fingerprint: r.class_id for r in editprint.near_classes(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()}
+    assert [got[p] for p in prints] == [prints[0], min(prints[1:]), min(prints[1:])]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import fresh
+from cellweave.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,7 +98,7 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
 class UrlFilter:
     """Trees learned from urls labelled 1 (block) or 0 (allow), and block rates per suffix."""
 
-    def __init__(self, prior: float, rates: dict[str, DataFrame], model: PipelineModel | None):
+    def __init__(self, prior: float, rates: dict[str, tuple[DataFrame, DataFrame | None]], model: PipelineModel | None):
         self.prior, self.rates, self.model = prior, rates, model
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -109,23 +110,36 @@ class UrlFilter:
         return found.select(f"{whole}.*", F.element_at(vector_to_array("probability"), 2).alias("score"))
 
 
-def _featured(urls: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
+#: Copies of the rates that are joined by a shuffle.
+SALTS = 8
+
+
+def _featured(urls: DataFrame, rates: dict[str, tuple[DataFrame, DataFrame | None]], prior: float) -> DataFrame:
     parts = {**lexical(F.col("url"), F.col("host"), F.col("path")), **suffixes(F.col("host"), F.col("path"))}
     out = urls.withColumns(parts)
-    for name, rate in rates.items():
-        out = out.join(F.broadcast(rate), name, "left").withColumns(
-            {f"{name}_rate": F.coalesce(f"{name}_rate", F.lit(prior)), f"{name}_seen": F.coalesce(f"{name}_seen", F.lit(0.0))}
-        )
+    for name, (common, others) in rates.items():
+        values = [f"{name}_rate", f"{name}_seen"]
+        out = out.join(F.broadcast(common), name, "left")
+        if others is not None:
+            # Rows that have their rate are spread and meet nothing; the others meet one of the copies of theirs.
+            salt, any_ = fresh(out, "salt", "any_row")
+            out = out.withColumn(any_, F.xxhash64("url")).withColumn(
+                salt, F.when(F.col(values[0]).isNotNull(), F.col(any_)).otherwise(F.pmod(any_, F.lit(SALTS)))
+            )
+            more = others.select(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias(salt), *[F.col(v).alias(f"{v}_more") for v in values])
+            out = out.join(more, [name, salt], "left").withColumns({v: F.coalesce(v, f"{v}_more") for v in values})
+            out = out.drop(salt, any_, *[f"{v}_more" for v in values])
+        out = out.withColumns({values[0]: F.coalesce(values[0], F.lit(prior)), values[1]: F.coalesce(values[1], F.lit(0.0))})
     return out.withColumns({n: F.col(n).cast("double") for n in parts if n.startswith("f_")})
 
 
 def learn(labelled: DataFrame, max_rows: int = 20_000, max_suffixes: int = 2_000, trees: int = 20, depth: int = 4) -> UrlFilter:
     """Learn from `(url, host, path, label)`; null urls are left out.
 
-    The trees are fitted on at most `max_rows` rows, those with the smallest
-    hashes of their urls. Rates are counted over all labelled rows, smoothed
-    towards the overall rate by ten rows' weight; each kind of suffix keeps its
-    `max_suffixes` most frequent ones, so the tables sent to tasks are bounded.
+    The trees are fitted on at most `max_rows` distinct urls, those with the
+    smallest hashes, each weighted by its rows. Rates are counted over all labelled rows, smoothed
+    towards the overall rate by ten rows' weight, and kept for every suffix: the
+    `max_suffixes` most frequent ones of each kind are sent to tasks, the others are joined.
     """
     labelled = labelled.filter(F.col("url").isNotNull())
     whole = labelled.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
@@ -134,21 +148,22 @@ def learn(labelled: DataFrame, max_rows: int = 20_000, max_suffixes: int = 2_000
         return UrlFilter(prior, {}, None)
     rates = {}
     for name, suffix in suffixes(F.col("host"), F.col("path")).items():
-        rates[name] = (
-            labelled.groupBy(suffix.alias(name))
-            .agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
-            .orderBy(F.desc("n"), name)
-            .limit(max_suffixes)
-            .select(
-                name,
-                ((F.col("ones") + 10 * prior) / (F.col("n") + 10)).alias(f"{name}_rate"),
-                F.log1p("n").alias(f"{name}_seen"),
-            )
-        )
+        counted = cut_lineage(labelled.groupBy(suffix.alias(name)).agg(F.count("*").alias("n"), F.sum("label").alias("ones")))
+        common = counted.orderBy(F.desc("n"), name).limit(max_suffixes)
+        others = None
+        if counted.count() > max_suffixes:
+            others = counted.join(F.broadcast(common.select(name)), name, "left_anti")
+        made = [
+            name,
+            ((F.col("ones") + 10 * prior) / (F.col("n") + 10)).alias(f"{name}_rate"),
+            F.log1p("n").alias(f"{name}_seen"),
+        ]
+        rates[name] = (common.select(made), None if others is None else others.select(made))
     names = [*lexical(F.lit(""), F.lit(""), F.lit("")), *[f"{n}_rate" for n in rates], *[f"{n}_seen" for n in rates]]
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(_featured(sample, rates, prior)).select("features", "label")
-    trees_model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1).fit(rows)
+    urls = labelled.groupBy("url", "host", "path", "label").agg(F.count("*").cast("double").alias("weight"))
+    sample = urls.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(_featured(sample, rates, prior))
+    trees_model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1, weightCol="weight").fit(rows.select("features", "label", "weight"))
     return UrlFilter(prior, rates, PipelineModel([VectorAssembler(inputCols=names, outputCol="features"), trees_model]))
 
 

@@ -282,6 +282,16 @@ def test_near_classes_compare_all_of_a_bucket(spark, tile):
     assert got == {p: min(q for q, s in zip(prints, root) if s == r) for p, r in zip(prints, root)}
 
 
+def test_url_rates_are_kept_for_every_suffix(spark):
+    rows = [(f"https://s{i}.t/p{i}/x", f"s{i}.t", f"/p{i}/x", float(i % 2)) for i in range(2300)]
+    urls = spark.createDataFrame(rows, "url string, host string, path string, label double")
+    model = urlfilter.learn(urls, max_rows=200, trees=2, depth=2)
+    got = urlfilter._featured(urls, model.rates, model.prior).collect()
+    assert len(got) == 2300 and all(r.s_site_seen > 0 and r.s_first_seen > 0 for r in got)
+    assert all((r.s_site_rate > 0.5) == (r.label == 1) for r in got)
+    assert model.score(urls).count() == 2300
+
+
 def test_near_classes_link_past_an_unlike_first_member(spark):
     rng = np.random.default_rng(23)
     picks = [rng.choice(128, 6, replace=False) for _ in range(24)]

@@ -30,13 +30,14 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import lazily
 from cellweave.llm.words import groups, mixed, span_ids
-from cellweave.session import cut_lineage
+from cellweave.session import cut_lineage, scratch_path
 from cellweave.tables import in_order
 
 #: A run has fewer windows than this; its start and length share one number.
@@ -71,7 +72,10 @@ def word_ids(texts: list[bytes], repeats: Repeats) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Runs:
-    """Runs of windows in reading order: their text, first window, number of windows, core, hash of all their words, and that of the next run (0: none)."""
+    """Runs of windows in reading order: their text, first window, number of windows, core, hash of all their words, and that of the next run (0: none).
+
+    `ids` are those of the words of all texts, `first` is where each text begins among them.
+    """
 
     text: np.ndarray
     start: np.ndarray
@@ -79,6 +83,8 @@ class Runs:
     core: np.ndarray
     whole: np.ndarray
     after: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
 
 
 def runs_of(texts: list[bytes], repeats: Repeats) -> Runs:
@@ -86,7 +92,7 @@ def runs_of(texts: list[bytes], repeats: Repeats) -> Runs:
     k, c = repeats.window, repeats.core
     if len(ids) < k:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none, none, none)
+        return Runs(none, none, none, none, none, none, ids, first)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     at = np.arange(len(ids) - c + 1)
     cores = span_ids(ids, at, at + c)
@@ -100,7 +106,7 @@ def runs_of(texts: list[bytes], repeats: Repeats) -> Runs:
     start, text = window[begin], text[begin]
     whole = span_ids(mixed(ids, 77), start, start + n + k - 1).view(np.int64)
     after = np.where(np.append(text[1:] == text[:-1], False)[: len(text)], np.append(whole[1:], 0)[: len(text)], 0)
-    return Runs(text, start - first[text], n, cores[place[begin]].view(np.int64), whole, after)
+    return Runs(text, start - first[text], n, cores[place[begin]].view(np.int64), whole, after, ids, first)
 
 
 class BitSet:
@@ -142,6 +148,13 @@ def _from_texts(docs: DataFrame, schema: str, work: Callable[[list[bytes], np.nd
     return docs.select("key", "text").mapInArrow(run, schema)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written to the shared folder (compressed, unlike checkpoints) and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """`(key, doc_id, text)`: keys have the order of documents. They are the ids where these are known and all different.
 
@@ -161,17 +174,18 @@ def repeated_spans(docs: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
     `docs` is `(key, doc_id, text)` as `keyed` makes it. Every window whose words
     also start earlier is in one of the spans.
     """
-    while True:
-        spans = cut_lineage(_spans(docs, repeats))
+    for _ in range(4):
+        spans = _written(_joined_up(_spans(docs, repeats)), "spans")
         if not wrong(docs, spans, repeats).head(1):
             return spans
         repeats = replace(repeats, seed=repeats.seed + 1, hash_bits=64)
+    raise RuntimeError("words of repeated spans differ from their sources with four sets of hashes")
 
 
 def _spans(docs: DataFrame, repeats: Repeats) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast
     only_cores = _from_texts(docs, "core bigint", lambda texts, _: {"core": runs_of(texts, repeats).core})
-    again = cut_lineage(only_cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("core").alias("h")))
+    again = _written(_repeated(only_cores.select(F.col("core").alias("h"))), "cores")
     cores = send(BitSet.of(again, repeats.most_bits))
 
     def kept(texts, keys):
@@ -196,8 +210,8 @@ def _spans(docs: DataFrame, repeats: Repeats) -> DataFrame:
             (F.col("first.span") % RUN).alias("n"), F.when(F.col("after") == F.col("other"), F.col("after")).alias("after"),
         )
     )
-    classes = cut_lineage(classes)
-    paths = cut_lineage(_paths(classes.filter("times > 1")))
+    classes = _written(classes, "classes")
+    paths = _written(_paths(classes.filter("times > 1")), "paths")
 
     # Places of paths: those of the class each begins with. All but the first repeat the first.
     heads = send(BitSet.of(paths.select(F.col("whole").alias("h")), repeats.most_bits))
@@ -211,17 +225,53 @@ def _spans(docs: DataFrame, repeats: Repeats) -> DataFrame:
     firsts = paths.select("core", "whole", "n", F.col("key").alias("source"), F.col("start").alias("source_start"))
     copies = places.join(firsts, ["core", "whole"]).filter("key <> source OR start <> source_start")
 
-    # Windows of first places, where a core has several classes.
+    # Windows of first places, where a core has several classes. Those of some other places come along, which repeat them as well.
     several = classes.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    wanted = classes.join(several, "core").select("key", "start", "n")
-    edges = cut_lineage(_edges(docs, wanted, repeats))
-    shared = edges.groupBy("one", "two").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("first")).filter("times > 1")
-    shared = shared.select("one", "two", F.col("first.key").alias("source"), F.col("first.start").alias("source_start"))
-    single = edges.join(shared, ["one", "two"]).filter("key <> source OR start <> source_start").withColumn("n", F.lit(1).cast("bigint"))
+    at = F.col("whole").bitwiseXOR(F.shiftleft("key", 13)).bitwiseXOR(F.col("start"))
+    wanted = send(BitSet.of(_written(classes.join(several, "core").select(at.alias("h")), "places"), repeats.most_bits))
+
+    def windows(texts, keys):
+        runs = runs_of(texts, repeats)
+        key = keys[runs.text]
+        on = np.flatnonzero(wanted.value.has(runs.whole ^ (key << 13) ^ runs.start))
+        n = runs.n[on]
+        start = np.repeat(runs.start[on] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        begin = start + np.repeat(runs.first[runs.text[on]], n)
+        one, two = (span_ids(mixed(runs.ids, seed), begin, begin + repeats.window).view(np.int64) for seed in (78, 79))
+        return {"one": one, "two": two, "key": np.repeat(key[on], n), "start": start}
+
+    edges = _written(_from_texts(docs, "one bigint, two bigint, key bigint, start bigint", windows), "edges")
+    shared = send(BitSet.of(_written(_repeated(edges.select(F.col("one").alias("h"))), "shared"), repeats.most_bits))
+
+    def that_meet(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch["one"].to_numpy())))
+
+    met = edges.mapInArrow(that_meet, edges.schema)
+    firsts = met.groupBy("one", "two").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("first")).filter("times > 1")
+    firsts = firsts.select("one", "two", F.col("first.key").alias("source"), F.col("first.start").alias("source_start"))
+    single = met.join(firsts, ["one", "two"]).filter("key <> source OR start <> source_start").withColumn("n", F.lit(1).cast("bigint"))
     columns = ["key", "start", "n", "source", "source_start"]
     return copies.select(columns).unionByName(single.select(columns))
 
 
+def _repeated(hashes: DataFrame) -> DataFrame:
+    """Those that occur more than once."""
+    return hashes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+
+
+def _joined_up(spans: DataFrame) -> DataFrame:
+    """Spans that meet or overlap, in the document and at their source alike, as one."""
+    order = Window.partitionBy("key", "source", "shift").orderBy("start", "n")
+    spans = spans.withColumn("shift", F.col("source_start") - F.col("start"))
+    reached = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(reached >= F.col("start"), 0).otherwise(1)
+    numbered = spans.withColumn("apart", apart).withColumn("place", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Rows that tie are equal in all that counts here, so their order does not matter.
+    whole = numbered.groupBy("key", "source", "shift", "place").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
+    return whole.select("key", "start", (F.col("end") - F.col("start")).alias("n"), "source", (F.col("start") + F.col("shift")).alias("source_start"))
+
+
 def _paths(classes: DataFrame) -> DataFrame:
     """Paths without branches: the first class of each, its first place and all its windows.
 
@@ -241,20 +291,31 @@ def _paths(classes: DataFrame) -> DataFrame:
 def _parted(docs: DataFrame, spans: DataFrame, most_bits: int) -> tuple[DataFrame, DataFrame]:
     """Documents that may have spans, with them (null: none after all), and those that have none. `spans` is `(key, spans)`.
 
-    Only texts of the former are shuffled.
+    Only texts of the former are shuffled, and those are packed: `(doc_id, packed, spans)` and `(doc_id, text)`.
     """
-    spans = cut_lineage(spans)
+    spans = _written(spans, "spans-by-text")
     near = docs.sparkSession.sparkContext.broadcast(BitSet.of(spans.select(F.xxhash64("key").alias("h")), most_bits))
+    keys = docs.withColumn("h", F.xxhash64("key"))
 
-    def part(wanted: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                on = near.value.has(batch["h"].to_numpy()) == wanted
-                yield batch.select(["key", "doc_id", "text"]).filter(pa.array(on))
+    def have(batches):
+        for batch in _few(batches):
+            some = batch.filter(pa.array(near.value.has(batch["h"].to_numpy())))
+            pack = zstandard.ZstdCompressor(level=1).compress
+            packed = pa.array([None if t is None else pack(t.encode()) for t in lazily(some["text"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([some["key"], some["doc_id"], packed], names=["key", "doc_id", "packed"])
+
+    def have_none(batches):
+        for batch in batches:
+            yield batch.select(["doc_id", "text"]).filter(pa.array(~near.value.has(batch["h"].to_numpy())))
 
-        return docs.withColumn("h", F.xxhash64("key")).mapInArrow(run, "key bigint, doc_id bigint, text string")
+    having = keys.mapInArrow(have, "key bigint, doc_id bigint, packed binary").join(spans, "key", "left")
+    return having.select("doc_id", "packed", "spans"), keys.mapInArrow(have_none, "doc_id bigint, text string")
 
-    return part(True).join(spans, "key", "left"), part(False)
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed in batch["packed"]:
+        yield unpack(packed.as_py()) if packed.is_valid else b""
 
 
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
@@ -263,27 +324,6 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.Recor
             yield batch.slice(at, rows)
 
 
-def _edges(docs: DataFrame, wanted: DataFrame, repeats: Repeats) -> DataFrame:
-    """`(one, two, key, start)`: hashes of each window of the wanted runs `(key, start, n)`."""
-    spans = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    some, _ = _parted(docs, spans, repeats.most_bits)
-
-    def run(batches):
-        for batch in _few(batches):
-            made = {"one": [], "two": [], "key": [], "start": []}
-            for key, text, own in zip(batch["key"].to_pylist(), lazily(batch["text"]), batch["spans"].to_pylist()):
-                ids, _ = word_ids([text.encode()], repeats)
-                begin = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in own])
-                made["one"].append(span_ids(mixed(ids, 78), begin, begin + repeats.window).view(np.int64))
-                made["two"].append(span_ids(mixed(ids, 79), begin, begin + repeats.window).view(np.int64))
-                made["key"].append(np.full(len(begin), key))
-                made["start"].append(begin)
-            yield pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(v)) for name, v in made.items()})
-
-    rows = some.filter(F.col("spans").isNotNull()).select("key", "text", "spans")
-    return rows.mapInArrow(run, "one bigint, two bigint, key bigint, start bigint")
-
-
 def wrong(docs: DataFrame, spans: DataFrame, repeats: Repeats) -> DataFrame:
     """`(source, source_start, n)` of spans whose words are not those of their source, by a digest of the words at either place."""
     own = spans.select("key", "start", "n", "source", "source_start")
@@ -294,8 +334,8 @@ def wrong(docs: DataFrame, spans: DataFrame, repeats: Repeats) -> DataFrame:
     def run(batches):
         for batch in _few(batches):
             rows = []
-            for text, own in zip(lazily(batch["text"]), batch["spans"].to_pylist()):
-                words = text.encode().split()
+            for text, own in zip(_unpacked(batch), batch["spans"].to_pylist()):
+                words = text.split()
                 for s in own:
                     passage = b" ".join(words[s["start"] : s["start"] + s["n"] + repeats.window - 1])
                     digest = int.from_bytes(hashlib.blake2b(passage, digest_size=8).digest(), "little", signed=True)
@@ -303,16 +343,16 @@ def wrong(docs: DataFrame, spans: DataFrame, repeats: Repeats) -> DataFrame:
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays(columns, names=["source", "source_start", "n", "digest"])
 
-    read = some.filter(F.col("spans").isNotNull()).select("text", "spans").mapInArrow(
+    read = some.filter(F.col("spans").isNotNull()).select("packed", "spans").mapInArrow(
         run, "source bigint, source_start bigint, n bigint, digest bigint"
     )
     compared = read.groupBy("source", "source_start", "n").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     return compared.filter("low <> high").select("source", "source_start", "n")
 
 
-def kept_words(text: str | None, spans: list, window: int) -> tuple[int, int, str]:
+def kept_words(text: bytes, spans: list, window: int) -> tuple[int, int, str]:
     """How many words a text has, how many of them lie in windows of `spans`, and the others, joined by one blank."""
-    words = (text or "").encode().split()
+    words = text.split()
     if not spans:
         return len(words), 0, b" ".join(words).decode()
     edge = np.zeros(len(words) + 1, np.int64)
@@ -338,12 +378,17 @@ def without_repeats(docs: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
     per_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     near, far = _parted(docs, per_text, repeats.most_bits)
 
-    def judged(batches):
-        for batch in _few(batches, 256):
-            spans = batch["spans"].to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
-            made = [kept_words(text, own or [], repeats.window) for text, own in zip(lazily(batch["text"]), spans)]
+    def judged(rows: Iterator[tuple[pa.Array, Iterator[bytes], list]]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, spans in rows:
+            made = [kept_words(text, own or [], repeats.window) for text, own in zip(texts, spans)]
             n_words, n_removed, kept = (pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string())))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], n_words, n_removed, kept], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([ids, n_words, n_removed, kept], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    def with_spans(batches):
+        return judged((b["doc_id"], _unpacked(b), b["spans"].to_pylist()) for b in _few(batches, 256))
+
+    def as_they_are(batches):
+        return judged((b["doc_id"], ((t or "").encode() for t in lazily(b["text"])), [None] * b.num_rows) for b in _few(batches, 256))
 
     # Documents without a span are judged where they are read.
-    return near.select("doc_id", "text", "spans").mapInArrow(judged, schema).unionByName(far.select("doc_id", "text").mapInArrow(judged, schema))
+    return near.mapInArrow(with_spans, schema).unionByName(far.mapInArrow(as_they_are, schema))

@@ -147,18 +147,34 @@ def csv_line(cells: Column) -> Column:
     return F.when((F.size(cells) == 1) & (cells[0] == ""), F.lit('""')).otherwise(line)
 
 
+# A cell in quotes up to the closing one; quotes in it are doubled, and what follows the closing one is text as it stands.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+
+
+def csv_leaves_open(line: Column, separator: str = ",") -> Column:
+    """Whether a line that begins a record ends within a quoted cell.
+
+    A quote counts only at the start of a cell; within an unquoted cell, or
+    after the closing quote, it is text. Put a quote in front of a line to ask
+    the same of one that begins within a quoted cell.
+    """
+    sep = re.escape(separator)
+    closed = rf'(?:{_QUOTED}"[^{sep}]*+|[^"{sep}][^{sep}]*+|){sep}'
+    return line.contains('"') & line.rlike(rf"(?s)\A(?:{closed})*+{_QUOTED}\z")
+
+
 def csv_cells(record: Column, separator: str = ",") -> Column:
-    """Split one whole CSV record into cells; an empty record has none."""
+    """Split one whole CSV record into cells; an empty record has none. A quoted cell without its closing quote reaches to the end."""
     sep = re.escape(separator)
     # A separator in front of every field, so that no match is empty.
     fields = F.regexp_extract_all(
-        F.concat(F.lit(separator), record), F.lit(rf'(?s){sep}("[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'), F.lit(1)
+        F.concat(F.lit(separator), record), F.lit(rf'(?s){sep}({_QUOTED}(?:"[^{sep}]*+|\z)|[^{sep}]*+)'), F.lit(1)
     )
     unquote = lambda f: F.when(
         f.startswith('"'),
         F.concat(
-            F.replace(F.regexp_extract(f, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"')),
-            F.regexp_extract(f, r'(?s)\A"[^"]*+(?:""[^"]*+)*+"(.*)\z', 1),
+            F.replace(F.regexp_extract(f, rf"(?s)\A{_QUOTED}", 0).substr(F.lit(2), F.length(f)), F.lit('""'), F.lit('"')),
+            F.regexp_extract(f, rf'(?s)\A{_QUOTED}"(.*)\z', 1),
         ),
     ).otherwise(f)
     return F.when(record == "", F.array().cast("array<string>")).otherwise(F.transform(fields, unquote))

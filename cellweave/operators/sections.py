@@ -1,8 +1,8 @@
 """Cutting a table's lines into sections at marker lines.
 
-Section states are running values: a line's state follows from the last marker
-lines at or before it, so no line is looked at twice and no table has to sit in
-one task. Lines come as `(table_id, row_ix, line)`.
+A section machine is an automaton of a few states (`automata`): one pass gives
+each line its state, its section and its item, and no table has to sit in one
+task. Lines come as `(table_id, row_ix, line)`.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.text import clean_edges, join_cells, join_filled_cells
+from cellweave.operators.automata import Automaton, transduce
 from cellweave.tables import Layout, Running, in_order, ordered_items, running
 
 # How bullets, items, pairs and title words look.
@@ -31,6 +32,17 @@ def _joined(items: Column, kind: str) -> Column:
     return F.array_join(lines, " ")
 
 
+# In a description a heading is ordinary text, and so is a second list marker in a list.
+SUFFIX_SECTIONS = Automaton(
+    states=("outside", "description", "list"),
+    moves={
+        "heading": {"outside": ("description", "section_ix"), "list": ("description", "section_ix")},
+        "list": {"description": "list"},
+    },
+    last=("section_ix",),
+)
+
+
 def suffix_sections(lines: DataFrame, suffix: str, list_marker: str, layout: Layout) -> DataFrame:
     """Sections named by lines that end in `suffix`, each a description and a list.
 
@@ -41,26 +53,12 @@ def suffix_sections(lines: DataFrame, suffix: str, list_marker: str, layout: Lay
     """
     line = F.col("line")
     is_heading = line.endswith(suffix) & (F.length(line) > len(suffix))
-    event = F.when(is_heading, "heading").when(line == list_marker, "list")
-    seen = running(lines.withColumn("event", event), {"earlier": Running("last", F.col("event"), False)}, layout)
-
-    # Of a run of equal markers only the first one changes the state.
-    opens = (F.col("event") == "heading") & (F.coalesce("earlier", F.lit("list")) == "list")
-    lists = (F.col("event") == "list") & (F.col("earlier") == "heading")
-    placed = running(
-        seen,
-        {
-            "section_ix": Running("last", F.when(opens, F.col("row_ix"))),
-            "list_ix": Running("last", F.when(lists, F.col("row_ix"))),
-        },
-        layout,
-    ).filter("section_ix is not null and row_ix is distinct from list_ix")
-
-    kind = (
-        F.when(F.col("row_ix") == F.col("section_ix"), "name")
-        .when(F.col("list_ix") > F.col("section_ix"), "list")
-        .otherwise("description")
-    )
+    symbol = F.when(is_heading, "heading").when(line == list_marker, "list")
+    walked = transduce(lines, symbol, SUFFIX_SECTIONS, layout)
+    # The marker that opens a list is no part of it.
+    opens_list = (F.col("before") == "description") & (F.col("after") == "list")
+    placed = walked.filter(F.col("section_ix").isNotNull() & ~opens_list)
+    kind = F.when(F.col("row_ix") == F.col("section_ix"), "name").otherwise(F.col("after"))
     found = ordered_items(
         placed, ["table_id", "section_ix"], "row_ix", F.struct(kind.alias("kind"), "line"), layout
     )
@@ -96,6 +94,20 @@ def is_title_heading(line: Column, except_line: str) -> Column:
     )
 
 
+# Between items: after the list marker, or after a line that ended an item.
+TITLE_SECTIONS = Automaton(
+    states=("outside", "description", "between", "item"),
+    moves={
+        "heading": {s: ("description", "section_ix") for s in ("outside", "description", "between", "item")},
+        "list": {"description": "between"},
+        "bullet": {"between": ("item", "item_ix"), "item": ("item", "item_ix")},
+        "bullet with colon": {"description": "outside", "between": ("item", "item_ix"), "item": ("item", "item_ix")},
+        "colon": {"description": "outside", "item": "between"},
+    },
+    last=("section_ix", "item_ix"),
+)
+
+
 def title_sections(lines: DataFrame, list_marker: str, layout: Layout) -> DataFrame:
     """Mark each line below a title heading with its section, state and item.
 
@@ -107,44 +119,16 @@ def title_sections(lines: DataFrame, list_marker: str, layout: Layout) -> DataFr
     Adds `section_ix`, `item_ix` and `part`: `name`, `description`, `item` or null.
     """
     line = F.col("line")
-    heading = is_title_heading(line, list_marker)
-    marker = F.when(heading, "heading").when(line == list_marker, "list").when(line.contains(":"), "colon")
-    seen = running(
-        lines.withColumn("marker", marker),
-        {
-            "earlier": Running("last", F.col("marker"), False),
-            "section_ix": Running("last", F.when(heading, F.col("row_ix"))),
-        },
-        layout,
-    )
-    # The first marker of a section sets its state until the next heading.
-    turns = (F.col("marker") == "heading") | (F.col("marker").isNotNull() & (F.col("earlier") == "heading"))
-    bullet = line.startswith(BULLET)
-    item_event = F.struct(
-        F.col("row_ix").alias("at"), (bullet & ~heading & ~F.coalesce(turns, F.lit(False))).alias("opens")
-    )
-    state = running(
-        seen,
-        {
-            "state": Running("last", F.when(turns, F.col("marker"))),
-            "item": Running("last", F.when(turns | bullet | line.contains(":"), item_event)),
-        },
-        layout,
-    ).filter("section_ix is not null")
-    in_list = F.col("state") == "list"
-    part = (
-        F.when(F.col("row_ix") == F.col("section_ix"), "name")
-        .when(F.col("state") == "heading", "description")
-        .when(in_list & F.col("item.opens"), "item")
-    )
-    return state.select(
-        "table_id",
-        "row_ix",
-        "line",
-        "section_ix",
-        part.alias("part"),
-        F.when(in_list & F.col("item.opens"), F.col("item.at")).alias("item_ix"),
+    symbol = (
+        F.when(is_title_heading(line, list_marker), "heading")
+        .when(line == list_marker, "list")
+        .when(line.startswith(BULLET), F.when(line.contains(":"), "bullet with colon").otherwise("bullet"))
+        .when(line.contains(":"), "colon")
     )
+    walked = transduce(lines, symbol, TITLE_SECTIONS, layout).filter("section_ix is not null")
+    in_item = F.col("after") == "item"
+    part = F.when(F.col("row_ix") == F.col("section_ix"), "name").when(F.col("after").isin("description", "item"), F.col("after"))
+    return walked.select("table_id", "row_ix", "line", "section_ix", part.alias("part"), F.when(in_item, F.col("item_ix")).alias("item_ix"))
 
 
 def section_records(marked: DataFrame, layout: Layout) -> DataFrame:

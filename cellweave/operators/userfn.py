@@ -9,15 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import cellweave
-
-# Send this package's functions to the workers along with the job, so that it
-# need not be installed on them.
-cloudpickle.register_pickle_by_value(cellweave)
+from cellweave.session import ship_package
 
 Rows = list[list[str]]
 RESULT = "table_id string, row_ix bigint, cells array<string>"

@@ -1,8 +1,9 @@
 """Sectioning of marked lines and patches of ordered tables.
 
-The marked lines are made from conversations: the length of a turn's text picks
-what kind of line it becomes. The SQL walks the lines of each table one by one
-with a recursive query, keeping the state as the definition says.
+The marked lines are made from the words of whole conversations: each word is a
+line, and its length picks what kind of line it becomes. The SQL walks the lines
+of each table one by one with a recursive query, keeping the state as the
+definition says.
 """
 
 from __future__ import annotations
@@ -17,39 +18,40 @@ from cellweave.tables import layout_of, renumber
 SUFFIX, LIST_MARKER = " SKILLS PACKAGE", "Skills:"
 TITLE_MARKER = "Specialities"
 
-PACKAGE_LINE = """CASE length(text) % 6
-    WHEN 0 THEN concat('Kind ', conv_id, '/', turn, ' SKILLS PACKAGE')
+PACKAGE_LINE = """CASE length(word) % 6
+    WHEN 0 THEN concat(word, ' ', turn, ' SKILLS PACKAGE')
     WHEN 1 THEN 'Skills:'
-    WHEN 2 THEN concat('Skill ', role, ' ', turn, ', Other ', length(text), ',')
+    WHEN 2 THEN concat(word, ' ', length(word), ', Other ', turn, ',')
     WHEN 3 THEN ' SKILLS PACKAGE'
-    ELSE concat('about ', role, ' ', conv_id % 10, ', more') END"""
+    ELSE concat('about ', word) END"""
 
-TITLE_LINE = """CASE length(text) % 9
-    WHEN 0 THEN concat('Topic T', role)
+TITLE_LINE = """CASE length(word) % 9
+    WHEN 0 THEN concat('Topic T', word)
     WHEN 1 THEN 'Specialities'
-    WHEN 2 THEN concat('• item', turn, ': about ', role)
-    WHEN 3 THEN concat('Example: ', turn)
+    WHEN 2 THEN concat('• ', word, ': about ', role)
+    WHEN 3 THEN concat(word, ': ', turn)
     WHEN 4 THEN '• plain bullet'
-    WHEN 5 THEN concat('some text ', turn)
-    WHEN 6 THEN 'Title: With'
-    WHEN 7 THEN 'two words'
-    ELSE concat('more than ', 'two words ', conv_id % 10) END"""
+    WHEN 5 THEN concat('some ', word)
+    WHEN 6 THEN concat('Title: ', word)
+    WHEN 7 THEN word
+    ELSE concat('more than two ', word) END"""
 
-# Eight conversations make one table, so that sections get some length.
-ORDER = "conv_id % 8 * 1000000 + turn"
-SPARK_TABLE = "cast(conv_id - conv_id % 8 as string)"
+# Words of a turn follow those of the turn before it.
+ORDER = "turn * 1000000 + at"
 
 
 def _marked_lines(spark, d, line: str):
-    return load(spark, d, "conversations").selectExpr(
-        f"{SPARK_TABLE} AS table_id", f"cast({ORDER} as bigint) AS row_ix", f"{line} AS line"
-    )
+    words = load(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "[ \n]", -1)).alias("at", "word"))
+    return words.selectExpr("cast(conv_id as string) AS table_id", f"cast({ORDER} as bigint) AS row_ix", f"{line} AS line")
 
 
 def _marked_sql(line: str) -> str:
-    return f"""marked AS (
-    SELECT CAST(conv_id - conv_id % 8 AS VARCHAR) AS table_id, {ORDER} AS row_ix, {line} AS line FROM conversations),
-placed AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_ix) AS n FROM marked)"""
+    return f"""words AS (
+    SELECT conv_id, turn, role, generate_subscripts(ws, 1) - 1 AS "at", unnest(ws) AS word
+    FROM (SELECT *, regexp_split_to_array(text, '[ \n]') AS ws FROM conversations)),
+marked AS MATERIALIZED (
+    SELECT CAST(conv_id AS VARCHAR) AS table_id, {ORDER.replace("at", '"at"')} AS row_ix, {line} AS line FROM words),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_ix) AS n FROM marked)"""
 
 
 PACKAGES_SQL = f"""RECURSIVE {_marked_sql(PACKAGE_LINE)},

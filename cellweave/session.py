@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that is unset and all runs on one machine (tests, a laptop) a
     temporary folder is made; on a cluster the setting is required.
     """
+    ship_package(spark)
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
@@ -41,6 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let tasks import this package where it is not installed on the workers: it is sent to them once per session.
+
+    Tasks import it, rather than get its functions along with each job, so that what a worker keeps between tasks stays.
+    """
+    context, package = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_cellweave_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="cellweave-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._cellweave_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

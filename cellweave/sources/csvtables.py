@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import text
-from cellweave.tables import Layout, Running, layout_of, ordered_items, running
+from cellweave.operators.automata import Automaton, transduce
+from cellweave.tables import Layout, layout_of, ordered_items
 
 
 def _bytes_setting(spark: SparkSession, name: str) -> int:
@@ -23,35 +24,47 @@ def _file_lines(spark: SparkSession, reader: DataFrame, *keys: Column) -> DataFr
     divided by that numbers the blocks; the place in the task's input, at most
     33 bits, orders the lines of a block.
     """
-    floor = min(
-        _bytes_setting(spark, "spark.sql.files.maxPartitionBytes"),
-        _bytes_setting(spark, "spark.sql.files.openCostInBytes"),
-    )
+    settings = [_bytes_setting(spark, f"spark.sql.files.{name}") for name in ("maxPartitionBytes", "openCostInBytes")]
+    floor = max(1, min(settings))
     block = F.floor(F.col("_metadata.file_block_start") / floor)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return reader.select(*keys, F.col("value").alias("line"), (F.shiftleft(block, 33) + place).alias("row_ix"))
 
 
+# A line in the state "open" begins within a quoted cell. Its symbol says whether it
+# ends within one, if it begins a record ("+" or "-") and if it does not.
+RECORD_LINES = Automaton(
+    states=("between", "open"),
+    moves={
+        f"{new}{within}": {"between": ("open" if new == "+" else "between", "record"), "open": "open" if within == "+" else "between"}
+        for new in "+-"
+        for within in "+-"
+    },
+    counts=("record",),
+)
+
+
 def _records(lines: DataFrame, layout: Layout, keys: tuple[str, ...]) -> DataFrame:
     """Lines to rows of cells, numbered from 0 per key.
 
-    A line break inside quotes leaves an odd number of quotes open, so a record
-    starts where the quotes before it are even.
+    A line break inside quotes belongs to the cell. Whether a line is inside
+    quotes depends on all lines before it, also on bare quotes in unquoted cells,
+    so lines are symbols of an automaton of two states.
     """
-    quotes = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).cast("bigint")
-    opened = running(lines, {"_quotes": Running("sum", quotes, inclusive=False)}, layout, keys)
-    starts = F.when(F.col("_quotes") % 2 == 0, 1).otherwise(0).cast("bigint")
-    placed = running(opened, {"_record": Running("sum", starts)}, layout, keys)
-    whole = ordered_items(placed, [*keys, "_record"], "row_ix", F.col("line"), layout)
+    line = F.col("line")
+    left_open = lambda text_: F.when(text.csv_leaves_open(text_), "+").otherwise("-")
+    within = F.when(line.contains('"'), left_open(F.concat(F.lit('"'), line))).otherwise("+")
+    walked = transduce(lines, F.concat(left_open(line), within), RECORD_LINES, layout, keys)
+    whole = ordered_items(walked, [*keys, "record"], "row_ix", line, layout)
     record = F.regexp_replace(F.array_join("items", "\n"), r"\r\z", "")
-    return whole.select(*keys, (F.col("_record") - 1).alias("row_ix"), text.csv_cells(record).alias("cells"))
+    return whole.select(*keys, (F.col("record") - 1).alias("row_ix"), text.csv_cells(record).alias("cells"))
 
 
 def read_csv_tables(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
     """Each CSV file as one table, named by its path; ragged rows and empty rows are kept.
 
-    Quotes must be balanced, as CSV writers do: a bare quote inside an unquoted
-    cell is not supported.
+    A quote is one only at the start of a cell; elsewhere in an unquoted cell it
+    is text. A quoted cell that is never closed reaches to the end of the file.
     """
     reader = spark.read.option("lineSep", "\n").text(path)
     lines = _file_lines(spark, reader, F.col("_metadata.file_path").alias("table_id"))

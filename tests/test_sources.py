@@ -2,6 +2,7 @@
 
 import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,32 @@ def test_ragged_csv(spark, tmp_path, rows_of, layout, block):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_any_quotes(spark, tmp_path, rows_of, layout, seed):
+    """Quotes anywhere, read as Python's reader does: bare ones, text after closing ones, cells never closed."""
+    rng = random.Random(seed)
+    tables = {}
+    for name in "abcdef":
+        lines = ["".join(rng.choice(['"', '"', ",", "x", "yz", " ", '""']) for _ in range(rng.randrange(9))) for _ in range(30)]
+        lines[-1] = "end" if rng.random() < 0.5 else lines[-1]
+        (tmp_path / f"{name}.csv").write_bytes(rng.choice([b"\n", b"\r\n"]).join(line.encode() for line in lines))
+        with open(tmp_path / f"{name}.csv", newline="") as f:
+            tables[name] = list(csv.reader(f))
+    df = csvtables.read_csv_tables(spark, str(tmp_path), layout).cache()
+    for r in df.select("table_id").distinct().collect():
+        assert rows_of(df, r.table_id) == tables[r.table_id.split("/")[-1][0]]
+
+
+def test_long_cells(spark, tmp_path, rows_of, layout):
+    """Many doubled quotes, cells and lines in one record."""
+    rows = [['"' * 30_000, "x"], ["c"] * 20_000, ["\n" * 3000 + '"', ""], ['a"b', 'c""d']]
+    write_file(tmp_path / "a.csv", rows[:3])
+    with open(tmp_path / "a.csv", "a", newline="") as f:
+        f.write('a"b,c""d\r\n')
+    df = csvtables.read_csv_tables(spark, str(tmp_path), layout).cache()
+    assert rows_of(df, df.first().table_id) == rows
+
+
 def test_written_tables_come_back(spark, tmp_path, portions, rows_of, layout):
     tables = {"007": [ROWS], "x/y z": [[["a", "b"]] * 9]}
     df = concat_portions(portions(tables))

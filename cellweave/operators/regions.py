@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.session import cut_lineage
-from cellweave.tables import Running, in_order, layout_of, running
+from cellweave.tables import CHUNK, Running, in_chunks, in_order, layout_of, running
 
 # Fraction of a point that is told apart, and the vertical
 # distance in points from which two boxes are on different lines.
@@ -187,23 +187,30 @@ def reading_order(df: DataFrame, group: str) -> DataFrame:
     A new line starts where a box is 50 points or more below the one before it.
     """
     layout = layout_of(df, (group,))
-    by_height = in_order(
+    # Of groups of any size this alone writes rows; the rest follows from them.
+    placed = in_order(
         df, (group,), [F.col("page"), F.col("y"), F.col("x"), F.col("region_id")], "by_height", layout
     )
+    if layout.chunked:
+        placed = in_chunks(placed, layout, (group,), "by_height")
     above = running(
-        by_height, {"above": Running("last", F.struct("page", "y"), False)}, layout, (group,), order="by_height"
+        placed, {"above": Running("last", F.struct("page", "y"), False)}, layout, (group,), order="by_height"
     )
     new_line = (
         F.col("above").isNull()
         | (F.col("above.page") != F.col("page"))
         | (F.col("y") - F.col("above.y") >= LINE_DISTANCE)
     )
+    # A line is a run of boxes by height, so its boxes take the places from its first one on.
     lines = running(
-        above, {"line": Running("sum", F.when(new_line, 1).otherwise(0))}, layout, (group,), order="by_height"
-    )
-    return in_order(
-        lines, (group,), [F.col("line"), F.col("x"), F.col("by_height")], "position", layout
-    ).drop("above", "by_height")
+        above,
+        {"line": Running("sum", F.when(new_line, 1).otherwise(0)), "begin": Running("last", F.when(new_line, F.col("by_height")))},
+        layout,
+        (group,),
+        order="by_height",
+    ).drop(CHUNK)
+    within = in_order(lines, (group, "line"), [F.col("x"), F.col("by_height")], "in_line")
+    return within.withColumn("position", F.col("begin") + F.col("in_line")).drop("above", "by_height", "begin", "in_line")
 
 
 def two_column_order(df: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:

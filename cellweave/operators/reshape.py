@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import text
 from cellweave.operators.grouping import RowGrouper, assign_groups
 from cellweave.session import cut_lineage
-from cellweave.tables import TABLE_COLUMNS, Layout, Running, layout_of, running
+from cellweave.tables import CHUNK, CHUNK_BITS, TABLE_COLUMNS, Layout, Running, in_chunks, layout_of, running
 
 Step = Callable[[DataFrame, Layout], DataFrame]
 
@@ -40,23 +40,57 @@ def sequence(
 ) -> DataFrame:
     """Concatenated tables through the steps in order, then cleaned cells.
 
-    Rows are counted before the first step that needs to know how long tables
-    are, and again where a step in between may have made them longer: what it
-    gave is written out first, so that counting does not work it out twice.
+    Rows are counted per table before the first step that needs to know how long
+    tables are, and again where a step in between may have made them longer: what
+    it gave is written out first, so that counting does not work it out twice.
+    Each table takes its own route: long ones the one over chunks, all others the
+    one exchange they share, however long a few may be. With a `layout`, all
+    tables take the route it names.
     """
-    df = df.select(*TABLE_COLUMNS)
+    done = _routed(df.select(*TABLE_COLUMNS), steps, layout, CHUNK_BITS if layout is None else layout.bits)
+    return clean_rows()(done, layout) if clean else done
+
+
+#: So many ids of long tables are sent to all tasks at most; beyond, all tables take the route of the long ones.
+LISTED_TABLES = 100_000
+
+
+def _routed(df: DataFrame, steps: list[Step], layout: Layout | None, bits: int) -> DataFrame:
     longer = False
-    for step in steps:
+    for i, step in enumerate(steps):
         if not getattr(step, "row_local", False):
+            if longer and layout is not None and not layout.chunked:
+                df, layout = cut_lineage(df), None
             if layout is None:
-                layout = layout_of(df)
-            elif longer and not layout.chunked:
-                df = cut_lineage(df)
-                layout = layout_of(df, bits=layout.bits)
+                routes = _routes(df, bits)
+                if len(routes) > 1:
+                    done = [_routed(part, steps[i:], known, bits) for part, known in routes]
+                    return done[0].unionByName(done[1])
+                ((df, layout),) = routes
             longer = False
+            if layout.chunked and i + 1 < len(steps) and CHUNK not in df.columns:
+                # Written once, here, and dealt out once; what follows writes totals only, as long as it keeps the chunks.
+                df = in_chunks(cut_lineage(df), layout)
         df = step(df, layout)
         longer = longer or getattr(step, "lengthens", False)
-    return clean_rows()(df, layout) if clean else df
+    return df.select(*TABLE_COLUMNS)
+
+
+def _routes(df: DataFrame, bits: int) -> list[tuple[DataFrame, Layout]]:
+    """The tables by their length: those of at most 2**bits rows, and the longer ones."""
+    counts = df.groupBy("table_id").agg((F.count("*") > (1 << bits)).alias("long"))
+    tables, n_long = counts.agg(F.count("*"), F.count_if("long")).first()
+    short, chunked = Layout(chunked=False, bits=bits), Layout(chunked=True, bits=bits)
+    if not n_long:
+        return [(df, short)]
+    if n_long == tables or n_long > LISTED_TABLES:
+        return [(df, chunked)]
+    long = cut_lineage(counts.filter("long").select("table_id"))
+    # Counted just now to be few.
+    return [
+        (df.join(F.broadcast(long), "table_id", "left_anti"), short),
+        (df.join(F.broadcast(long), "table_id", "left_semi"), chunked),
+    ]
 
 
 def _row_local(change: Callable[[Column], Column]) -> Step:
@@ -166,8 +200,8 @@ def fold_rows(group_by: list[RowGrouper]) -> Step:
         if layout.chunked:
             # Folding is associative: fold within a chunk first, so that a
             # group that spans chunks arrives as one row per chunk.
-            grouped = grouped.withColumn("_chunk", F.shiftright("row_ix", layout.bits))
-            grouped = _fold(grouped, ["table_id", "group_ix", "_chunk"])
+            grouped = grouped if CHUNK in grouped.columns else grouped.withColumn(CHUNK, F.shiftright("row_ix", layout.bits))
+            grouped = _fold(grouped, ["table_id", "group_ix", CHUNK])
         return _fold(grouped, ["table_id", "group_ix"]).select(
             "table_id", F.col("group_ix").alias("row_ix"), "cells"
         )
@@ -205,8 +239,8 @@ def transpose() -> Step:
     def step(df: DataFrame, layout: Layout) -> DataFrame:
         widths = df.groupBy("table_id").agg(F.max(F.size("cells")).alias("width"))
         if layout.chunked:
-            df = df.withColumn("_chunk", F.shiftright("row_ix", layout.bits)).join(widths, "table_id")
-            blocks = _columns_of(df, ["table_id", "_chunk"], F.first("width"))
+            df = df if CHUNK in df.columns else df.withColumn(CHUNK, F.shiftright("row_ix", layout.bits))
+            blocks = _columns_of(df.join(widths, "table_id"), ["table_id", CHUNK], F.first("width"))
             return (
                 blocks.groupBy("table_id", "row_ix")
                 .agg(F.array_sort(F.collect_list(F.struct("_chunk", "cells"))).alias("parts"))

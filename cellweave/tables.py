@@ -35,6 +35,8 @@ PORTION_SCHEMA = T.StructType(
 TABLE_COLUMNS = ["table_id", "row_ix", "cells"]
 
 CHUNK_BITS = 14
+#: The column that marks rows as dealt by (key, chunk).
+CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,17 @@ class Running:
     inclusive: bool = True
 
 
+def in_chunks(df: DataFrame, layout: Layout, keys: tuple[str, ...] = ("table_id",), order: str = "row_ix") -> DataFrame:
+    """Rows dealt and sorted by (key, chunk) once; the column `_chunk` says so to `running`.
+
+    A chunk is a range of 2**bits values of the order column. Running values over
+    such rows need no further exchange, and as long as `_chunk` is kept, several
+    of them, and folds within chunks, follow each other on the same partitions.
+    """
+    placed = df.withColumn(CHUNK, F.shiftright(order, layout.bits))
+    return placed.repartition(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, order)
+
+
 def running(
     df: DataFrame,
     values: dict[str, Running],
@@ -82,18 +95,25 @@ def running(
     (key, chunk) gives the local running values; what came before a chunk is
     the running value over the chunk totals, worked out in the same way, so no
     window ever holds more than 2**bits rows, however sparse the order is.
+
+    Rows from `in_chunks` stay where they are, and only the totals are written:
+    one row per chunk. Other rows are written first, since they are read for the
+    totals and for the rows, and dealt out for the windows.
     """
     if not layout.chunked:
         return _running_within(df, values, keys, order, reverse)
 
-    # The input is read twice, for the totals and for the rows.
-    df = cut_lineage(df).withColumn("_chunk", F.shiftright(order, layout.bits))
-    chunk_keys = (*keys, "_chunk")
-    local = _running_within(df, {f"_local_{n}": v for n, v in values.items()}, chunk_keys, order, reverse)
+    chunk_keys = (*keys, CHUNK)
+    if CHUNK in df.columns:
+        read = placed = df
+    else:
+        read = cut_lineage(df).withColumn(CHUNK, F.shiftright(order, layout.bits))
+        placed = in_chunks(read.drop(CHUNK), layout, keys, order)
+    local = _running_within(placed, {f"_local_{n}": v for n, v in values.items()}, chunk_keys, order, reverse)
 
     totals = cut_lineage(
-        df.groupBy(*chunk_keys).agg(*[_total(v, order, reverse).alias(f"_total_{n}") for n, v in values.items()])
-    ).withColumnRenamed("_chunk", "_at")
+        read.groupBy(*chunk_keys).agg(*[_total(v, order, reverse).alias(f"_total_{n}") for n, v in values.items()])
+    ).withColumnRenamed(CHUNK, "_at")
     before = running(
         totals,
         {f"_before_{n}": Running(v.kind, F.col(f"_total_{n}"), inclusive=False) for n, v in values.items()},
@@ -101,7 +121,7 @@ def running(
         keys,
         order="_at",
         reverse=reverse,
-    ).select(*keys, F.col("_at").alias("_chunk"), *[f"_before_{n}" for n in values])
+    ).select(*keys, F.col("_at").alias(CHUNK), *[f"_before_{n}" for n in values])
 
     joined = local.join(before, list(chunk_keys), "left")
     for name, v in values.items():
@@ -113,7 +133,7 @@ def running(
         else:
             merged = F.coalesce(here, earlier)
         joined = joined.withColumn(name, merged).drop(f"_local_{name}", f"_before_{name}")
-    return joined.drop("_chunk")
+    return joined if CHUNK in df.columns else joined.drop(CHUNK)
 
 
 def _running_within(df, values, keys, order, reverse):
@@ -171,16 +191,21 @@ def in_order(
 def in_order_sorted(
     df: DataFrame, keys: tuple[str, ...], order: list[Column], layout: Layout, name: str = "row_ix"
 ) -> DataFrame:
-    """`in_order` for groups of any size."""
-    placed = df.orderBy(*[F.col(k) for k in keys], *order).withColumn("_place", F.monotonically_increasing_id())
-    ranked = running(
-        cut_lineage(placed),
-        {name: Running("sum", F.lit(1).cast("bigint"), inclusive=False)},
-        layout,
-        keys,
-        order="_place",
-    )
-    return ranked.drop("_place")
+    """`in_order` for groups of any size: one sort, written once, and a row per group and sorted part."""
+    place, part = "_place", "_part"
+    placed = df.orderBy(*[F.col(k) for k in keys], *order).withColumn(place, F.monotonically_increasing_id())
+    # Written once: the places must not change. A group's rows follow each other, over one or more sorted parts.
+    placed = cut_lineage(placed.withColumn(part, F.shiftright(place, 33)))
+    marked = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_key{i}") for i, k in enumerate(keys)]
+    nulls = [F.col(k).isNull().alias(f"_null{i}") for i, k in enumerate(keys)]
+    names = [*[f"_key{i}" for i in range(len(keys))], *[f"_null{i}" for i in range(len(keys))]]
+    rows = placed.select("*", *marked, *nulls)
+    totals = cut_lineage(rows.groupBy(*names, part).agg(F.min(place).alias("_first"), F.count("*").alias("_rows")))
+    # A group has at most one row per sorted part here.
+    earlier = Window.partitionBy(*names).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
+    joined = rows.join(totals.select(*names, part, shift), [*names, part])
+    return joined.withColumn(name, F.col(place) + F.col("_shift")).drop(*names, place, part, "_shift")
 
 
 def to_cells(df: DataFrame) -> DataFrame:

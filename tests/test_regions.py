@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave import tables
 from cellweave.operators import regions as reg
+from cellweave.session import cut_lineage
 
 BOX = "doc string, page int, method string, left bigint, top bigint, right bigint, bottom bigint"
 
@@ -94,3 +96,21 @@ def test_two_columns(spark):
     placed, errors = reg.two_column_order(df, "grp")
     assert [r.region_id for r in placed.orderBy("position").collect()] == [1, 2, 0]
     assert list(map(tuple, errors.collect())) == [("h", 2)]
+
+
+def test_reading_order_writes_rows_once(spark, monkeypatch):
+    """Groups of any size: the sorted boxes are written, else only totals."""
+    boxes = spark.range(3000).selectExpr("'g' g", "id % 3 page", "cast(id * 7919 % 700 as double) x", "cast(id * 104729 % 5000 as double) y", "id region_id")
+    whole = {r.region_id: r.position for r in reg.reading_order(boxes, "g").collect()}
+    written = []
+
+    def spy(df):
+        done = cut_lineage(df)
+        written.append(done.count())
+        return done
+
+    monkeypatch.setattr(tables, "cut_lineage", spy)
+    monkeypatch.setattr(reg, "layout_of", lambda df, keys: tables.Layout(True, bits=5))
+    got = {r.region_id: r.position for r in reg.reading_order(boxes, "g").collect()}
+    assert got == whole and sorted(got.values()) == list(range(3000))
+    assert sum(n >= 3000 for n in written) == 1

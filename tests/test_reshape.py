@@ -1,14 +1,18 @@
 """Reshaping steps on small ragged tables, in both layouts, and against brute force."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from cellweave import tables
 from cellweave.operators import reshape
 from cellweave.operators.grouping import AllRows, EmptyColumn, StaticRowCounts
-from cellweave.tables import Layout, layout_of, renumber, to_cells
+from cellweave.tables import Layout, Running, in_chunks, layout_of, renumber, running, to_cells
 
 
 def run(portions, rows_of, layout, tables, steps):
@@ -269,3 +273,41 @@ def test_a_row_number_that_does_not_fit_fails(spark):
     df = spark.createDataFrame([("t", 0, 1 << 32, ["a"])], "table_id string, part_ix int, row_ix bigint, cells array<string>")
     with pytest.raises(Exception, match="does not fit in a portion"):
         reshape.concat_portions(df).collect()
+
+
+def test_long_tables_take_their_own_route(spark, rows_of, monkeypatch):
+    """One table of many rows and a thousand small ones: no row of a small one is dealt out by chunks."""
+    small = [(f"s{t}", i, [str(i), ""]) for t in range(1000) for i in range(3)]
+    long = [("long", i, [str(i) if i % 4 == 0 else "", "x"]) for i in range(900)]
+    df = spark.createDataFrame(small + long, "table_id string, row_ix bigint, cells array<string>").repartition(4)
+    dealt = []
+
+    def spy(part, layout, *more):
+        dealt.append({r.table_id for r in part.select("table_id").distinct().collect()})
+        return in_chunks(part, layout, *more)
+
+    for module in (reshape, tables):
+        monkeypatch.setattr(module, "in_chunks", spy)
+    steps = [reshape.fold_rows([EmptyColumn(0)]), reshape.wrap_row_every_n(3), reshape.prepend_row(["h"])]
+    out = reshape.sequence(df, steps, layout=None)
+    monkeypatch.setattr(reshape, "CHUNK_BITS", 6)
+    mixed = reshape.sequence(df, steps).cache()
+    assert dealt and all(names == {"long"} for names in dealt)
+    for name in ("long", "s0", "s999"):
+        assert rows_of(mixed, name) == rows_of(out, name)
+    assert mixed.count() == out.count()
+
+
+@pytest.mark.parametrize("n_values", [1, 3])
+def test_running_values_share_one_exchange(spark, n_values):
+    """Rows that are dealt out by chunks take any number of running values without another exchange of rows."""
+    df = spark.range(4000).selectExpr("'t' table_id", "id row_ix", "array(cast(id % 7 as string)) cells")
+    layout = Layout(chunked=True, bits=6)
+    rows = in_chunks(tables.cut_lineage(df), layout)
+    for i in range(n_values):
+        filled = F.when(F.get("cells", F.lit(0)) == str(i), 1).otherwise(0)
+        rows = running(rows, {f"v{i}": Running("sum", filled + (F.col(f"v{i - 1}") if i else 0))}, layout)
+    plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"Exchange\s+Input \[\d+\]: \[(.*?)\]", plan)
+    assert sum("cells" in columns for columns in moved) == 1  # the others move totals
+    assert rows.agg(F.max("v0")).first()[0] == 572

@@ -182,10 +182,10 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 def _totals(batches: Iterator[pa.RecordBatch], reader: _Reader) -> Iterator[pa.RecordBatch]:
     """One map per part: from each state, the state after the part and the registers."""
-    held_key, state, registers = None, None, None
+    held_key, kinds, state, registers = None, None, None, None
 
     def row():
-        arrays = [pa.array([k]) for k in held_key]
+        arrays = [pa.array([k], kind) for k, kind in zip(held_key, kinds)]
         return pa.RecordBatch.from_arrays(
             [*arrays, pa.array([state.tolist()], pa.list_(pa.int32())), pa.array([registers.ravel().tolist()], pa.list_(pa.int64()))],
             names=[*reader.keys, "_next", "_noted"],
@@ -216,7 +216,7 @@ def _totals(batches: Iterator[pa.RecordBatch], reader: _Reader) -> Iterator[pa.R
             next_states = pa.array([f.tolist() for f in finals[:-1]], pa.list_(pa.int32()))
             noted = pa.array([x.ravel().tolist() for x in notes[:-1]], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*done, next_states, noted], names=[*reader.keys, "_next", "_noted"])
-        held_key, state, registers = [k[-1].as_py() for k in keys], finals[-1], notes[-1]
+        held_key, kinds, state, registers = [k[-1].as_py() for k in keys], [k.type for k in keys], finals[-1], notes[-1]
     if held_key is not None:
         yield row()
 

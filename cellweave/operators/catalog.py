@@ -132,13 +132,17 @@ def pages_of(portions: DataFrame, page_offset: int) -> DataFrame:
 
 
 def resolve_codes(
-    df: DataFrame, key: str, codes_column: str, codes: DataFrame, ignore_unknown: bool
+    df: DataFrame, key: str, codes_column: str, codes: DataFrame, ignore_unknown: bool, place: str | None = None
 ) -> DataFrame:
     """Replace an array of codes by the distinct classifications they stand for.
 
-    `codes` has `(code, classification)`. Gives `(key, classes, unknown)`; unless
-    they are ignored, unknown codes are listed in `unknown` for the caller.
+    `codes` has `(code, classification)`. Of rows that repeat a code the last one
+    counts, by the column `place`; without it, that with the largest classification.
+    Gives `(key, classes, unknown)`; unless they are ignored, unknown codes are
+    listed in `unknown` for the caller.
     """
+    order = F.struct(place, "classification") if place else F.col("classification")
+    codes = codes.groupBy("code").agg(F.max_by("classification", order).alias("classification"))
     each = df.select(key, F.explode_outer(F.array_distinct(codes_column)).alias("code"))
     found = each.join(codes.select("code", "classification"), "code", "left")
     missing = F.when(F.col("code").isNotNull() & F.col("classification").isNull(), F.col("code"))
@@ -152,22 +156,31 @@ def override(value: Column, by: Column) -> Column:
     return F.coalesce(by, value)
 
 
-def merge_records(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def merge_records(left: DataFrame, right: DataFrame, key: str, whole: tuple[str, ...] = ()) -> DataFrame:
     """Merge partial records: the set field wins, equal fields stay, unequal ones conflict.
 
-    Struct fields are merged field by field. `conflicts` names unequal fields;
-    they come out null.
+    Struct fields are merged field by field, but for those named in `whole` (as
+    `a` or `a.b`): these are equal or not as one value, like all others. Arrays
+    are sets; of maps the entries count. `conflicts` names unequal fields; they
+    come out null.
     """
     a, b = left.alias("a"), right.alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     conflicts: list[Column] = []
 
     def merge(x: Column, y: Column, data_type, name: str) -> Column:
-        if hasattr(data_type, "fields"):
+        if hasattr(data_type, "fields") and name not in whole:
             fields = [merge(x[f.name], y[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in data_type.fields]
             return F.when(x.isNotNull() | y.isNotNull(), F.struct(*fields))
-        # Arrays are sets here: their order does not count.
-        unequal = F.array_sort(x) != F.array_sort(y) if data_type.typeName() == "array" else x != y
+        if hasattr(data_type, "fields"):
+            # Two values are at hand, maybe with null fields, which are equal to each other.
+            unequal = F.when(x.isNotNull() & y.isNotNull(), ~x.eqNullSafe(y))
+        elif data_type.typeName() == "array":
+            unequal = F.array_sort(x) != F.array_sort(y)
+        elif data_type.typeName() == "map":
+            unequal = F.array_sort(F.map_entries(x)) != F.array_sort(F.map_entries(y))
+        else:
+            unequal = x != y
         conflicts.append(F.when(unequal, F.lit(name)))
         return F.when(F.coalesce(unequal, F.lit(False)), None).otherwise(F.coalesce(x, y))
 

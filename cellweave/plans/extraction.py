@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import catalog as cat
 from cellweave.operators.reshape import Step, concat_portions, sequence
+from cellweave.operators.userfn import Rows, table_function
 from cellweave.session import scratch_path
-from cellweave.tables import Layout, layout_of
+from cellweave.tables import Layout
 
 
 @dataclass(frozen=True)
@@ -29,29 +31,39 @@ def work_list(catalog: DataFrame, index: DataFrame, choice: Choice) -> DataFrame
     return cat.without_outputs(cat.output_paths(tables), index, choice.overwrite)
 
 
+#: Steps, or a function on the portions of a table (`userfn`).
+Transform = list[Step] | Callable[[list[Rows]], Rows]
+
+
 def extract(
-    work: DataFrame, portions: DataFrame, transforms: dict[str, list[Step]], layout: Layout | None = None
-) -> DataFrame:
-    """Reshape the chosen tables: one plan per transform, shared by its tables.
+    work: DataFrame, portions: DataFrame, transforms: dict[str, Transform], layout: Layout | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Reshape the chosen tables: one plan per transform, shared by its tables. Gives their rows, and `(table_id, error)`.
 
     Tables without a transform are concatenated as they are; those with one that
-    is not in `transforms` give nothing (see `unknown_transforms`). The chosen
-    rows are written once, by transform, so each plan reads its own tables only.
+    is not in `transforms` give nothing (see `unknown_transforms`). A user's
+    function that fails gives its table an error, the others their rows. The
+    chosen rows are written once, by transform, so each plan reads its own tables only.
     """
     listed = work.select(F.col("path").alias("table_id"), "transform")
     spark, path = work.sparkSession, scratch_path(work.sparkSession, "chosen")
     chosen = portions.join(listed, "table_id").select("table_id", "part_ix", "row_ix", "cells", "transform")
     chosen.write.partitionBy("transform").parquet(path)
     chosen = spark.read.schema(chosen.schema).parquet(path)
-    layout = layout or layout_of(chosen)
     # One row per transform, of which there are as many as the caller has named.
     used = {r.transform for r in listed.select("transform").distinct().collect()}
-    parts = []
+    parts, failed = [], [spark.createDataFrame([], "table_id string, error string")]
     for name in sorted(used & set(transforms)):
-        own = listed.filter(F.col("transform") == name).select("table_id")
+        own, rows = listed.filter(F.col("transform") == name).select("table_id"), chosen.filter(F.col("transform") == name)
+        if callable(transforms[name]):
+            made, errors = table_function(rows, transforms[name])
+            parts.append(made)
+            failed.append(errors)
+            continue
         steps = [s.for_tables(own) if hasattr(s, "for_tables") else s for s in transforms[name]]
-        parts.append(sequence(concat_portions(chosen.filter(F.col("transform") == name)), steps, layout=layout))
-    return reduce(DataFrame.unionByName, parts, concat_portions(chosen.filter("transform is null")))
+        parts.append(sequence(concat_portions(rows), steps, layout=layout))
+    done = reduce(DataFrame.unionByName, parts, concat_portions(chosen.filter("transform is null")))
+    return done, reduce(DataFrame.unionByName, failed)
 
 
 def unknown_transforms(work: DataFrame, transforms: dict[str, list[Step]]) -> DataFrame:

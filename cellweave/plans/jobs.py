@@ -111,7 +111,7 @@ def extract_tables(
     catalog: DataFrame,
     portions: DataFrame,
     index: DataFrame,
-    transforms: dict[str, list[Step]],
+    transforms: dict[str, extraction.Transform],
     choice: extraction.Choice,
     out: str,
     errors: DataFrame | None = None,
@@ -120,7 +120,8 @@ def extract_tables(
     """Extract the chosen tables to CSV below `out/tables`; gives the new index, written to `out/index`, and the outcomes.
 
     `portions` has `table_id` equal to catalog paths. `errors` `(table_id, error)`
-    are reading errors of tables; the other tables are extracted all the same.
+    are reading errors of tables; the other tables are extracted all the same, and
+    so they are where a user's function fails for some.
     `trade_report` reads both folders, with `extracted`. A later run adds tables
     to them, or replaces those that the choice overwrites.
     """
@@ -130,7 +131,8 @@ def extract_tables(
     errors = cut_lineage(errors.unionByName(extraction.unknown_transforms(work, transforms)))
     sound = work.join(errors.select(F.col("table_id").alias("path")), "path", "left_anti")
     # Written before it is ranged into files, which reads it twice, and to know which tables came out.
-    extracted = cut_lineage(extraction.extract(sound, portions, transforms))
+    extracted, failed = extraction.extract(sound, portions, transforms)
+    extracted, errors = cut_lineage(extracted), errors.unionByName(failed)
     csvtables.write_csv_tables(extracted, f"{out}/tables")
     written = extracted.select("table_id").distinct()
     indexed = sound.join(written.select(F.col("table_id").alias("path")), "path", "left_semi")

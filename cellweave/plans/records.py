@@ -142,6 +142,7 @@ def trade_codes(df: DataFrame) -> DataFrame:
         F.col("Classification").alias("classification"),
         F.col("Code").alias("code"),
         *[codes.parse_range_set(F.col(title)).alias(name) for title, name in CRITERIA_COLUMNS.items()],
+        *[c for c in df.columns if c == "row_ix"],
     )
 
 

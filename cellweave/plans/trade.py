@@ -60,7 +60,8 @@ class Blocks:
 def world_views(worlds: DataFrame, trade_codes: DataFrame, ignore_unknown: bool = False) -> DataFrame:
     """`(world_ix, location, classes, law_level)`; an unknown trade code fails the run unless ignored.
 
-    `worlds` has a `world_ix` besides the world record.
+    `worlds` has a `world_ix` besides the world record. Where a table of trade
+    codes repeats a code, its last row counts.
     """
     classes = resolve_codes(
         worlds.select("world_ix", F.col("social.trade_codes").alias("codes")),
@@ -68,6 +69,7 @@ def world_views(worlds: DataFrame, trade_codes: DataFrame, ignore_unknown: bool
         "codes",
         trade_codes,
         ignore_unknown,
+        "row_ix" if "row_ix" in trade_codes.columns else None,
     )
     unknown = F.when(
         F.size("unknown") > 0,

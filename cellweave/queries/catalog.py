@@ -302,7 +302,7 @@ def extraction_run(spark, d):
 
     portions = conversation_portions(spark, d).withColumn("table_id", F.concat(F.lit("c/"), "table_id"))
     transforms = {"fold": [reshape.fold_rows([AllRows()])], "wrap": [reshape.wrap_row_every_n(1)]}
-    out = extraction.extract(_extraction_work(spark, d), portions, transforms)
+    out, _ = extraction.extract(_extraction_work(spark, d), portions, transforms)
     return out.groupBy("table_id").agg(F.count("*").alias("n_rows"), F.sum(F.size("cells")).alias("n_cells"))
 
 

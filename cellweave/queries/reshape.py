@@ -188,7 +188,7 @@ def _number_lines(portions):
 
 
 def user_function(spark, d):
-    return to_cells(table_function(conversation_portions(spark, d), _number_lines))
+    return to_cells(table_function(conversation_portions(spark, d), _number_lines)[0])
 
 
 def _side_by_side(first, rest):
@@ -199,7 +199,7 @@ def named_inputs(spark, d):
     """The user's lines beside all others, as far as the longer side goes."""
     turns = conversation_portions(spark, d)
     side = lambda own: reshape.concat_portions(turns.filter(own))
-    return to_cells(named_inputs_function({"rest": side("role <> 'user'"), "first": side("role = 'user'")}, _side_by_side))
+    return to_cells(named_inputs_function({"rest": side("role <> 'user'"), "first": side("role = 'user'")}, _side_by_side)[0])
 
 
 def _whole_table(portions):
@@ -207,7 +207,21 @@ def _whole_table(portions):
 
 
 def user_summary(spark, d):
-    return to_cells(table_function(conversation_portions(spark, d), _whole_table))
+    return to_cells(table_function(conversation_portions(spark, d), _whole_table)[0])
+
+
+def _some_fail(portions):
+    lines = sum(map(len, portions))
+    if lines % 3 == 0:
+        raise ValueError(f"{lines} lines")
+    return [["lines", lines if lines % 3 == 1 else str(lines)]]
+
+
+def user_errors(spark, d):
+    """What happens to each table when the function raises for some and gives other results than rows of text for others."""
+    rows_, errors = table_function(conversation_portions(spark, d), _some_fail)
+    good = rows_.select("table_id", F.get("cells", F.lit(1)).alias("outcome"))
+    return good.unionByName(errors.select("table_id", F.col("error").alias("outcome")))
 
 
 QUERIES = {
@@ -373,6 +387,13 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY part_ix,
 SELECT table_id, r AS row_ix, CAST(c.i AS BIGINT) AS col_ix,
        CASE c.i WHEN 0 THEN CAST(r AS VARCHAR) WHEN 1 THEN role ELSE line END AS cell
 FROM placed, (VALUES (0), (1), (2)) c(i)""",
+    ),
+    "u1_user_function_errors": Query(
+        user_errors,
+        f"""WITH {CONVERSATION_PORTIONS}
+SELECT table_id, CASE count(*) % 3 WHEN 0 THEN 'ValueError: ' || count(*) || ' lines'
+       WHEN 1 THEN 'TypeError: row 0, cell 1 must be a str, not a int' ELSE CAST(count(*) AS VARCHAR) END AS outcome
+FROM portions GROUP BY table_id""",
     ),
     "u2_named_inputs_function": Query(
         named_inputs,

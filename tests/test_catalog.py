@@ -130,3 +130,25 @@ def test_incremental_and_outcomes(spark):
     errors = spark.createDataFrame([("b", "no table in region"), ("b", "another")], "table_id string, error string")
     out = cat.outcomes(tables, tables.filter("table_id < 'c'"), errors)
     assert sorted(map(tuple, out.collect())) == [("a", True, None), ("b", False, "another"), ("c", False, "no output")]
+
+
+def test_last_row_of_a_repeated_code(spark):
+    codes = spark.createDataFrame([("A", "old", 1), ("B", "b", 2), ("A", "new", 3), ("C", "y", 4), ("C", "x", 4)], "code string, classification string, at int")
+    df = spark.createDataFrame([(1, ["A", "B"]), (2, ["Q"]), (3, ["C"])], "k int, codes array<string>")
+    got = {r.k: (r.classes, r.unknown) for r in cat.resolve_codes(df, "k", "codes", codes, False, "at").collect()}
+    assert got == {1: (["b", "new"], []), 2: ([], ["Q"]), 3: (["y"], [])}
+    assert cat.resolve_codes(df, "k", "codes", codes, False).filter("k = 1").first().classes == ["b", "old"]
+
+
+def test_merge_whole_fields_and_maps(spark):
+    schema = "id int, whole struct<p:int,q:int>, parts struct<p:int,q:struct<r:int>>, m map<string,int>"
+    a = spark.createDataFrame([(1, (1, None), (1, None), {"a": 1, "b": 2}), (2, (1, 2), (1, (2,)), {"a": 1}), (3, None, None, None)], schema)
+    b = spark.createDataFrame([(1, (1, 5), (1, (5,)), {"b": 2, "a": 1}), (2, (1, 2), (3, (2,)), {"a": 2}), (3, (7, None), None, {})], schema)
+    got = {r.id: r for r in cat.merge_records(a, b, "id", ("whole",)).collect()}
+    assert got[1].whole is None and got[1].conflicts == ["whole"] and got[1].parts.q.r == 5 and got[1].m == {"a": 1, "b": 2}
+    assert tuple(got[2].whole) == (1, 2) and sorted(got[2].conflicts) == ["m", "parts.p"]
+    assert tuple(got[3].whole) == (7, None) and got[3].m == {} and got[3].conflicts == []
+    # By field, the same records only complete each other.
+    assert cat.merge_records(a, b, "id").filter("id = 1").first().conflicts == []
+    nested = cat.merge_records(a, b, "id", ("parts.q",)).filter("id = 1").first()
+    assert nested.parts.q.r == 5 and nested.conflicts == []

@@ -104,6 +104,26 @@ def test_extract_tables(spark, tmp_path, portions, rows_of):
     assert [rows_of(back, t) for t in ("b/one", "b/two", "b/three")] == [[["h 1", "2"], ["x", "y"], ["z"]], [["newer"]], [["a", "b"]]]
 
 
+def test_a_user_function_fails_for_one_table(spark, tmp_path, portions, rows_of):
+    """The other tables come out, and the outcomes name what went wrong."""
+    catalog = spark.createDataFrame(
+        [(f"b/{name}", "table", ["t"], False, "own") for name in ("one", "two", "three")] + [("b/plain", "table", ["t"], False, None)],
+        "path string, kind string, tags array<string>, disabled boolean, transform string",
+    )
+
+    def own(parts):
+        return [[str(int(parts[0][0][0]) * 2)]]
+
+    data = portions({"b/one": [[["1"]]], "b/two": [[["x"]]], "b/three": [[["3"]]], "b/plain": [[["p"]]]})
+    index = spark.createDataFrame([], "table_path string, pages array<int>, tags array<string>")
+    new_index, outcomes = jobs.extract_tables(catalog, data, index, {"own": own}, Choice(), str(tmp_path))
+    got = {r.table_id: (r.ok, r.error and r.error.split(":")[0]) for r in outcomes.collect()}
+    assert got == {"b/one": (True, None), "b/two": (False, "ValueError"), "b/three": (True, None), "b/plain": (True, None)}
+    back = reshape.concat_portions(read_written_tables(spark, str(tmp_path / "tables")))
+    assert [rows_of(back, t) for t in ("b/one", "b/three")] == [[["2"]], [["6"]]]
+    assert "b/two.csv" not in {r.table_path for r in new_index.collect()}
+
+
 def test_report_from_extraction(spark, tmp_path, portions):
     """The trade report reads the folders that an extraction wrote."""
     catalog = spark.createDataFrame(

@@ -120,11 +120,12 @@ def test_recognised(spark):
 
 def test_user_functions(spark, portions, rows_of):
     df = portions({"t": [[["a"], ["b"]], [["c"]]], "u": [[["d"]]]})
-    out = table_function(df, lambda parts: [[str(len(parts))], *[row for part in parts for row in part]])
+    out, errors = table_function(df, lambda parts: [[str(len(parts))], *[row for part in parts for row in part]])
+    assert errors.count() == 0
     assert rows_of(out) == [["2"], ["a"], ["b"], ["c"]]
     assert rows_of(out, "u") == [["1"], ["d"]]
     plain = concat_portions(df)
-    both = named_inputs_function({"b": plain.filter("table_id = 't'"), "a": plain}, lambda a, b: [["a", str(len(a))], ["b", str(len(b))]])
+    both, _ = named_inputs_function({"b": plain.filter("table_id = 't'"), "a": plain}, lambda a, b: [["a", str(len(a))], ["b", str(len(b))]])
     assert rows_of(both, "u") == [["a", "1"], ["b", "0"]]
     for bad in ("rows", ["row"], [[1]], [[["deep"]]]):
         with pytest.raises(TypeError):
@@ -133,6 +134,27 @@ def test_user_functions(spark, portions, rows_of):
         check_rows(good)
 
 
+def test_a_failing_function_fails_for_its_table_only(spark, portions, rows_of):
+    """Errors raised and results that are no rows of text are outcomes of their tables, each worked out once."""
+
+    def odd(parts):
+        first = parts[0][0][0]
+        if first == "raise":
+            raise KeyError("no such thing")
+        return {"number": [["x"], [1]], "text": "x", "none": None}.get(first, [[first.upper()], []])
+
+    df = portions({name: [[[name]]] for name in ("good", "raise", "number", "text", "none", "fine")})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows, errors = table_function(df, odd)
+        assert rows_of(rows, "good") == [["GOOD"], []] and rows_of(rows, "fine") == [["FINE"], []] and rows.count() == 4
+        assert {r.table_id: r.error.split(":")[0] for r in errors.collect()} == {
+            "raise": "KeyError", "number": "TypeError", "text": "TypeError", "none": "TypeError",
+        }
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_keyed_csv_by_title(spark, tmp_path):
     """Columns go by title, whatever their order in a file; a quoted line break stays in its cell."""
     (tmp_path / "a.csv").write_text('Location,D66,Available,Purchase DM,Sale DM,Illegal,Comment\n0101,11,true,1,,,"two\nlines"\n')

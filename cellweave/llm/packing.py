@@ -8,9 +8,11 @@ order, and the line is cut into sequences: only the last one has padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,11 @@ class Coder:
     """
 
     #: The look-up table starts anew beyond so many entries.
-    HELD = 500_000
+    HELD = 1_000_000
 
     def __init__(self, path: str):
+        # A task has one core; threads of the tokenizer would take those of others.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
@@ -58,15 +62,14 @@ class Coder:
         self.size = np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, spans: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, spans: list[bytes], place: np.ndarray) -> None:
+        """Take up new spans. `keys` are sorted, and `place` is where they belong among those known."""
         coded = [e.ids for e in self.coder.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)]
         size = np.array([len(c) for c in coded], np.int64)
         at = len(self.tokens) + np.cumsum(size) - size
-        self.tokens = np.concatenate([self.tokens, np.array([t for c in coded for t in c], np.uint32)])
-        known = np.concatenate([self.known, keys])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum()))])
+        self.known = np.insert(self.known, place, keys)
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """The ids of each text, then `end_id`."""
@@ -91,16 +94,17 @@ class Coder:
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(data))
         spans = span_ids(data, begin, end)
-        keys, where = np.unique(spans, return_index=True)
+        keys, where, which = np.unique(spans, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, keys)
         new = np.ones(len(keys), bool)
         if len(self.known):
             new = self.known[np.minimum(place, len(self.known) - 1)] != keys
         if new.any():
             raw = data.tobytes()
-            self._learn(keys[new], [raw[begin[i] : end[i]] for i in where[new]])
-        found = np.searchsorted(self.known, spans)
-        at, size = self.at[found], self.size[found]
+            self._learn(keys[new], [raw[begin[i] : end[i]] for i in where[new]], place[new])
+            # A key has moved by the number of new ones before it.
+            place = place + np.cumsum(new) - new
+        at, size = self.at[place][which], self.size[place][which]
         upto = np.cumsum(size)
         ids = self.tokens[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
         bounds = np.append(0, upto)[np.searchsorted(begin, first)]
@@ -177,7 +181,7 @@ def tokenized(docs: DataFrame, packing: Packing, bounds: list[int]) -> DataFrame
         coder = _coder(path)
         for batch in batches:
             ids, at = batch["doc_id"], 0
-            for group in groups(lazily(batch["text"])):
+            for group in groups(lazily(batch["text"]), 1 << 20):
                 own = ids.slice(at, len(group))
                 keys = sort_keys(group, own.to_pylist())
                 coded = coder.encode(group, end)

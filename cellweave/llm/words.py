@@ -63,13 +63,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
-    """UTF-8 of texts (null: empty), in groups of about GROUP_BYTES."""
+def groups(texts: Iterable[str | None], most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+    """UTF-8 of texts (null: empty), in groups of about `most` bytes."""
     held: list[bytes] = []
     size = 0
     for text in texts:
         raw = (text or "").encode()
-        if held and size + len(raw) > GROUP_BYTES:
+        if held and size + len(raw) > most:
             yield held
             held, size = [], 0
         held.append(raw)

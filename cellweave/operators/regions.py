@@ -78,11 +78,38 @@ def _grids_from_own() -> Column:
     return F.explode(F.sequence(_grid(), F.lit(len(GRID_POINTS))))
 
 
+#: Rows of a cell that one task takes; cells with more are split.
+CELL_ROWS = 20_000
+#: So many split cells are sent to all tasks at most; beyond, they are joined.
+LISTED_CELLS = 100_000
+
+
+def _in_occupied(rows: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows in cells that `others` are in as well, cells of very many rows split, with copies of the others for each part.
+
+    Gives both sides and the keys to join them on.
+    """
+    cells = others.select(*CELL_KEYS).distinct()
+    rows = rows.join(cells, CELL_KEYS, "left_semi")
+    counts = rows.groupBy(*CELL_KEYS).agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS)
+    split = cut_lineage(counts.select(*CELL_KEYS, F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts")))
+    n_split = split.count()
+    if not n_split:
+        return rows, others, CELL_KEYS
+    split = F.broadcast(split) if n_split <= LISTED_CELLS else split
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in CELL_KEYS]), parts).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), parts - 1))
+    dealt = lambda side, part: side.join(split, CELL_KEYS, "left").withColumn("part", part).drop("parts")
+    return dealt(rows, own), dealt(others, copies), [*CELL_KEYS, "part"]
+
+
 def items_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     """Pairs of an item and a region that holds it on all four sides.
 
     A region is entered in every cell it covers in its grid; an item, no larger
     than its region, is looked up by its top left corner, so no pair comes twice.
+    Items go only to cells that hold regions, and cells of very many items are split.
     """
     corner = (
         items.withColumn("grid", _grids_from_own())
@@ -92,10 +119,11 @@ def items_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     inside = _covered(regions.filter("left <= right and top <= bottom"), _grid()).select(
         *CELL_KEYS, "region_id", *[F.col(c).alias(f"r_{c}") for c in ("left", "top", "right", "bottom")]
     )
+    corner, inside, keys = _in_occupied(corner, inside)
     return (
-        corner.join(inside, CELL_KEYS)
+        corner.join(inside, keys)
         .filter("left >= r_left and right <= r_right and top >= r_top and bottom <= r_bottom")
-        .drop("grid", "cx", "cy", "r_left", "r_top", "r_right", "r_bottom")
+        .drop("grid", "cx", "cy", "r_left", "r_top", "r_right", "r_bottom", *[k for k in keys if k not in CELL_KEYS])
     )
 
 
@@ -104,7 +132,8 @@ def overlapping(regions: DataFrame) -> DataFrame:
 
     The box in the finer grid is looked up in the grid of the coarser one. A
     pair that meets in several cells is kept only in the one that holds the top
-    left corner of the common area.
+    left corner of the common area. Boxes go only to coarser cells that are the
+    own ones of others, and cells of very many boxes are split.
     """
     boxes = regions.filter("left <= right and top <= bottom").select(
         *PAGE_KEYS, "region_id", "left", "top", "right", "bottom", _grid().alias("own_grid")
@@ -112,9 +141,10 @@ def overlapping(regions: DataFrame) -> DataFrame:
     names = ["region_id", "left", "top", "right", "bottom", "own_grid"]
     hosts = _covered(boxes, F.col("own_grid")).select(*CELL_KEYS, *[F.col(c).alias(f"h_{c}") for c in names])
     guests = _covered(boxes, _grids_from_own()).select(*CELL_KEYS, *[F.col(c).alias(f"g_{c}") for c in names])
+    guests, hosts, keys = _in_occupied(guests, hosts)
     corner_x, corner_y = F.greatest("h_left", "g_left"), F.greatest("h_top", "g_top")
     return (
-        hosts.join(guests, CELL_KEYS)
+        hosts.join(guests, keys)
         .filter("h_left <= g_right and g_left <= h_right and h_top <= g_bottom and g_top <= h_bottom")
         .filter("g_own_grid < h_own_grid or g_region_id < h_region_id")
         .filter((_cell_in(corner_x, F.col("grid")) == F.col("cx")) & (_cell_in(corner_y, F.col("grid")) == F.col("cy")))
@@ -152,7 +182,8 @@ def non_overlapping_batches(regions: DataFrame) -> DataFrame:
     in the order of a hash, and each gets the lowest batch without an earlier
     region it overlaps. All regions whose earlier neighbours are settled get
     theirs in the same round, so with the hashed order a long row of boxes, each
-    overlapping the next, takes few rounds. Every round is written out.
+    overlapping the next, takes few rounds. A round writes the regions it has
+    settled and no others, so over all rounds each region is written once.
     """
     rank = lambda c: F.struct(F.md5(F.col(c).cast("string").cast("binary")), F.col(c))
     first = rank("region_a") < rank("region_b")
@@ -161,24 +192,21 @@ def non_overlapping_batches(regions: DataFrame) -> DataFrame:
         F.when(first, F.col("region_b")).otherwise(F.col("region_a")).alias("region_id"),
     )
     pairs = cut_lineage(pairs)
-    state = cut_lineage(regions.select("region_id", F.lit(None).cast("bigint").alias("batch")))
-    while state.filter("batch is null").limit(1).count():
-        unsettled = state.filter("batch is null").select("region_id")
-        neighbours = (
-            pairs.join(unsettled, "region_id", "left_semi")
-            .join(state.withColumnRenamed("region_id", "earlier"), "earlier")
+    every = regions.select("region_id").distinct()
+    settled = every.limit(0).withColumn("batch", F.lit(None).cast("bigint"))
+    while True:
+        earlier = (
+            pairs.join(settled.withColumnRenamed("region_id", "earlier"), "earlier", "left")
             .groupBy("region_id")
             .agg(F.max(F.col("batch").isNull()).alias("waits"), F.collect_set("batch").alias("used"))
         )
+        waiting = every.join(settled, "region_id", "left_anti").join(earlier, "region_id", "left")
         upto = F.sequence(F.lit(0).cast("bigint"), F.size("used").cast("bigint"))
-        free = F.coalesce(F.array_min(F.array_except(upto, F.col("used"))), F.lit(0))
-        state = cut_lineage(
-            state.join(neighbours, "region_id", "left").select(
-                "region_id",
-                F.coalesce("batch", F.when(~F.coalesce("waits", F.lit(False)), free)).cast("bigint").alias("batch"),
-            )
-        )
-    return state
+        free = F.coalesce(F.array_min(F.array_except(upto, F.col("used"))), F.lit(0)).cast("bigint")
+        new = cut_lineage(waiting.filter(~F.coalesce("waits", F.lit(False))).select("region_id", free.alias("batch")))
+        if not new.head(1):
+            return settled
+        settled = settled.unionByName(new)
 
 
 def reading_order(df: DataFrame, group: str) -> DataFrame:

@@ -216,21 +216,56 @@ def worlds_from_sector(df: DataFrame) -> DataFrame:
     )
 
 
+#: Codes of a bitmap index; more are looked up in as many rounds of so many.
+INDEXED_CODES = 2048
+WORD_BITS = 64
+
+
 def classify_worlds(worlds: DataFrame, criteria: DataFrame, key: str) -> DataFrame:
     """`(key, code)` for each trade code whose seven criteria a world's profile meets.
 
-    `worlds` has `(key, uwp)`. A profile has few distinct values, so distinct
-    profiles are matched, not worlds; a range criterion on planet size is turned
-    into an equality by listing the sizes it allows.
+    `worlds` has `(key, uwp)`. For each criterion and each digit a bitmap says
+    which codes allow it. A world's codes are the bits that its seven bitmaps have
+    in common, so worlds are neither joined nor shuffled. The index goes along
+    with the expression: `INDEXED_CODES` codes at a time.
     """
-    sizes = F.filter(
-        F.sequence(F.lit(0), F.lit(len(codes.DIGITS) - 1)), lambda v: codes.in_ranges(v, F.col("planet_sizes"))
-    )
-    by_size = criteria.select("code", *CRITERIA_COLUMNS.values(), F.explode(sizes).alias("size"))
-    profiles = worlds.select("uwp").filter("uwp is not null").distinct().withColumn("size", F.col("uwp.size"))
-    rest = [n for n in CRITERIA_NUMBERS if n != "planet_sizes"]
-    meets = F.lit(True)
-    for name in rest:
-        meets = meets & codes.in_ranges(F.col(f"uwp.{CRITERIA_NUMBERS[name]}"), F.col(name))
-    matched = profiles.join(by_size, "size").filter(meets).select("uwp", "code").distinct()
-    return worlds.select(key, "uwp").join(matched, "uwp").select(key, "code")
+    digits = F.sequence(F.lit(0), F.lit(len(codes.DIGITS) - 1))
+
+    def allowed(criterion: str) -> Column:
+        return F.transform(digits, lambda v: F.coalesce(codes.in_ranges(v, F.col(criterion)), F.lit(False))).alias(criterion)
+
+    rules = criteria.select("code", *[allowed(c) for c in CRITERIA_NUMBERS]).distinct()
+    found, held = None, []
+    known = worlds.select(key, "uwp").filter("uwp is not null")
+    for rule in rules.toLocalIterator():
+        held.append(rule)
+        if len(held) == INDEXED_CODES:
+            found, held = _with(found, _meeting(known, held, key)), []
+    if held or found is None:
+        found = _with(found, _meeting(known, held, key))
+    # A code may stand in several rows of criteria, of which a world meets one or more.
+    return found if rules.select("code").distinct().count() == rules.count() else found.distinct()
+
+
+def _with(found: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if found is None else found.unionByName(more)
+
+
+def _meeting(worlds: DataFrame, rules: list, key: str) -> DataFrame:
+    """`(key, code)` of these rules, by their bitmaps."""
+
+    def met(word: list) -> Column:
+        """Codes of up to WORD_BITS rules."""
+        common = None
+        for criterion, number in CRITERIA_NUMBERS.items():
+            bits = [sum(1 << i for i, rule in enumerate(word) if rule[criterion][digit]) for digit in range(len(codes.DIGITS))]
+            signed = [b - (1 << WORD_BITS) if b >> (WORD_BITS - 1) else b for b in bits]
+            allowed = F.get(F.array(*[F.lit(b).cast("bigint") for b in signed]), F.col(f"uwp.{number}"))
+            common = allowed if common is None else common.bitwiseAND(allowed)
+        names = F.array(*[F.struct(F.lit(i).alias("bit"), F.lit(rule["code"]).alias("code")) for i, rule in enumerate(word)])
+        return F.transform(F.filter(names, lambda n: F.call_function("getbit", common, n["bit"]) == 1), lambda n: n["code"])
+
+    meets = [met(rules[at : at + WORD_BITS]) for at in range(0, len(rules), WORD_BITS)]
+    none = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(m, none) for m in meets]) if meets else none
+    return worlds.select(key, F.explode(every).alias("code"))

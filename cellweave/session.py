@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -68,4 +70,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder once, so that later uses read it back."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    _release(df.sparkSession)
+    return done
+
+
+#: Seconds between two calls of the driver's collector.
+RELEASE_EVERY = 2.0
+_released = {"at": 0.0}
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files, and checkpoints, of what nothing refers to any more.
+
+    It does so once the driver's collector has found them, which a driver with
+    memory to spare seldom runs, while executors' disks fill in a job of many rounds.
+    """
+    if time.monotonic() - _released["at"] >= RELEASE_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released["at"] = time.monotonic()

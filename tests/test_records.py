@@ -1,5 +1,7 @@
 """Packed codes, ranges, typed records and the trade table by hand-worked cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,37 @@ def test_classify_worlds(spark):
     worlds = worlds.select("k", codes.parse_profile(F.col("t")).alias("uwp"))
     out = records.classify_worlds(worlds, records.trade_codes(criteria), "k").collect()
     assert sorted(map(tuple, out)) == [(1, "Ag"), (2, "As")]
+
+
+def test_bitmaps_of_many_codes(spark, monkeypatch):
+    """Open, single and several ranges, more codes than a word has bits and than one round takes, a code in two rows."""
+    monkeypatch.setattr(records, "INDEXED_CODES", 70)
+    rng = random.Random(2)
+    text = lambda: rng.choice(["", "0", "5+", "3-", "2-9", "0-4, 8+", "1,3,5,7-"])
+    rows = [(f"name {i}", f"c{i % 150}", *[text() for _ in records.CRITERIA_COLUMNS]) for i in range(160)]
+    criteria = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ["Classification", "Code", *records.CRITERIA_COLUMNS]))
+    worlds = spark.createDataFrame([(k, "A" + "".join(rng.choice("0123456789AZ") for _ in range(7))) for k in range(80)], "k int, t string")
+    worlds = worlds.select("k", "t", codes.parse_profile(F.col("t")).alias("uwp"))
+
+    def allows(ranges, value):
+        for part in ranges.split(","):
+            part = part.strip()
+            lo, hi = part, part
+            if part.endswith("+"):
+                lo, hi = part[:-1], "99"
+            elif part.endswith("-"):
+                lo, hi = "0", part[:-1]
+            elif "-" in part:
+                lo, hi = part.split("-")
+            if not part or int(lo) <= value <= int(hi):
+                return True
+        return False
+
+    parsed = records.trade_codes(criteria)
+    out = records.classify_worlds(worlds.select("k", "uwp"), parsed, "k")
+    numbers = {r.k: [codes.DIGITS.index(c) for c in r.t[1:]] for r in worlds.collect()}
+    want = {(k, r[1]) for k, n in numbers.items() for r in rows if all(allows(c, v) for c, v in zip(r[2:], n))}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) and want
+    plan = records.classify_worlds(worlds.select("k", "uwp"), parsed.limit(20), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

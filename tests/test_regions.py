@@ -114,3 +114,40 @@ def test_reading_order_writes_rows_once(spark, monkeypatch):
     got = {r.region_id: r.position for r in reg.reading_order(boxes, "g").collect()}
     assert got == whole and sorted(got.values()) == list(range(3000))
     assert sum(n >= 3000 for n in written) == 1
+
+
+def test_hot_cells_are_split(spark, monkeypatch):
+    """All boxes on one page, most in one cell: split, no task takes more than three times the rows of the median one."""
+    monkeypatch.setattr(reg, "CELL_ROWS", 200)
+    rng = random.Random(6)
+    box = lambda x, y, w, h: (int(x * 4096), int(y * 4096), int((x + w) * 4096), int((y + h) * 4096))
+    items = [("d", 1, "m", *box(rng.uniform(100, 120), rng.uniform(100, 120), 1, 1), i) for i in range(6000)]
+    areas = [("d", 1, "m", *box(rng.uniform(90, 110), rng.uniform(90, 110), 25, 25), f"r{i}") for i in range(12)]
+    boxes = "doc string, page int, method string, left bigint, top bigint, right bigint, bottom bigint"
+    items_df, areas_df = spark.createDataFrame(items, boxes + ", item_id int"), spark.createDataFrame(areas, boxes + ", region_id string")
+    got = {(r.item_id, r.region_id) for r in reg.items_in_regions(items_df, areas_df).collect()}
+    want = {(i[7], a[7]) for i in items for a in areas if i[3] >= a[3] and i[4] >= a[4] and i[5] <= a[5] and i[6] <= a[6]}
+    assert got == want
+    corner = items_df.withColumn("grid", F.lit(2)).withColumn("cx", F.lit(0).cast("bigint")).withColumn("cy", F.lit(0).cast("bigint"))
+    rows, others, keys = reg._in_occupied(corner, corner.limit(3))
+    sizes = sorted(r["count"] for r in rows.groupBy(*keys).count().collect())
+    assert len(sizes) == 30 and sizes[-1] <= 3 * sizes[len(sizes) // 2] and others.count() == 90
+    few = reg._in_occupied(corner, corner.limit(3).withColumn("cx", F.lit(7).cast("bigint")))[0]
+    assert few.count() == 0  # nothing goes where no region is
+
+
+def test_a_region_is_written_once(spark, monkeypatch):
+    """Rounds write what they settle: regions and pairs once each."""
+    written = []
+
+    def spy(df):
+        done = cut_lineage(df)
+        written.append(done.count())
+        return done
+
+    boxes = [("d", 1, "m", 4096 * 10 * i, 0, 4096 * (10 * i + 15), 4096, f"r{i}") for i in range(300)]
+    df = spark.createDataFrame(boxes, "doc string, page int, method string, left bigint, top bigint, right bigint, bottom bigint, region_id string")
+    monkeypatch.setattr(reg, "cut_lineage", spy)
+    got = {r.region_id: r.batch for r in reg.non_overlapping_batches(df).collect()}
+    assert len(got) == 300 and all(got[f"r{i}"] != got[f"r{i + 1}"] for i in range(299))
+    assert sum(written) == 300 + 299

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.components import components
 from cellweave.llm.words import mixed
-from cellweave.session import cut_lineage
+from cellweave.session import cut_lineage, scratch_path
 
 PLACES = 128
 CYCLE = 4096  # steps after which the shared bits repeat
@@ -201,7 +201,10 @@ def near_classes(prints: DataFrame, least: float = 0.75, bands: int = 24, places
     # Buckets that share a number by chance are compared as one.
     keys = [F.xxhash64(F.lit(b), *[F.substr("bytes", F.lit(p + 1), F.lit(1)) for p in pick]) for b, pick in enumerate(picks)]
     met = own.select("node", F.explode(F.array(*keys)).alias("band"))
-    met = cut_lineage(met.join(met.groupBy("band").count().filter("count > 1").select("band"), "band"))
+    met = met.join(met.groupBy("band").count().filter("count > 1").select("band"), "band")
+    path = scratch_path(own.sparkSession, "bands")
+    met.write.parquet(path)
+    met = own.sparkSession.read.schema(met.schema).parquet(path)
     first = met.groupBy("band").agg(F.min("node").alias("b"))
     pairs = met.join(first, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     side = lambda c: own.select(F.col("node").alias(c), F.hex("bytes").alias(f"print_{c}"))
@@ -209,7 +212,10 @@ def near_classes(prints: DataFrame, least: float = 0.75, bands: int = 24, places
     classes = cut_lineage(components(links.select("a", "b")).select("node", F.col("component").alias("class")))
     last = components(_open_links(met, classes, own, least, tile)).select(F.col("node").alias("class"), "component")
     whole = own.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(last, "class", "left")
-    whole = cut_lineage(whole.select("bytes", F.coalesce("component", "class").alias("class")))
+    path = scratch_path(own.sparkSession, "print-classes")
+    whole = whole.select("bytes", F.coalesce("component", "class").alias("class"))
+    whole.write.parquet(path)
+    whole = own.sparkSession.read.schema(whole.schema).parquet(path)
     names = whole.groupBy("class").agg(F.min("bytes").alias("least"))
     return whole.join(names, "class").select(F.lower(F.hex("bytes")).alias("fingerprint"), F.lower(F.hex("least")).alias("class_id"))
 
@@ -278,6 +284,17 @@ def _open_links(met: DataFrame, classes: DataFrame, own: DataFrame, least: float
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
-    """`fingerprint(docs)` and the `class_id` of each row's fingerprint among all of them."""
-    found = cut_lineage(fingerprint(docs))
-    return found.join(near_classes(found), "fingerprint").select(*found.columns, "class_id")
+    """`fingerprint(docs)` and the `class_id` of each row's fingerprint among all of them.
+
+    What is written and joined meanwhile has the prints as bytes, half as long as their text.
+    """
+    made = fingerprint(docs)
+    prints = ["edited_sha256", "fingerprint", "edited_fingerprint"]
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "fingerprints")
+    narrow = made.withColumns({c: F.unhex(c) for c in prints})
+    narrow.write.parquet(path)
+    found = spark.read.schema(narrow.schema).parquet(path)
+    as_text = lambda c: F.lower(F.hex(c))
+    classes = near_classes(found.select(as_text("fingerprint").alias("fingerprint")))
+    joined = found.join(classes.select(F.unhex("fingerprint").alias("fingerprint"), "class_id"), "fingerprint")
+    return joined.select(*[as_text(c).alias(c) if c in prints else F.col(c) for c in made.columns], "class_id")

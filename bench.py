@@ -17,6 +17,10 @@ HEADLINE = [
     "t8_transpose",
     "t9_wrap_row_every_n",
     "t11_step_sequence",
+    "t5_prepend_long_tables",
+    "t6_fold_long_tables",
+    "t9_wrap_long_tables",
+    "t11_wrap_transpose_wrap_long_tables",
     "g4_grouper_chain",
     "x3_suffix_sections",
     "x6_section_items",
@@ -27,6 +31,7 @@ HEADLINE = [
     "r20_incremental_run",
     "p1_items_in_regions",
     "p2_overlapping_regions",
+    "p5_non_overlapping_batches",
     "p7_reading_order",
     "q5_trade_table",
     "q6_formatted",

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import text
+from cellweave.operators import cells as flat
 from cellweave.operators.grouping import RowGrouper, assign_groups
 from cellweave.session import cut_lineage
-from cellweave.tables import CHUNK, CHUNK_BITS, TABLE_COLUMNS, Layout, Running, in_chunks, layout_of, running
+from cellweave.tables import CHUNK, CHUNK_BITS, TABLE_COLUMNS, Layout, Running, in_chunks, layout_of, running, to_cells
 
 Step = Callable[[DataFrame, Layout], DataFrame]
 
@@ -93,6 +94,30 @@ def _routes(df: DataFrame, bits: int) -> list[tuple[DataFrame, Layout]]:
     ]
 
 
+def sequence_cells(df: DataFrame, steps: list[Step], clean: bool = True, layout: Layout | None = None) -> DataFrame:
+    """As `sequence`, but as single cells `(table_id, row_ix, col_ix, cell)`.
+
+    From the first transposition of tables that may be long on, steps work on
+    cells, so no row of a transposed table is ever one value. What follows it
+    must know cells: `transpose`, `wrap_row_every_n`, `fold_rows`,
+    `expand_column_on_regex`, `prepend_row`.
+    """
+    turns = next((i for i, s in enumerate(steps) if getattr(s, "turns", False)), len(steps))
+    unknown = [i for i, s in enumerate(steps) if i >= turns and not hasattr(s, "on_cells")]
+    if unknown:
+        raise ValueError(f"steps {unknown} do not work on single cells")
+    rows = sequence(df, steps[:turns], clean=False, layout=layout)
+    if turns < len(steps):
+        rows = cut_lineage(rows)
+        found = transpose_cells(rows)
+        for step in steps[turns + 1 :]:
+            # Each step reads its input twice or more: for row sizes, and for the cells.
+            found = step.on_cells(cut_lineage(found))
+    else:
+        found = to_cells(rows)
+    return flat.clean(found) if clean else found
+
+
 def _row_local(change: Callable[[Column], Column]) -> Step:
     def step(df: DataFrame, layout: Layout) -> DataFrame:
         return df.withColumn("cells", change(F.col("cells")))
@@ -132,7 +157,9 @@ def expand_column_on_regex(column: int, pattern: str, on_match: list[str], defau
             F.concat(_before(cells, column), filled, _after(cells, column))
         )
 
-    return _row_local(change)
+    step = _row_local(change)
+    step.on_cells = lambda cells: flat.expand_column_on_regex(cells, column, pattern, on_match, default)
+    return step
 
 
 def join_columns(from_: int | None = None, to: int | None = None, delim: str = "") -> Step:
@@ -188,6 +215,7 @@ def prepend_row(row: list[str], tables: DataFrame | None = None) -> Step:
         return df.select("table_id", (F.col("row_ix") + 1).alias("row_ix"), "cells").unionByName(headers)
 
     step.row_local = tables is not None
+    step.on_cells = lambda cells: flat.prepend_row(cells, row)
     step.for_tables = lambda listed: prepend_row(row, listed if tables is None else tables)
     return step
 
@@ -206,6 +234,7 @@ def fold_rows(group_by: list[RowGrouper]) -> Step:
             "table_id", F.col("group_ix").alias("row_ix"), "cells"
         )
 
+    step.on_cells = lambda cells: flat.fold_rows(cells, group_by)
     return step
 
 
@@ -248,6 +277,7 @@ def transpose() -> Step:
             )
         return _columns_of(df, ["table_id"], F.max(F.size("cells"))).select(*TABLE_COLUMNS)
 
+    step.turns, step.on_cells = True, flat.transpose
     step.lengthens = True
     return step
 
@@ -311,5 +341,6 @@ def wrap_row_every_n(columns: int) -> Step:
             )
         )
 
+    step.on_cells = lambda cells: flat.wrap_row_every_n(cells, columns)
     step.lengthens = True
     return step

@@ -154,6 +154,14 @@ def _long_run(steps):
 
 fold_long_tables = _long_run([reshape.fold_rows([StaticRowCounts((3,)), EmptyColumn(0)])])
 wrap_long_tables = _long_run([reshape.wrap_row_every_n(3)])
+
+
+def wrap_transpose_wrap_long_tables(spark, d):
+    df, layout = _long_tables(spark, d)
+    steps = [reshape.wrap_row_every_n(3), reshape.transpose(), reshape.wrap_row_every_n(4)]
+    return reshape.sequence_cells(df, steps, clean=False, layout=layout)
+
+
 prepend_long_tables = _long_run([reshape.prepend_row(["Head", "Length"])])
 
 
@@ -358,6 +366,16 @@ folded AS (SELECT table_id, g, [coalesce(string_agg(nullif(head, ''), ' ' ORDER
             "g",
         ),
     ),
+    "t11_wrap_transpose_wrap_long_tables": Query(
+        wrap_transpose_wrap_long_tables,
+        f"""WITH {LONG_TABLES},
+flat AS (SELECT table_id, row_ix, 0 AS p, head AS cell FROM headed UNION ALL SELECT table_id, row_ix, 1, len FROM headed),
+placed AS (SELECT table_id, cell, row_number() OVER (PARTITION BY table_id ORDER BY row_ix, p) - 1 AS k FROM flat),
+sizes AS (SELECT table_id, count(*) AS n FROM flat GROUP BY table_id),
+slots AS (SELECT table_id, unnest(range(CAST(least(n, 3) * ((n + 2) // 3) AS BIGINT))) AS s, (n + 2) // 3 AS h FROM sizes)
+SELECT slots.table_id, s // 4 AS row_ix, s % 4 AS col_ix, coalesce(cell, '') AS cell
+FROM slots LEFT JOIN placed ON placed.table_id = slots.table_id AND placed.k = (s % h) * 3 + s // h""",
+    ),
     "t9_wrap_long_tables": Query(
         wrap_long_tables,
         f"""WITH {LONG_TABLES},

@@ -316,3 +316,35 @@ def test_running_values_share_one_exchange(spark, n_values):
     moved = re.findall(r"Exchange\s+Input \[\d+\]: \[(.*?)\]", plan)
     assert sum("cells" in columns for columns in moved) == 1  # the others move totals
     assert rows.agg(F.max("v0")).first()[0] == 572
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_steps_on_cells(spark, portions, layout, seed):
+    """After a transposition, the same cells as by rows, but for rows without cells."""
+    rng = random.Random(seed)
+    cell = lambda: rng.choice(["", "a", "b 1", "c 22", "x"])
+    given = {name: [[[cell() for _ in range(rng.randint(0, 4))] for _ in range(n)]] for name, n in (("big", 30), ("small", 3), ("one", 1))}
+    df = reshape.concat_portions(portions(given))
+    expand = reshape.expand_column_on_regex(1, r"(\w) (\d+)", [r"\2", r"\1", "m"], [r"\g<0>"])
+    shrink = reshape.expand_column_on_regex(0, "a", [], [r"\g<0>"])
+    chains = [
+        [reshape.transpose()],
+        [reshape.wrap_row_every_n(3), reshape.transpose(), reshape.wrap_row_every_n(4)],
+        [reshape.transpose(), expand, shrink, reshape.prepend_row(["h", "i"])],
+        [reshape.transpose(), reshape.fold_rows([StaticRowCounts((2,)), EmptyColumn(0)]), reshape.transpose()],
+        [reshape.transpose(), reshape.fold_rows([AllRows()]), reshape.wrap_row_every_n(2)],
+        [reshape.fold_rows([StaticRowCounts((2, 2))])],
+    ]
+    for steps in chains:
+        by_rows = reshape.sequence(df, steps, layout=layout).filter(F.size("cells") > 0)
+        want = {tuple(r) for r in to_cells(renumber(by_rows, layout)).collect()}
+        cells = reshape.sequence_cells(df, steps, layout=layout)
+        order = {r.table_id: sorted(r.rows) for r in cells.groupBy("table_id").agg(F.collect_set("row_ix").alias("rows")).collect()}
+        got = [(r.table_id, order[r.table_id].index(r.row_ix), r.col_ix, r.cell) for r in cells.collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_cells_know_their_steps(portions):
+    df = reshape.concat_portions(portions([[["a"]]]))
+    with pytest.raises(ValueError, match="steps \\[1\\]"):
+        reshape.sequence_cells(df, [reshape.transpose(), reshape.join_columns()])

@@ -19,7 +19,12 @@ LEAST_LANGUAGE_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no language that was learned, go."""
+    """Documents without letters, or in no language that was learned, go.
+
+    Null, empty and blank texts have no letters. Rows without an id are judged as
+    all others; repeated rows stay repeated. An empty table gives an empty one,
+    and so does one from which no language can be learned.
+    """
     filters = languageid.learn(docs.select("doc_id", "text", "lang"))
     found, score = fresh(docs, "lang_found", "lang_score")
     judged = languageid.identify(docs, filters, (found, score))
@@ -27,24 +32,40 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier of low quality than of high go."""
+    """Documents that are likelier of low quality than of high go.
+
+    Null and empty texts are judged as texts without words, rows without an id as
+    all others; repeated rows stay repeated. An empty table gives an empty one.
+    """
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
     score, good = fresh(docs, "quality_score", "quality_good")
     return quality.score(docs, model, (score, good)).filter(F.col(good) == 1).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
+    """One document of each group of near copies stays: that with the smallest id.
+
+    Texts without words are near copies of none; of rows that share an id one
+    stays, of rows without an id all. An empty table gives an empty one.
+    """
     return jaccard.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    A null source is one of its own, the last. Texts without words weigh nothing
+    and come as often as their source's rate says. An empty table gives an empty one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids, and the sequences they lie in."""
+    """Pieces of documents with their token ids, and the sequences they lie in.
+
+    Null and empty texts are one piece of the end id; repeated rows and rows
+    without an id are packed as all others. An empty table gives an empty one.
+    """
     return packing.pack(docs)
 
 

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.session import cut_lineage, ship_package
+from cellweave.session import cut_lineage, ship_package, written
 from cellweave.tables import Layout, layout_of
 
 MOST_STATES = 64
+#: So many starts of chunks are sent to all tasks at most; beyond, they are joined by shuffle.
+LISTED_CHUNKS = 50_000
 
 
 @dataclass(frozen=True)
@@ -235,7 +237,7 @@ def _scan(df: DataFrame, automaton: Automaton, layout: Layout, keys: list[str],
     if not layout.chunked:
         return follow(df, keys, False)
     # Written once, since the rows are read for the maps of the chunks and for the walk.
-    df = cut_lineage(df.withColumn("_chunk", F.shiftright(order, layout.bits)))
+    df = written(df.withColumn("_chunk", F.shiftright(order, layout.bits)))
     parts = [*keys, "_chunk"]
     own = ["_next", "_noted"] if of_maps else ["_symbol"]
     narrow = df.select(*parts, order, *own)
@@ -246,6 +248,9 @@ def _scan(df: DataFrame, automaton: Automaton, layout: Layout, keys: list[str],
     totals = cut_lineage(totals).withColumnRenamed("_chunk", "_at")
     starts = _scan(totals, automaton, layout_of(totals, tuple(keys), layout.bits), keys, "_at", True)
     starts = starts.select(*keys, F.col("_at").alias("_chunk"), F.col("_before").alias("_start"), F.col("_earlier").alias("_held"))
+    starts = cut_lineage(starts)
+    # A row per chunk; counted before it is sent to all tasks.
+    starts = F.broadcast(starts) if starts.count() <= LISTED_CHUNKS else starts
     return follow(df.join(starts, parts), parts, True).drop("_chunk")
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from cellweave.functions import text
 from cellweave.operators import cells as flat
 from cellweave.operators.grouping import RowGrouper, assign_groups
-from cellweave.session import cut_lineage
-from cellweave.tables import CHUNK, CHUNK_BITS, TABLE_COLUMNS, Layout, Running, in_chunks, layout_of, running, to_cells
+from cellweave.session import written
+from cellweave.tables import CHUNK, CHUNK_BITS, TABLE_COLUMNS, Layout, Running, in_chunks, layout_of, routes, running, to_cells
 
 Step = Callable[[DataFrame, Layout], DataFrame]
 
@@ -52,48 +52,27 @@ def sequence(
     return clean_rows()(done, layout) if clean else done
 
 
-#: So many ids of long tables are sent to all tasks at most; beyond, all tables take the route of the long ones.
-LISTED_TABLES = 100_000
-
-
 def _routed(df: DataFrame, steps: list[Step], layout: Layout | None, bits: int) -> DataFrame:
     longer = False
     for i, step in enumerate(steps):
         if not getattr(step, "row_local", False):
             if longer and layout is not None and not layout.chunked:
-                df, layout = cut_lineage(df), None
+                df, layout = written(df), None
             if layout is None:
-                routes = _routes(df, bits)
-                if len(routes) > 1:
-                    done = [_routed(part, steps[i:], known, bits) for part, known in routes]
+                found = routes(df, bits)
+                if len(found) > 1:
+                    done = [_routed(part, steps[i:], known, bits) for part, known in found]
                     return done[0].unionByName(done[1])
-                ((df, layout),) = routes
+                ((df, layout),) = found
             longer = False
             if layout.chunked and i + 1 < len(steps) and CHUNK not in df.columns:
                 # Written once, here, and dealt out once; what follows writes totals only, as long as it keeps the chunks.
-                df = in_chunks(cut_lineage(df), layout)
+                df = in_chunks(written(df), layout)
         df = step(df, layout)
         longer = longer or getattr(step, "lengthens", False)
     return df.select(*TABLE_COLUMNS)
 
 
-def _routes(df: DataFrame, bits: int) -> list[tuple[DataFrame, Layout]]:
-    """The tables by their length: those of at most 2**bits rows, and the longer ones."""
-    counts = df.groupBy("table_id").agg((F.count("*") > (1 << bits)).alias("long"))
-    tables, n_long = counts.agg(F.count("*"), F.count_if("long")).first()
-    short, chunked = Layout(chunked=False, bits=bits), Layout(chunked=True, bits=bits)
-    if not n_long:
-        return [(df, short)]
-    if n_long == tables or n_long > LISTED_TABLES:
-        return [(df, chunked)]
-    long = cut_lineage(counts.filter("long").select("table_id"))
-    # Counted just now to be few.
-    return [
-        (df.join(F.broadcast(long), "table_id", "left_anti"), short),
-        (df.join(F.broadcast(long), "table_id", "left_semi"), chunked),
-    ]
-
-
 def sequence_cells(df: DataFrame, steps: list[Step], clean: bool = True, layout: Layout | None = None) -> DataFrame:
     """As `sequence`, but as single cells `(table_id, row_ix, col_ix, cell)`.
 
@@ -108,11 +87,11 @@ def sequence_cells(df: DataFrame, steps: list[Step], clean: bool = True, layout:
         raise ValueError(f"steps {unknown} do not work on single cells")
     rows = sequence(df, steps[:turns], clean=False, layout=layout)
     if turns < len(steps):
-        rows = cut_lineage(rows)
+        rows = written(rows)
         found = transpose_cells(rows)
         for step in steps[turns + 1 :]:
             # Each step reads its input twice or more: for row sizes, and for the cells.
-            found = step.on_cells(cut_lineage(found))
+            found = step.on_cells(written(found))
     else:
         found = to_cells(rows)
     return flat.clean(found) if clean else found

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import sections as sec
 from cellweave.queries import Query
 from cellweave.queries.inputs import DOCUMENT_LINES, document_lines, load, rows
-from cellweave.tables import layout_of, renumber
+from cellweave.tables import layout_of, renumber, routed
 
 SUFFIX, LIST_MARKER = " SKILLS PACKAGE", "Skills:"
 TITLE_MARKER = "Specialities"
@@ -127,7 +127,7 @@ def filled_lines(spark, d):
 
 def _packages(spark, d):
     df = _marked_lines(spark, d, PACKAGE_LINE)
-    return sec.suffix_sections(df, SUFFIX, LIST_MARKER, layout_of(df))
+    return routed(df, lambda part, layout: sec.suffix_sections(part, SUFFIX, LIST_MARKER, layout))
 
 
 def suffix_sections(spark, d):
@@ -144,18 +144,17 @@ def name_level_pairs(spark, d):
     return _pairs(_packages(spark, d))
 
 
-def _titles(spark, d):
+def _titles(spark, d, what):
     df = _marked_lines(spark, d, TITLE_LINE)
-    layout = layout_of(df)
-    return sec.title_sections(df, TITLE_MARKER, layout), layout
+    return routed(df, lambda part, layout: what(sec.title_sections(part, TITLE_MARKER, layout), layout))
 
 
 def title_sections(spark, d):
-    return sec.section_records(*_titles(spark, d))
+    return _titles(spark, d, sec.section_records)
 
 
 def section_items(spark, d):
-    return sec.section_items(*_titles(spark, d))
+    return _titles(spark, d, sec.section_items)
 
 
 def sparse_rows(spark, d):

@@ -16,12 +16,15 @@ all steps, otherwise running values are built chunk by chunk (`running`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.session import cut_lineage
+from cellweave.session import cut_lineage, written
 
 PORTION_SCHEMA = T.StructType(
     [
@@ -57,6 +60,29 @@ def layout_of(df: DataFrame, keys: tuple[str, ...] = ("table_id",), bits: int =
     return Layout(chunked=(longest or 0) > (1 << bits), bits=bits)
 
 
+#: So many ids of long tables are sent to all tasks at most; beyond, all tables take the route of the long ones.
+LISTED_TABLES = 100_000
+
+
+def routes(df: DataFrame, bits: int = CHUNK_BITS) -> list[tuple[DataFrame, Layout]]:
+    """The tables by their length: those of at most 2**bits rows, and the longer ones."""
+    counts = df.groupBy("table_id").agg((F.count("*") > (1 << bits)).alias("long"))
+    tables, n_long = counts.agg(F.count("*"), F.count_if("long")).first()
+    short, chunked = Layout(chunked=False, bits=bits), Layout(chunked=True, bits=bits)
+    if not n_long:
+        return [(df, short)]
+    if n_long == tables or n_long > LISTED_TABLES:
+        return [(df, chunked)]
+    # Counted just now to be few.
+    long = F.broadcast(cut_lineage(counts.filter("long").select("table_id")))
+    return [(df.join(long, "table_id", "left_anti"), short), (df.join(long, "table_id", "left_semi"), chunked)]
+
+
+def routed(df: DataFrame, work: Callable[[DataFrame, Layout], DataFrame], bits: int = CHUNK_BITS) -> DataFrame:
+    """`work` on tables of any length, each by its own route: a few long tables do not take the short ones along."""
+    return reduce(DataFrame.unionByName, [work(part, layout) for part, layout in routes(df, bits)])
+
+
 @dataclass(frozen=True)
 class Running:
     """A running value along the row order: `sum`, `max` or `last` (non-null).
@@ -107,7 +133,7 @@ def running(
     if CHUNK in df.columns:
         read = placed = df
     else:
-        read = cut_lineage(df).withColumn(CHUNK, F.shiftright(order, layout.bits))
+        read = written(df).withColumn(CHUNK, F.shiftright(order, layout.bits))
         placed = in_chunks(read.drop(CHUNK), layout, keys, order)
     local = _running_within(placed, {f"_local_{n}": v for n, v in values.items()}, chunk_keys, order, reverse)
 
@@ -195,7 +221,7 @@ def in_order_sorted(
     place, part = "_place", "_part"
     placed = df.orderBy(*[F.col(k) for k in keys], *order).withColumn(place, F.monotonically_increasing_id())
     # Written once: the places must not change. A group's rows follow each other, over one or more sorted parts.
-    placed = cut_lineage(placed.withColumn(part, F.shiftright(place, 33)))
+    placed = written(placed.withColumn(part, F.shiftright(place, 33)))
     marked = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_key{i}") for i, k in enumerate(keys)]
     nulls = [F.col(k).isNull().alias(f"_null{i}") for i, k in enumerate(keys)]
     names = [*[f"_key{i}" for i in range(len(keys))], *[f"_null{i}" for i in range(len(keys))]]

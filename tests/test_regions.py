@@ -102,18 +102,22 @@ def test_reading_order_writes_rows_once(spark, monkeypatch):
     """Groups of any size: the sorted boxes are written, else only totals."""
     boxes = spark.range(3000).selectExpr("'g' g", "id % 3 page", "cast(id * 7919 % 700 as double) x", "cast(id * 104729 % 5000 as double) y", "id region_id")
     whole = {r.region_id: r.position for r in reg.reading_order(boxes, "g").collect()}
-    written = []
+    rows = []
 
-    def spy(df):
-        done = cut_lineage(df)
-        written.append(done.count())
-        return done
+    def spy_on(write):
+        def spy(df):
+            done = write(df)
+            rows.append(done.count())
+            return done
+
+        return spy
 
-    monkeypatch.setattr(tables, "cut_lineage", spy)
+    for name in ("cut_lineage", "written"):
+        monkeypatch.setattr(tables, name, spy_on(getattr(tables, name)))
     monkeypatch.setattr(reg, "layout_of", lambda df, keys: tables.Layout(True, bits=5))
     got = {r.region_id: r.position for r in reg.reading_order(boxes, "g").collect()}
     assert got == whole and sorted(got.values()) == list(range(3000))
-    assert sum(n >= 3000 for n in written) == 1
+    assert sum(n >= 3000 for n in rows) == 1
 
 
 def test_hot_cells_are_split(spark, monkeypatch):

@@ -37,9 +37,16 @@ def join_filled_cells(cells: Column) -> Column:
 def java_pattern(pattern: str) -> str:
     """A Python pattern for Spark: named groups become numbered ones."""
     numbers = re.compile(pattern).groupindex
-    pattern = re.sub(r"\(\?P<\w+>", "(", pattern)
-    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\{numbers[m[1]]}", pattern)
-    return pattern.replace(r"\Z", r"\z")
+
+    def piece(m: re.Match) -> str:
+        if m[1]:
+            return rf"\{numbers[m[1]]}"
+        if m[0].startswith("("):
+            return "("
+        return r"\z" if m[0] == r"\Z" else m[0]
+
+    # Escaped signs are taken whole, so that an escaped backslash or bracket begins nothing.
+    return re.sub(r"(?s)\\.|\(\?P=(\w+)\)|\(\?P<\w+>", piece, pattern)
 
 
 def full_match(pattern: str) -> str:

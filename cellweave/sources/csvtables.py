@@ -139,6 +139,7 @@ def read_json_tables(spark: SparkSession, path: str) -> DataFrame:
 
 def check_table_json(df: DataFrame, json: str = "json") -> DataFrame:
     """Add `error`: null where the JSON is an array of arrays of strings, else what is wrong and where."""
+    # How an error says what was wanted, and the names of kinds below.
     want = "want Array[Array[string]], got "
     value = F.try_parse_json(json)
     kind = lambda v: _json_type(F.schema_of_variant(v))

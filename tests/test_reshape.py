@@ -82,6 +82,15 @@ CASES = {
         [reshape.expand_column_on_regex(0, r"(?P<num>\d)-(\w+)", [r"<\g<num>>", r"\2\\"], [r"no \g<0>"])],
         [["no 5-LOW!"], ["<5>", "LOW\\"], ["no 5-LOW"]],
     ),
+    "expand by escaped signs": (
+        [[["a\\Zb"], ["(?P<x>y)"], ["no"], ["aa"]]],
+        [
+            reshape.expand_column_on_regex(0, r"(\w)\\Z(\w)", [r"\2\1"], [r"\g<0>"]),
+            reshape.expand_column_on_regex(0, r"\(\?P<x>(?P<in>\w)\)", [r"\g<in>!"], [r"\g<0>"]),
+            reshape.expand_column_on_regex(0, r"(?P<one>a)(?P=one)\Z", ["twice"], [r"\g<0>"]),
+        ],
+        [["ba"], ["y!"], ["no"], ["twice"]],
+    ),
     "expand into nothing": ([[["a", "b"]]], [reshape.expand_column_on_regex(0, "a", [], ["x"])], [["b"]]),
     "join 1 to 3": (
         [UNEVEN],

@@ -9,10 +9,12 @@ costs a bounded number of rows whatever its size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.session import cut_lineage
+from cellweave.session import cut_lineage, written
 from cellweave.tables import CHUNK, Running, in_chunks, in_order, layout_of, running
 
 # Fraction of a point that is told apart, and the vertical
@@ -156,11 +158,108 @@ def overlapping(regions: DataFrame) -> DataFrame:
     )
 
 
+#: Cell sides of the counting grids in points, each 8 times the one before; above the last a page is one cell.
+LEVEL_POINTS = (0.5, 4, *GRID_POINTS)
+#: Cells of at most so many boxes are not divided further but looked at box by box.
+LEAF_BOXES = 64
+
+
+def _level_cell(value: Column, level: Column) -> Column:
+    """The cell of a counting grid, 0 in the last, which is the page."""
+    cell = F.lit(0).cast("bigint")
+    for n, points in enumerate(LEVEL_POINTS):
+        cell = F.when(level == n, F.floor(value / int(points * POINT))).otherwise(cell)
+    return cell
+
+
+def count_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
+    """`(region_id, tables, item_id)`: how many items each region holds, and the smallest of their ids (null without any).
+
+    As counting the pairs of `items_in_regions` would give, without building them. Equal boxes are one row with a
+    count. Every cell of a few nested grids has the number of boxes whose top left corner it holds, their smallest
+    id and the span of their sides, apart by the size of boxes. A region goes from its coarsest cells down: a cell
+    whose span lies within it counts whole, one whose span lies beyond it not at all, and any other is divided until
+    it holds at most LEAF_BOXES boxes, which alone are compared. So work follows the borders of regions, not their area.
+    """
+    sides = ("left", "top", "right", "bottom")
+    boxes = written(
+        items.groupBy(*PAGE_KEYS, *sides)
+        .agg(F.count("*").alias("n"), F.min("item_id").alias("item_id"))
+        .withColumn("kind", _grid())
+    )
+    top = len(LEVEL_POINTS)
+    # `grid` is the size of boxes and the level of the cell in one number.
+    entered = (
+        boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+        .withColumn("grid", F.col("kind") * 16 + F.col("level"))
+        .withColumn("cx", _level_cell(F.col("left"), F.col("level")))
+        .withColumn("cy", _level_cell(F.col("top"), F.col("level")))
+    )
+    cells = written(
+        entered.groupBy(*CELL_KEYS).agg(
+            F.sum("n").alias("n"),
+            F.count("*").alias("boxes"),
+            F.min("item_id").alias("item_id"),
+            *[F.min(c).alias(f"least_{c}") for c in sides],
+            *[F.max(c).alias(f"most_{c}") for c in sides],
+        )
+    )
+    rect = [f"r_{c}" for c in sides]
+    valid = regions.filter("left <= right and top <= bottom")
+    first = _grid() + (top - len(GRID_POINTS))
+    span = lambda lo, hi: F.sequence(_level_cell(F.col(lo), F.col("level")), _level_cell(F.col(hi), F.col("level")))
+    # A box is no larger than the region that holds it.
+    starts = written(
+        valid.withColumn("level", first)
+        .withColumn("cx", F.explode(span("left", "right")))
+        .withColumn("cy", F.explode(span("top", "bottom")))
+        .withColumn("kind", F.explode(F.sequence(F.lit(0), F.col("level") - (top - len(GRID_POINTS)))))
+        .withColumn("grid", F.col("kind") * 16 + F.col("level"))
+        .select(*CELL_KEYS, "level", "region_id", *[F.col(c).alias(r) for c, r in zip(sides, rect)])
+    )
+    inside = F.expr("least_left >= r_left and most_right <= r_right and least_top >= r_top and most_bottom <= r_bottom")
+    beyond = F.expr("most_left < r_left or least_right > r_right or most_top < r_top or least_bottom > r_bottom")
+    open_, settled, leaves = None, [], []
+    for level in range(top, -1, -1):
+        met = starts.filter(F.col("level") == level).drop("level").join(cells, CELL_KEYS)
+        if open_ is not None:
+            parent = [F.lit(0).cast("bigint") if level + 1 == top else F.shiftright(c, 3) for c in ("cx", "cy")]
+            within = cells.filter(F.col("grid") % 16 == level).withColumns(dict(zip(("_px", "_py"), parent)))
+            divided = open_.select(
+                *PAGE_KEYS, (F.col("grid") - 1).alias("grid"), F.col("cx").alias("_px"), F.col("cy").alias("_py"), "region_id", *rect
+            )
+            below = divided.join(within, [*PAGE_KEYS, "grid", "_px", "_py"]).drop("_px", "_py")
+            met = met.unionByName(below)
+        state = F.when(inside, "whole").when(~beyond, F.when((F.col("boxes") <= LEAF_BOXES) | F.lit(level == 0), "leaf").otherwise("open"))
+        met = written(met.select(*CELL_KEYS, "region_id", *rect, "n", "item_id", state.alias("state")).filter("state is not null"))
+        settled.append(met.filter("state = 'whole'").select("region_id", "n", "item_id"))
+        leaves.append(met.filter("state = 'leaf'").drop("n", "item_id", "state"))
+        open_ = met.filter("state = 'open'")
+    looked_at = reduce(DataFrame.unionByName, leaves)
+    corner, looked_at, keys = _in_occupied(entered.drop("kind", "level"), looked_at)
+    single = (
+        corner.join(looked_at, keys)
+        .filter("left >= r_left and right <= r_right and top >= r_top and bottom <= r_bottom")
+        .select("region_id", "n", "item_id")
+    )
+    counts = (
+        reduce(DataFrame.unionByName, [*settled, single])
+        .groupBy("region_id")
+        .agg(F.sum("n").alias("tables"), F.min("item_id").alias("item_id"))
+    )
+    tables = F.coalesce("tables", F.lit(0)).cast("bigint").alias("tables")
+    return regions.select("region_id").join(counts, "region_id", "left").select("region_id", tables, "item_id")
+
+
 def match_counts(regions: DataFrame, matches: DataFrame) -> DataFrame:
+    """`(region_id, tables, outcome)` of regions by their pairs with items."""
+    return match_outcomes(regions, matches.groupBy("region_id").agg(F.count("*").alias("tables")))
+
+
+def match_outcomes(regions: DataFrame, counts: DataFrame) -> DataFrame:
     """`(region_id, tables, outcome)`: a region wants exactly one item."""
-    counts = matches.groupBy("region_id").agg(F.count("*").alias("n"))
-    tables = F.coalesce("n", F.lit(0)).cast("bigint")
-    return regions.join(counts, "region_id", "left").select(
+    tables = F.coalesce("tables", F.lit(0)).cast("bigint")
+    return regions.select("region_id").join(counts, "region_id", "left").select(
         "region_id",
         tables.alias("tables"),
         F.when(tables == 0, "no table in region")

@@ -66,7 +66,8 @@ def overlaps(spark, d):
 
 
 def cardinality(spark, d):
-    return reg.match_counts(regions(spark, d), contained(spark, d))
+    areas = regions(spark, d).select("region_id", *BOX)
+    return reg.match_outcomes(areas, reg.count_in_regions(items(spark, d).select("item_id", *BOX), areas))
 
 
 def batch_sizes(spark, d):

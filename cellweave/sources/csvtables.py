@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import text
 from cellweave.operators.automata import Automaton, transduce
+from cellweave.session import written
 from cellweave.tables import Layout, layout_of, ordered_items
 
 
@@ -213,15 +214,16 @@ def read_portions(items: DataFrame, regions: DataFrame) -> tuple[DataFrame, Data
     `(region_id, table_id, part_ix)`. A region takes the one item it holds;
     regions with none or several come back as `(table_id, error)`.
     """
-    from cellweave.operators.regions import items_in_regions, match_counts
+    from cellweave.operators.regions import count_in_regions, match_outcomes
 
     boxes = items.select("item_id", "doc", "page", "method", "left", "top", "right", "bottom")
-    matches = items_in_regions(boxes, regions).select("region_id", "item_id")
-    counted = match_counts(regions, matches)
-    good = counted.filter("tables = 1").select("region_id")
+    # Of a single item the smallest id is its own, so pairs are not needed.
+    counts = written(count_in_regions(boxes, regions))
+    counted = match_outcomes(regions, counts)
     names = regions.select("region_id", "table_id", "part_ix")
     portions = flatten_recognised(
-        matches.join(good, "region_id", "left_semi")
+        counts.filter("tables = 1")
+        .select("region_id", "item_id")
         .join(names, "region_id")
         .join(items.select("item_id", "page", "data"), "item_id")
         .select("table_id", "part_ix", "page", "data")

@@ -49,6 +49,44 @@ def test_joins(spark, seed):
     assert pairs == sorted((a[0], b[0]) for a in right for b in right if a[0] < b[0] and overlap(a, b))
 
 
+@pytest.mark.parametrize("leaf", [1, 64])
+def test_counts(spark, monkeypatch, leaf):
+    """Counts and smallest ids of all regions, with boxes of every size, repeated and inverted ones, and any division of cells."""
+    monkeypatch.setattr(reg, "LEAF_BOXES", leaf)
+    items = boxes(4, 260, [1, 5, 60, 700, 9000])
+    items += [(1000 + n, *items[n % 40][1:]) for n in range(120)]
+    regions = boxes(14, 90, [3, 20, 150, 900, 4000, 30000])
+    got = reg.count_in_regions(frame(spark, items, "item_id"), frame(spark, regions, "region_id")).collect()
+    want = {r[0]: [i[0] for i in items if inside(i, r)] for r in regions}
+    assert {(r.region_id, r.tables, r.item_id) for r in got} == {(k, len(v), min(v, default=None)) for k, v in want.items()}
+    assert len(got) == len(regions) and any(len(v) > 50 for v in want.values())
+    none = reg.count_in_regions(frame(spark, [], "item_id"), frame(spark, regions, "region_id")).collect()
+    assert {(r.tables, r.item_id) for r in none} == {(0, None)} and len(none) == len(regions)
+    assert not reg.count_in_regions(frame(spark, items, "item_id"), frame(spark, [], "region_id")).collect()
+
+
+def test_counts_without_pairs(spark, monkeypatch):
+    """Large regions over many items of one page: what is joined follows their borders."""
+    looked = []
+    real = reg._in_occupied
+
+    def spy(rows, others):
+        found = real(rows, others)
+        looked.append(found[0].join(found[1], found[2]).count())
+        return found
+
+    monkeypatch.setattr(reg, "_in_occupied", spy)
+    box = lambda x, y, w, h: (x * 4096, y * 4096, (x + w) * 4096, (y + h) * 4096)
+    items = spark.range(60000).selectExpr(
+        "cast(id as int) item_id", "'d' doc", "1 page", "'m' method", "id % 300 * 4096 left", "id div 300 * 4096 top",
+        "(id % 300 + 1) * 4096 right", "(id div 300 + 1) * 4096 bottom",
+    )
+    areas = frame(spark, [(i, "d", 1, "m", *box(i, i, 250, 150)) for i in range(20)], "region_id")
+    got = reg.count_in_regions(items, areas).collect()
+    assert {(r.region_id, r.tables, r.item_id) for r in got} == {(i, 250 * 150, i * 300 + i) for i in range(20)}
+    assert looked[0] < 20 * 250 * 150 / 4
+
+
 def test_batches(spark):
     regions = boxes(3, 40, [50, 200])
     got = {r.region_id: r.batch for r in reg.non_overlapping_batches(frame(spark, regions, "region_id")).collect()}

@@ -177,7 +177,7 @@ def count_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
 
     As counting the pairs of `items_in_regions` would give, without building them. Equal boxes are one row with a
     count. Every cell of a few nested grids has the number of boxes whose top left corner it holds, their smallest
-    id and the span of their sides, apart by the size of boxes. A region goes from its coarsest cells down: a cell
+    id and the span of their sides, apart by the size of boxes. A region goes from a few coarse cells down: a cell
     whose span lies within it counts whole, one whose span lies beyond it not at all, and any other is divided until
     it holds at most LEAF_BOXES boxes, which alone are compared. So work follows the borders of regions, not their area.
     """
@@ -206,14 +206,18 @@ def count_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     )
     rect = [f"r_{c}" for c in sides]
     valid = regions.filter("left <= right and top <= bottom")
-    first = _grid() + (top - len(GRID_POINTS))
+    side = F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top"))
+    # The level where the region covers two cells each way at most.
+    first = F.lit(top)
+    for n, points in reversed(list(enumerate(LEVEL_POINTS))):
+        first = F.when(side <= int(points * POINT), n).otherwise(first)
     span = lambda lo, hi: F.sequence(_level_cell(F.col(lo), F.col("level")), _level_cell(F.col(hi), F.col("level")))
     # A box is no larger than the region that holds it.
     starts = written(
         valid.withColumn("level", first)
         .withColumn("cx", F.explode(span("left", "right")))
         .withColumn("cy", F.explode(span("top", "bottom")))
-        .withColumn("kind", F.explode(F.sequence(F.lit(0), F.col("level") - (top - len(GRID_POINTS)))))
+        .withColumn("kind", F.explode(F.sequence(F.lit(0), _grid())))
         .withColumn("grid", F.col("kind") * 16 + F.col("level"))
         .select(*CELL_KEYS, "level", "region_id", *[F.col(c).alias(r) for c, r in zip(sides, rect)])
     )

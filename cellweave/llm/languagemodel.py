@@ -10,10 +10,13 @@ empty state, which is carried from window to window until its end token.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +63,10 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = words.data
     kinds = np.zeros(first[-1], np.int64)
     if len(words.ids):
-        begin = np.flatnonzero(np.diff(_inside(data).astype(np.int8), prepend=np.int8(0)) == 1)
-        stop = np.flatnonzero(np.diff(_inside(data).astype(np.int8), append=np.int8(0)) == -1)
-        letter = (data >= 128) | ((data >= 97) & (data <= 122))
-        last = np.maximum.accumulate(np.where(letter, np.arange(len(data)), -1))[stop]
-        last = np.maximum(last, begin)
+        # A word starts where bytes inside words follow others; the group's last byte is a blank.
+        edge = np.diff(_inside(data).view(np.int8), prepend=np.int8(0))
+        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        last = _last_letters(data, begin, stop)
         pair = data[last].astype(np.uint64) << np.uint64(8) | data[np.maximum(last - 1, begin)].astype(np.uint64)
         kinds[at] = (mixed(pair, 41) % np.uint64(OPEN)).astype(np.int64)
     return ids, kinds, first
@@ -74,6 +76,26 @@ def _inside(data: np.ndarray) -> np.ndarray:
     return ~((data == 32) | ((data >= 9) & (data <= 13)))
 
 
+def _is_letter(data: np.ndarray) -> np.ndarray:
+    return (data >= 128) | ((data >= 97) & (data <= 122))
+
+
+def _last_letters(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Place of the last letter of each word, of its first byte where it has none."""
+    last = stop.copy()
+    left = np.flatnonzero(~_is_letter(data[last]) & (last > begin))
+    # Few words end in more than a sign or two; what is left after a few steps is found in one pass.
+    for _ in range(4):
+        if not len(left):
+            return last
+        last[left] -= 1
+        left = left[~_is_letter(data[last[left]]) & (last[left] > begin[left])]
+    if len(left):
+        upto = np.maximum.accumulate(np.where(_is_letter(data), np.arange(len(data)), -1))
+        last[left] = np.maximum(upto[stop[left]], begin[left])
+    return last
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """`(token, kind, c)` over all texts of `docs`: counted per task in Arrow batches, then summed."""
 
@@ -83,9 +105,12 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         def emit():
             ids = np.concatenate([h[0] for h in held])
             kinds = np.concatenate([h[1] for h in held])
-            token, where, n = np.unique(ids, return_index=True, return_counts=True)
+            # By hashing rather than sorting: a task has many tokens and far fewer different ones.
+            code, token = pd.factorize(ids)
+            kind = np.zeros(len(token), np.int32)
+            kind[code] = kinds
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(kinds[where].astype(np.int32)), pa.array(n.astype(np.int64))],
+                [pa.array(token.view(np.int64)), pa.array(kind), pa.array(np.bincount(code, minlength=len(token)))],
                 names=["token", "kind", "c"],
             )
 
@@ -139,8 +164,12 @@ class Gru:
         return np.where(inputs < n, self.word_class[np.minimum(inputs, max(n - 1, 0))] if n else 0, closed + inputs - n)
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray):
@@ -154,10 +183,10 @@ def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray):
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(1, keepdims=True)
+    """Of each column, in place: numbers of a token stand below each other, so sums and maxima go over whole rows."""
+    x -= x.max(0)
     np.exp(x, out=x)
-    x *= 1 / x.sum(1, keepdims=True)
+    x *= 1 / x.sum(0)
     return x
 
 
@@ -179,7 +208,8 @@ def begin(words: np.ndarray, word_counts: np.ndarray, kind_mass: np.ndarray, sha
         "embed": small(len(words) + OPEN, 3 * k),
         "state": small(k, 3 * k),
         "class_w": np.zeros((k, closed + OPEN)),
-        "class_b": np.log(sizes / sizes.sum()),
+        # A class without words is as unlikely as a place without one.
+        "class_b": np.log(np.maximum(sizes / sizes.sum(), 1e-13)),
         "inner_w": np.zeros((closed, k, wide)),
         "inner_b": inner_b,
     }
@@ -237,21 +267,25 @@ class Trainer:
         x, live = xs.ravel(), real.ravel()
         c = gru.classes(x)
         grad = {name: np.zeros_like(a) for name, a in p.items()}
-        d = _softmax(H @ p["class_w"] + p["class_b"])
-        d[np.arange(len(x)), c] -= 1
-        d[~live] = 0
-        grad["class_w"], grad["class_b"] = H.T @ d, d.sum(0)
-        dH = d @ p["class_w"].T
+        d = _softmax(p["class_w"].T @ H.T + p["class_b"][:, None])
+        d[c, np.arange(len(x))] -= 1
+        if not live.all():
+            d[:, ~live] = 0
+        grad["class_w"], grad["class_b"] = (d @ H).T, d.sum(1)
+        dH = d.T @ p["class_w"].T
         order = np.argsort(np.where(live, c, len(p["class_b"])), kind="stable")
         edges = np.searchsorted(c[order[: live.sum()]], np.arange(closed + 1))
+        in_class = order[: edges[-1]]
+        by_class, place, back = H[in_class], gru.word_place[x[in_class]], np.empty((len(in_class), k), h.dtype)
         for q in range(closed):
-            own = order[edges[q] : edges[q + 1]]
-            if len(own):
-                near = H[own]
-                d = _softmax(near @ p["inner_w"][q] + p["inner_b"][q])
-                d[np.arange(len(own)), gru.word_place[x[own]]] -= 1
-                grad["inner_w"][q], grad["inner_b"][q] = near.T @ d, d.sum(0)
-                dH[own] += d @ p["inner_w"][q].T
+            own = slice(edges[q], edges[q + 1])
+            if own.stop > own.start:
+                near = by_class[own]
+                d = _softmax(p["inner_w"][q].T @ near.T + p["inner_b"][q][:, None])
+                d[place[own], np.arange(d.shape[1])] -= 1
+                grad["inner_w"][q], grad["inner_b"][q] = (d @ near).T, d.sum(1)
+                back[own] = d.T @ p["inner_w"][q].T
+        dH[in_class] += back
         dH = dH.reshape(lanes, w, k)
         dh, gates = np.zeros_like(h), np.zeros((lanes, w, 3 * k), h.dtype)
         for i in range(w - 1, -1, -1):
@@ -336,20 +370,28 @@ class Scorer:
     def _logs(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
         p, c = self.p, self.gru.classes(x)
         closed = len(p["inner_b"])
-        out = _picked(h @ p["class_w"] + p["class_b"], c)
+        # In the order of classes, a few thousand at a time, which stay in the processor's cache.
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(closed + 1))
+        h, x, c, by_class = h[order], x[order], c[order], np.empty(len(x))
+        for at in range(0, len(x), 4096):
+            own = slice(at, at + 4096)
+            by_class[own] = _picked(p["class_w"].T @ h[own].T + p["class_b"][:, None], c[own])
+        place = self.gru.word_place[x[: edges[-1]]]
         for q in range(closed):
-            own = order[edges[q] : edges[q + 1]]
-            if len(own):
-                out[own] += _picked(h[own] @ p["inner_w"][q] + p["inner_b"][q], self.gru.word_place[x[own]])
+            own = slice(edges[q], edges[q + 1])
+            if own.stop > own.start:
+                by_class[own] += _picked(p["inner_w"][q].T @ h[own].T + p["inner_b"][q][:, None], place[own])
+        out = np.empty(len(x))
+        out[order] = by_class
         return out
 
 
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax at one place per row."""
-    top = x.max(1)
-    return (x[np.arange(len(x)), at] - top - np.log(np.exp(x - top[:, None]).sum(1))).astype(np.float64)
+    """Log softmax at one place per column; `x` is used up."""
+    x -= x.max(0)
+    found = x[at, np.arange(len(at))].astype(np.float64)
+    return found - np.log(np.exp(x, out=x).sum(0))
 
 
 def shared_counts(counts: DataFrame, shape: Shape) -> tuple[DataFrame, Counts, int]:
@@ -381,34 +423,100 @@ def shared_counts(counts: DataFrame, shape: Shape) -> tuple[DataFrame, Counts, i
     return counts, found, bar
 
 
-def learn(docs: DataFrame, found: Counts, shape: Shape) -> Gru:
-    """Fit the network on all of `docs`, each document in one round.
+def start(found: Counts, shape: Shape) -> Gru:
+    """The network before it has learned: the most frequent words have outputs of their own."""
+    top = np.lexsort((found.tokens, -found.counts))[: shape.words]
+    mass = found.mass - np.bincount(found.kinds[top], weights=found.counts[top] + 0.1, minlength=OPEN)
+    gru = begin(found.tokens[top], found.counts[top].astype(float), np.maximum(mass, 0.1), shape)
+    gru.p = {n: a.astype(np.float32) for n, a in gru.p.items()}
+    return gru
+
+
+def laid_out(docs: DataFrame, found: Counts, gru: Gru, shape: Shape) -> DataFrame:
+    """`(doc_id, text, held_out)` as numbers, written by round: what training and scoring read instead of texts.
+
+    `round` is that in which a document is learned, and the number of rounds for held-out ones. `inputs` are the
+    network's inputs, `base_part` and `open_part` the sums of the base and of open classes' inner shares over shared
+    tokens, `known` how many there are, and `rare` the other tokens.
+    """
+    base, mass = found.base(), np.log10(gru.mass)
+    offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for group in groups(lazily(batch["text"])):
+                ids, kinds, first = tokens_of(group)
+                rows = batch.slice(at, len(group))
+                at += len(group)
+                inputs = gru.inputs(ids, kinds)
+                open_ = inputs >= len(gru.vocabulary)
+                place = np.minimum(np.searchsorted(found.tokens, ids), max(len(found.tokens) - 1, 0))
+                known = found.tokens[place] == ids if len(found.tokens) else np.zeros(len(ids), bool)
+                owner = np.repeat(np.arange(len(group)), np.diff(first))
+                total = lambda pick, w: np.bincount(owner[pick], weights=w, minlength=len(group))
+                logs = np.log10(found.counts[place[known]] + 0.1) if len(found.tokens) else np.zeros(0)
+                base_part = total(known, logs) - np.diff(first) * np.log10(base)
+                open_part = total(known, logs * open_[known]) - total(open_, mass[kinds[open_]])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows["doc_id"],
+                        rows["held_out"],
+                        rows["round"],
+                        pa.array(np.bincount(owner[known], minlength=len(group))),
+                        pa.array(base_part),
+                        pa.array(open_part),
+                        pa.ListArray.from_arrays(offsets(np.bincount(owner[~known], minlength=len(group))), pa.array(ids[~known].view(np.int64))),
+                        pa.ListArray.from_arrays(offsets(np.diff(first)), pa.array(inputs.astype(np.int32))),
+                    ],
+                    names=["doc_id", "held_out", "round", "known", "base_part", "open_part", "rare", "inputs"],
+                )
+
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(sum(shape.rounds)))
+    number = F.lit(len(shape.rounds))
+    for n, upto in reversed(list(enumerate(np.cumsum(shape.rounds)))):
+        number = F.when(~F.col("held_out") & (spread < int(upto)), n).otherwise(number)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", "held_out", number.alias("round")).mapInArrow(
+        run,
+        f"doc_id {kind}, held_out boolean, round int, known bigint, base_part double, open_part double, "
+        "rare array<bigint>, inputs array<int>",
+    )
+    path = scratch_path(docs.sparkSession, "inputs")
+    rows.write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def fit(rows: DataFrame, gru: Gru, shape: Shape) -> None:
+    """Let the network learn from all rows of `laid_out` that are not held out, each in its round.
 
     In a round, each task goes on from the weights so far with its share of the
     round's documents. Weights and moments are then averaged by numbers of tokens, in
     tasks that hold a piece of them each, so the driver gets one set a round.
     """
-    top = np.lexsort((found.tokens, -found.counts))[: shape.words]
-    mass = found.mass - np.bincount(found.kinds[top], weights=found.counts[top] + 0.1, minlength=OPEN)
-    gru = begin(found.tokens[top], found.counts[top].astype(float), np.maximum(mass, 0.1), shape)
-    gru.p = {n: a.astype(np.float32) for n, a in gru.p.items()}
     whole, done = Trainer(gru, shape), 0
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(sum(shape.rounds)))
-    for share in shape.rounds:
+    for n, share in enumerate(shape.rounds):
         rate = shape.rate * min(1.0, 2 - 2 * (done + share / 2) / sum(shape.rounds))
-        some = docs.filter((spread >= done) & (spread < done + share))
-        got = _round(some, gru, shape, whole.state(), whole.t, rate)
+        got = _round(rows.filter(F.col("round") == n).select("inputs"), gru, shape, whole.state(), whole.t, rate)
         if got is not None:
             whole.put(*got)
         done += share
+
+
+def learn(docs: DataFrame, found: Counts, shape: Shape) -> Gru:
+    """A network that has learned from all of `docs`."""
+    gru = start(found, shape)
+    fit(laid_out(docs.select("doc_id", "text", F.lit(False).alias("held_out")), found, gru, shape), gru, shape)
     return gru
 
 
+#: The state is averaged in so many pieces, first within so many groups of tasks, then over the groups.
 PIECES = 32
+GROUPS_OF_TASKS = 64
 
 
-def _round(docs: DataFrame, gru: Gru, shape: Shape, state: np.ndarray, t: int, rate: float) -> tuple[np.ndarray, int] | None:
-    """The averaged state after all tokens of `docs`, and the most steps of any task; None without documents."""
+def _round(rows: DataFrame, gru: Gru, shape: Shape, state: np.ndarray, t: int, rate: float) -> tuple[np.ndarray, int] | None:
+    """The averaged state after all tokens of `rows`, and the most steps of any task; None without documents."""
     cuts = np.linspace(0, len(state), PIECES + 1).astype(int)
 
     def run(batches):
@@ -418,16 +526,14 @@ def _round(docs: DataFrame, gru: Gru, shape: Shape, state: np.ndarray, t: int, r
 
         def learned():
             starts = np.zeros(size, bool)
-            for (_, first), at in zip(held, np.cumsum([0, *[len(h[0]) for h in held]])):
-                starts[at + first[:-1]] = True
-            own.block(np.concatenate([h[0] for h in held]), starts, rate)
+            starts[np.concatenate([[0], np.cumsum(np.concatenate([sizes for _, sizes in held]))[:-1]])] = True
+            own.block(np.concatenate([flat for flat, _ in held]), starts, rate)
 
         for batch in batches:
-            for group in groups(lazily(batch["text"])):
-                ids, kinds, first = tokens_of(group)
-                held.append((gru.inputs(ids, kinds).astype(np.int32), first))
-                size += len(ids)
-                tokens += len(ids)
+            for flat, first in _inputs_of(batch, shape.block):
+                held.append((flat, np.diff(first)))
+                size += len(flat)
+                tokens += len(flat)
                 if size >= shape.block:
                     learned()
                     held, size = [], 0
@@ -437,37 +543,55 @@ def _round(docs: DataFrame, gru: Gru, shape: Shape, state: np.ndarray, t: int, r
             out = own.state()
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([TaskContext.get().partitionId() % GROUPS_OF_TASKS] * PIECES, pa.int32()),
                     pa.array(range(PIECES), pa.int32()),
                     pa.array([tokens] * PIECES, pa.int64()),
                     pa.array([own.t] * PIECES, pa.int64()),
                     pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 ],
-                names=["piece", "tokens", "t", "held"],
+                names=["group", "piece", "tokens", "t", "held"],
             )
 
     def mean(batches):
-        sums: dict[int, list] = {}
+        sums: dict[tuple[int, int], list] = {}
+        names = ("group", "piece", "tokens", "t", "held")
         for batch in batches:
-            for piece, tokens, steps, held in zip(*[lazily(batch[c]) for c in ("piece", "tokens", "t", "held")]):
-                own = sums.setdefault(piece, [0, 0, 0.0])
+            for group, piece, tokens, steps, held in zip(*[lazily(batch[c]) for c in names]):
+                own = sums.setdefault((group, piece), [0, 0, 0.0])
                 own[0] += tokens
                 own[1] = max(own[1], steps)
                 own[2] = own[2] + tokens * np.frombuffer(held, np.float32).astype(float)
         if sums:
+            # The groups are averaged as one group.
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(sums), pa.int32()),
+                    pa.array([0] * len(sums), pa.int32()),
+                    pa.array([piece for _, piece in sums], pa.int32()),
+                    pa.array([s[0] for s in sums.values()], pa.int64()),
                     pa.array([s[1] for s in sums.values()], pa.int64()),
                     pa.array([(s[2] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary()),
                 ],
-                names=["piece", "t", "held"],
+                names=list(names),
             )
 
-    each = docs.select("text").mapInArrow(run, "piece int, tokens bigint, t bigint, held binary")
-    rows = sorted(each.repartition("piece").mapInArrow(mean, "piece int, t bigint, held binary").collect())
-    if not rows:
+    schema = "group int, piece int, tokens bigint, t bigint, held binary"
+    each = rows.mapInArrow(run, schema).repartition("group", "piece").mapInArrow(mean, schema)
+    found = sorted(each.repartition("piece").mapInArrow(mean, schema).collect(), key=lambda r: r["piece"])
+    if not found:
         return None
-    return np.frombuffer(b"".join(r["held"] for r in rows), np.float32), max(r["t"] for r in rows)
+    return np.frombuffer(b"".join(r["held"] for r in found), np.float32), max(r["t"] for r in found)
+
+
+def _inputs_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs of some rows of a batch laid end to end, about `most` at a time, and where each row's begin."""
+    column = batch["inputs"]
+    first = column.offsets.to_numpy().astype(np.int64)
+    flat = column.values.to_numpy()
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + most, side="right")) - 1)
+        yield flat[first[at] : first[to]], first[at : to + 1] - first[at]
+        at = to
 
 
 def score(docs: DataFrame, shape: Shape = Shape(), parts: int = 10, part: int = 0) -> DataFrame:
@@ -479,58 +603,30 @@ def score(docs: DataFrame, shape: Shape = Shape(), parts: int = 10, part: int =
     empty one. Rows without an id count as held out.
 
     Tokens are counted over all training rows, and the network learns from all of them. Counts of frequent tokens are
-    sent to tasks; the rare tokens of each row are joined with the full counts.
+    sent to tasks; the rare tokens of each row are joined with the full counts. Texts are read twice: to count tokens,
+    and to write them as the numbers that training and scoring read.
     """
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), parts, part).alias("held_out"))
     counts, found, bar = shared_counts(count_tokens(docs.filter(~F.col("held_out"))), shape)
-    gru = learn(docs.filter(~F.col("held_out")), found, shape)
-    base, mass = found.base(), np.log10(gru.mass)
+    gru = start(found, shape)
+    rows = laid_out(docs, found, gru, shape)
+    fit(rows, gru, shape)
 
     def run(batches):
         scorer = Scorer(gru)
         for batch in batches:
             at = 0
-            held, size = [], 0
-            for group in [*groups(lazily(batch["text"])), None]:
-                if group is None or size > 4_000_000:
-                    rows = sum(len(g[1]) - 1 for g in held)
-                    if rows:
-                        yield made(scorer, held, batch.slice(at, rows))
-                    at, held, size = at + rows, [], 0
-                if group is not None:
-                    ids, kinds, first = tokens_of(group)
-                    inputs = gru.inputs(ids, kinds)
-                    open_ = inputs >= len(gru.vocabulary)
-                    place = np.minimum(np.searchsorted(found.tokens, ids), max(len(found.tokens) - 1, 0))
-                    known = found.tokens[place] == ids if len(found.tokens) else np.zeros(len(ids), bool)
-                    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                    total = lambda pick, w: np.bincount(owner[pick], weights=w, minlength=len(first) - 1)
-                    logs = np.log10(found.counts[place[known]] + 0.1) if len(found.tokens) else np.zeros(0)
-                    parts_ = (
-                        total(known, logs) - np.diff(first) * np.log10(base),  # base
-                        total(known, logs * open_[known]) - total(open_, mass[kinds[open_]]),  # open classes' inner part
-                        total(known, np.ones(known.sum())),
-                    )
-                    rare = np.flatnonzero(~known)
-                    cuts = np.searchsorted(rare, first)
-                    held.append((inputs.astype(np.int32), first, parts_, ids[rare].view(np.int64), cuts))
-                    size += len(ids)
-
-    def made(scorer, held, rows):
-        shift = np.cumsum([0, *[len(h[0]) for h in held]])
-        first = np.concatenate([[0], *[h[1][1:] + s for h, s in zip(held, shift)]])
-        inner = scorer.scores(np.concatenate([h[0] for h in held]), first) / np.log(10)
-        base_part, open_part, known = (np.concatenate([h[2][i] for h in held]) for i in range(3))
-        offsets = np.concatenate([[0], *[h[4][1:] + s for h, s in zip(held, np.cumsum([0, *[len(h[3]) for h in held]]))]])
-        rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([h[3] for h in held])))
-        return pa.RecordBatch.from_arrays(
-            [rows["doc_id"], rows["held_out"], pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(base_part),
-             pa.array(inner + open_part), rare],
-            names=["doc_id", "held_out", "n_tokens", "known", "base_part", "score_part", "rare"],
-        )
+            for flat, first in _inputs_of(batch, 4_000_000):
+                some = batch.slice(at, len(first) - 1)
+                at += len(some)
+                inner = scorer.scores(flat, first) / np.log(10) + some["open_part"].to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [some["doc_id"], some["held_out"], pa.array(np.diff(first)), some["known"], some["base_part"], pa.array(inner), some["rare"]],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base_part", "score_part", "rare"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(
+    scored = rows.drop("round").mapInArrow(
         run,
         f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base_part double, score_part double, rare array<bigint>",
     )

@@ -182,9 +182,25 @@ def step(p: dict[str, np.ndarray], gates: np.ndarray, h: np.ndarray):
     return n + z * (h - n), z, r, n, own[:, 2 * k :]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which the bias is multiplied with."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+
+
+def _with_bias(p: dict[str, np.ndarray], name: str) -> np.ndarray:
+    """Weights of an output with their bias as the last row."""
+    return np.concatenate([p[f"{name}_w"], p[f"{name}_b"][..., None, :]], -2)
+
+
+def _far(weights: np.ndarray) -> bool:
+    """Whether sums of these weights with states, none beyond 1, may be too far from 0 to take their exponents as they are."""
+    return bool(np.abs(weights).sum(-2).max(initial=0) >= 80)
+
+
+def _softmax(x: np.ndarray, far: bool) -> np.ndarray:
     """Of each column, in place: numbers of a token stand below each other, so sums and maxima go over whole rows."""
-    x -= x.max(0)
+    if far:
+        x -= x.max(0)
     np.exp(x, out=x)
     x *= 1 / x.sum(0)
     return x
@@ -267,23 +283,27 @@ class Trainer:
         x, live = xs.ravel(), real.ravel()
         c = gru.classes(x)
         grad = {name: np.zeros_like(a) for name, a in p.items()}
-        d = _softmax(p["class_w"].T @ H.T + p["class_b"][:, None])
+        H1, class_wb, inner_wb = _with_ones(H), _with_bias(p, "class"), _with_bias(p, "inner")
+        d = _softmax(class_wb.T @ H1.T, _far(class_wb))
         d[c, np.arange(len(x))] -= 1
         if not live.all():
             d[:, ~live] = 0
-        grad["class_w"], grad["class_b"] = (d @ H).T, d.sum(1)
+        both = d @ H1
+        grad["class_w"], grad["class_b"] = both[:, :k].T, both[:, k]
         dH = d.T @ p["class_w"].T
         order = np.argsort(np.where(live, c, len(p["class_b"])), kind="stable")
         edges = np.searchsorted(c[order[: live.sum()]], np.arange(closed + 1))
         in_class = order[: edges[-1]]
-        by_class, place, back = H[in_class], gru.word_place[x[in_class]], np.empty((len(in_class), k), h.dtype)
+        far = _far(inner_wb)
+        by_class, place, back = H1[in_class], gru.word_place[x[in_class]], np.empty((len(in_class), k), h.dtype)
         for q in range(closed):
             own = slice(edges[q], edges[q + 1])
             if own.stop > own.start:
                 near = by_class[own]
-                d = _softmax(p["inner_w"][q].T @ near.T + p["inner_b"][q][:, None])
+                d = _softmax(inner_wb[q].T @ near.T, far)
                 d[place[own], np.arange(d.shape[1])] -= 1
-                grad["inner_w"][q], grad["inner_b"][q] = (d @ near).T, d.sum(1)
+                both = d @ near
+                grad["inner_w"][q], grad["inner_b"][q] = both[:, :k].T, both[:, k]
                 back[own] = d.T @ p["inner_w"][q].T
         dH[in_class] += back
         dH = dH.reshape(lanes, w, k)
@@ -325,6 +345,8 @@ class Scorer:
     def __init__(self, gru: Gru):
         self.gru = gru
         self.p = {n: a.astype(np.float32) for n, a in gru.p.items()}
+        self.class_wb, self.inner_wb = _with_bias(self.p, "class"), _with_bias(self.p, "inner")
+        self.far = _far(self.class_wb), _far(self.inner_wb)
 
     def scores(self, inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Per document; for tokens of open classes this is the class's part only."""
@@ -368,28 +390,29 @@ class Scorer:
         return total
 
     def _logs(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
-        p, c = self.p, self.gru.classes(x)
-        closed = len(p["inner_b"])
+        c = self.gru.classes(x)
+        closed = len(self.inner_wb)
         # In the order of classes, a few thousand at a time, which stay in the processor's cache.
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(closed + 1))
-        h, x, c, by_class = h[order], x[order], c[order], np.empty(len(x))
+        h, x, c, by_class = _with_ones(h[order]), x[order], c[order], np.empty(len(x))
         for at in range(0, len(x), 4096):
             own = slice(at, at + 4096)
-            by_class[own] = _picked(p["class_w"].T @ h[own].T + p["class_b"][:, None], c[own])
+            by_class[own] = _picked(self.class_wb.T @ h[own].T, c[own], self.far[0])
         place = self.gru.word_place[x[: edges[-1]]]
         for q in range(closed):
             own = slice(edges[q], edges[q + 1])
             if own.stop > own.start:
-                by_class[own] += _picked(p["inner_w"][q].T @ h[own].T + p["inner_b"][q][:, None], place[own])
+                by_class[own] += _picked(self.inner_wb[q].T @ h[own].T, place[own], self.far[1])
         out = np.empty(len(x))
         out[order] = by_class
         return out
 
 
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _picked(x: np.ndarray, at: np.ndarray, far: bool) -> np.ndarray:
     """Log softmax at one place per column; `x` is used up."""
-    x -= x.max(0)
+    if far:
+        x -= x.max(0)
     found = x[at, np.arange(len(at))].astype(np.float64)
     return found - np.log(np.exp(x, out=x).sum(0))
 

@@ -253,6 +253,21 @@ def test_language_model_learns_word_order_from_every_training_row(spark):
         assert score / len(tokens) > -0.7  # shares alone: -1.4
 
 
+@pytest.mark.parametrize("size", [1.0, 300.0])
+def test_language_model_probabilities_add_up(size):
+    """Over all words and open classes, with weights of any size, and for states that have read something."""
+    shape = Shape(words=7, classes=3, hidden=4)
+    gru = languagemodel.begin(np.arange(7, dtype=np.uint64), np.arange(1, 8).astype(float), np.ones(languagemodel.OPEN), shape)
+    rng = np.random.default_rng(2)
+    for name in ("class_w", "inner_w"):
+        gru.p[name] = rng.normal(0, size, gru.p[name].shape)
+    scorer = languagemodel.Scorer(gru)
+    assert scorer.far == (size > 1, size > 1)
+    logs = scorer.scores(np.concatenate([[5, 2, x] for x in range(7 + languagemodel.OPEN)]), np.arange(8 + languagemodel.OPEN) * 3)
+    before = scorer.scores(np.array([5, 2]), np.array([0, 2]))[0]
+    assert np.isfinite(logs).all() and abs(np.exp(logs - before).sum() - 1) < 1e-3
+
+
 @pytest.mark.parametrize("tile", [512, 8])
 def test_near_classes_compare_all_of_a_bucket(spark, tile):
     rng = np.random.default_rng(6)

@@ -10,6 +10,7 @@ costs a bounded number of rows whatever its size.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,14 +77,49 @@ def _covered(df: DataFrame, grid: Column) -> DataFrame:
     )
 
 
+#: Pages of at most so many regions are one cell: all their boxes are compared.
+PAGE_REGIONS = 64
+
+
+def _with_own_grid(regions: DataFrame, *sides: DataFrame) -> list[DataFrame]:
+    """The sides with `own_grid`, the finest grid their boxes are in: the single cell where a page holds few regions."""
+    crowded = written(
+        regions.groupBy(*PAGE_KEYS).agg((F.count("*") > PAGE_REGIONS).alias("crowded")).filter("crowded")
+    )
+    # A row per page of very many regions.
+    crowded = F.broadcast(crowded) if crowded.count() <= LISTED_CELLS else crowded.hint("merge")
+    own = F.when(F.col("crowded"), _grid()).otherwise(len(GRID_POINTS)).alias("own_grid")
+    return [side.join(crowded, PAGE_KEYS, "left").select(*side.columns, own) for side in sides]
+
+
 def _grids_from_own() -> Column:
-    return F.explode(F.sequence(_grid(), F.lit(len(GRID_POINTS))))
+    return F.explode(F.sequence("own_grid", F.lit(len(GRID_POINTS))))
 
 
 #: Rows of a cell that one task takes; cells with more are split.
 CELL_ROWS = 20_000
 #: So many split cells are sent to all tasks at most; beyond, they are joined.
 LISTED_CELLS = 100_000
+#: Rows that one task of a join over cells sorts, about.
+TASK_ROWS = 500_000
+
+
+def _dealt(keys: list[str], *sides: DataFrame) -> list[DataFrame]:
+    """The sides of a join dealt by its keys, over so many tasks that each sorts some TASK_ROWS rows.
+
+    Rows of boxes compress so well that adaptive execution, which goes by compressed size, would put a
+    share of all rows into one task. Few rows are left to it.
+    """
+    rows = sum(side.count() for side in sides)
+    if rows <= TASK_ROWS:
+        return [*sides]
+    tasks = max(ceil(rows / TASK_ROWS), sides[0].sparkSession.sparkContext.defaultParallelism)
+    return [side.repartition(tasks, *keys) for side in sides]
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A sorted join: sides that are exploded, compressed or checkpointed look far smaller than they are, so none is sent whole."""
+    return left.join(right.hint("merge"), keys, how)
 
 
 def _in_occupied(rows: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -91,19 +127,20 @@ def _in_occupied(rows: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFra
 
     Gives both sides and the keys to join them on.
     """
-    cells = others.select(*CELL_KEYS).distinct()
-    rows = rows.join(cells, CELL_KEYS, "left_semi")
+    rows, others = _dealt(CELL_KEYS, rows, others)
+    rows = _joined(rows, others.select(*CELL_KEYS), CELL_KEYS, "left_semi")
     counts = rows.groupBy(*CELL_KEYS).agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS)
     split = cut_lineage(counts.select(*CELL_KEYS, F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts")))
     n_split = split.count()
     if not n_split:
         return rows, others, CELL_KEYS
-    split = F.broadcast(split) if n_split <= LISTED_CELLS else split
+    split = F.broadcast(split) if n_split <= LISTED_CELLS else split.hint("merge")
     parts = F.coalesce("parts", F.lit(1))
     own = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in CELL_KEYS]), parts).cast("int")
     copies = F.explode(F.sequence(F.lit(0), parts - 1))
-    dealt = lambda side, part: side.join(split, CELL_KEYS, "left").withColumn("part", part).drop("parts")
-    return dealt(rows, own), dealt(others, copies), [*CELL_KEYS, "part"]
+    part = lambda side, number: side.join(split, CELL_KEYS, "left").withColumn("part", number).drop("parts")
+    keys = [*CELL_KEYS, "part"]
+    return *_dealt(keys, part(rows, own), part(others, copies)), keys
 
 
 def items_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
@@ -113,19 +150,22 @@ def items_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     than its region, is looked up by its top left corner, so no pair comes twice.
     Items go only to cells that hold regions, and cells of very many items are split.
     """
+    regions = regions.filter("left <= right and top <= bottom")
+    columns = items.columns
+    items, regions = _with_own_grid(regions, items, regions)
     corner = (
         items.withColumn("grid", _grids_from_own())
         .withColumn("cx", _cell_in(F.col("left"), F.col("grid")))
         .withColumn("cy", _cell_in(F.col("top"), F.col("grid")))
     )
-    inside = _covered(regions.filter("left <= right and top <= bottom"), _grid()).select(
+    inside = _covered(regions, F.col("own_grid")).select(
         *CELL_KEYS, "region_id", *[F.col(c).alias(f"r_{c}") for c in ("left", "top", "right", "bottom")]
     )
     corner, inside, keys = _in_occupied(corner, inside)
     return (
-        corner.join(inside, keys)
+        _joined(corner, inside, keys)
         .filter("left >= r_left and right <= r_right and top >= r_top and bottom <= r_bottom")
-        .drop("grid", "cx", "cy", "r_left", "r_top", "r_right", "r_bottom", *[k for k in keys if k not in CELL_KEYS])
+        .select(*columns, "region_id")
     )
 
 
@@ -137,18 +177,17 @@ def overlapping(regions: DataFrame) -> DataFrame:
     left corner of the common area. Boxes go only to coarser cells that are the
     own ones of others, and cells of very many boxes are split.
     """
-    boxes = regions.filter("left <= right and top <= bottom").select(
-        *PAGE_KEYS, "region_id", "left", "top", "right", "bottom", _grid().alias("own_grid")
-    )
-    names = ["region_id", "left", "top", "right", "bottom", "own_grid"]
+    boxes = regions.filter("left <= right and top <= bottom").select(*PAGE_KEYS, "region_id", "left", "top", "right", "bottom", _grid().alias("size"))
+    (boxes,) = _with_own_grid(boxes, boxes)
+    names = ["region_id", "left", "top", "right", "bottom", "size"]
     hosts = _covered(boxes, F.col("own_grid")).select(*CELL_KEYS, *[F.col(c).alias(f"h_{c}") for c in names])
     guests = _covered(boxes, _grids_from_own()).select(*CELL_KEYS, *[F.col(c).alias(f"g_{c}") for c in names])
     guests, hosts, keys = _in_occupied(guests, hosts)
     corner_x, corner_y = F.greatest("h_left", "g_left"), F.greatest("h_top", "g_top")
     return (
-        hosts.join(guests, keys)
+        _joined(hosts, guests, keys)
         .filter("h_left <= g_right and g_left <= h_right and h_top <= g_bottom and g_top <= h_bottom")
-        .filter("g_own_grid < h_own_grid or g_region_id < h_region_id")
+        .filter("g_size < h_size or (g_size = h_size and g_region_id < h_region_id)")
         .filter((_cell_in(corner_x, F.col("grid")) == F.col("cx")) & (_cell_in(corner_y, F.col("grid")) == F.col("cy")))
         .select(
             *PAGE_KEYS,
@@ -263,7 +302,7 @@ def match_counts(regions: DataFrame, matches: DataFrame) -> DataFrame:
 def match_outcomes(regions: DataFrame, counts: DataFrame) -> DataFrame:
     """`(region_id, tables, outcome)`: a region wants exactly one item."""
     tables = F.coalesce("tables", F.lit(0)).cast("bigint")
-    return regions.select("region_id").join(counts, "region_id", "left").select(
+    return _joined(regions.select("region_id"), counts, ["region_id"], "left").select(
         "region_id",
         tables.alias("tables"),
         F.when(tables == 0, "no table in region")
@@ -299,11 +338,11 @@ def non_overlapping_batches(regions: DataFrame) -> DataFrame:
     settled = every.limit(0).withColumn("batch", F.lit(None).cast("bigint"))
     while True:
         earlier = (
-            pairs.join(settled.withColumnRenamed("region_id", "earlier"), "earlier", "left")
+            _joined(pairs, settled.withColumnRenamed("region_id", "earlier"), ["earlier"], "left")
             .groupBy("region_id")
             .agg(F.max(F.col("batch").isNull()).alias("waits"), F.collect_set("batch").alias("used"))
         )
-        waiting = every.join(settled, "region_id", "left_anti").join(earlier, "region_id", "left")
+        waiting = _joined(_joined(every, settled, ["region_id"], "left_anti"), earlier, ["region_id"], "left")
         upto = F.sequence(F.lit(0).cast("bigint"), F.size("used").cast("bigint"))
         free = F.coalesce(F.array_min(F.array_except(upto, F.col("used"))), F.lit(0)).cast("bigint")
         new = cut_lineage(waiting.filter(~F.coalesce("waits", F.lit(False))).select("region_id", free.alias("batch")))

@@ -193,3 +193,58 @@ def test_a_region_is_written_once(spark, monkeypatch):
     got = {r.region_id: r.batch for r in reg.non_overlapping_batches(df).collect()}
     assert len(got) == 300 and all(got[f"r{i}"] != got[f"r{i + 1}"] for i in range(299))
     assert sum(written) == 300 + 299
+
+
+def _broadcast_on(df, key):
+    """Joins of a plan that send a side whole to all tasks, on `key`."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in plan.splitlines() if "BroadcastHashJoin" in line and f"{key}#" in line]
+
+
+def test_sides_of_joins_are_not_sent_whole(spark, monkeypatch):
+    """Boxes look small to the planner before they are exploded; neither they nor pairs nor settled regions go through the driver."""
+    regions = frame(spark, boxes(5, 60, [20, 150, 900]), "region_id")
+    assert not _broadcast_on(reg.overlapping(regions), "cx")
+    assert not _broadcast_on(reg.items_in_regions(frame(spark, boxes(6, 60, [5]), "item_id"), regions), "cx")
+    seen = []
+
+    def spy(df):
+        seen.extend(_broadcast_on(df, "region_id") + _broadcast_on(df, "earlier") + _broadcast_on(df, "cx"))
+        return cut_lineage(df)
+
+    monkeypatch.setattr(reg, "cut_lineage", spy)
+    assert reg.non_overlapping_batches(regions).count() == 60 and not seen
+
+
+def test_tasks_of_joins_take_bounded_rows(spark, monkeypatch):
+    """However well rows compress, a task of a join over cells takes some TASK_ROWS, and on pages of few regions an item is one row."""
+    monkeypatch.setattr(reg, "TASK_ROWS", 500, raising=False)
+    sizes = []
+    real = reg._in_occupied
+
+    def spy(rows, others):
+        found = real(rows, others)
+        sizes.extend(r["count"] for r in found[0].groupBy(F.spark_partition_id()).count().collect())
+        return found
+
+    monkeypatch.setattr(reg, "_in_occupied", spy)
+    items = spark.range(6000).selectExpr(
+        "cast(id as int) item_id", "'d' doc", "cast(id % 300 as int) page", "'m' method", "id * 4096 % 999424 left", "id * 4096 % 999424 top",
+        "id * 4096 % 999424 + 4096 right", "id * 4096 % 999424 + 4096 bottom",
+    )
+    areas = [(i, "d", i, "m", 0, 0, 2000 * 4096, 2000 * 4096) for i in range(300)]
+    assert reg.items_in_regions(items, frame(spark, areas, "region_id")).count() == 6000
+    assert sum(sizes) == 6000 and max(sizes) <= 3 * 500
+
+
+def test_crowded_and_other_pages(spark, monkeypatch):
+    """Pages of many regions go over cells, others are one cell; the pairs are the same."""
+    areas, items = boxes(21, 90, [20, 150, 900, 30000]), boxes(22, 200, [1, 5, 60])
+    areas += [(500 + n, *areas[n][1:]) for n in range(10)]
+    for most in (0, 40, 1000):
+        monkeypatch.setattr(reg, "PAGE_REGIONS", most, raising=False)
+        got = reg.items_in_regions(frame(spark, items, "item_id"), frame(spark, areas, "region_id")).collect()
+        assert sorted((r.item_id, r.region_id) for r in got) == sorted((i[0], r[0]) for i in items for r in areas if inside(i, r))
+        right = [r for r in areas if r[4] <= r[6] and r[5] <= r[7]]
+        pairs = sorted((r.region_a, r.region_b) for r in reg.overlapping(frame(spark, areas, "region_id")).collect())
+        assert pairs == sorted((a[0], b[0]) for a in right for b in right if a[0] < b[0] and overlap(a, b))

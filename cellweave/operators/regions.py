@@ -215,34 +215,20 @@ def count_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     """`(region_id, tables, item_id)`: how many items each region holds, and the smallest of their ids (null without any).
 
     As counting the pairs of `items_in_regions` would give, without building them. Equal boxes are one row with a
-    count. Every cell of a few nested grids has the number of boxes whose top left corner it holds, their smallest
-    id and the span of their sides, apart by the size of boxes. A region goes from a few coarse cells down: a cell
-    whose span lies within it counts whole, one whose span lies beyond it not at all, and any other is divided until
-    it holds at most LEAF_BOXES boxes, which alone are compared. So work follows the borders of regions, not their area.
+    count. Cells of a few nested grids have the number of boxes whose top left corner they hold, their smallest id
+    and the span of their sides, apart by the size of boxes. Cells of more than LEAF_BOXES boxes are divided, and
+    only they, so a box is counted no further down than it has to be. A region takes a cell whose span lies within
+    it whole and one whose span lies beyond it not at all; it goes down into the others, to the boxes of undivided
+    cells, which alone are compared. So work follows the borders of regions, not their area.
     """
     sides = ("left", "top", "right", "bottom")
+    (dealt,) = _dealt([*PAGE_KEYS, *sides], items)
     boxes = written(
-        items.groupBy(*PAGE_KEYS, *sides)
+        dealt.groupBy(*PAGE_KEYS, *sides)
         .agg(F.count("*").alias("n"), F.min("item_id").alias("item_id"))
         .withColumn("kind", _grid())
     )
     top = len(LEVEL_POINTS)
-    # `grid` is the size of boxes and the level of the cell in one number.
-    entered = (
-        boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-        .withColumn("grid", F.col("kind") * 16 + F.col("level"))
-        .withColumn("cx", _level_cell(F.col("left"), F.col("level")))
-        .withColumn("cy", _level_cell(F.col("top"), F.col("level")))
-    )
-    cells = written(
-        entered.groupBy(*CELL_KEYS).agg(
-            F.sum("n").alias("n"),
-            F.count("*").alias("boxes"),
-            F.min("item_id").alias("item_id"),
-            *[F.min(c).alias(f"least_{c}") for c in sides],
-            *[F.max(c).alias(f"most_{c}") for c in sides],
-        )
-    )
     rect = [f"r_{c}" for c in sides]
     valid = regions.filter("left <= right and top <= bottom")
     side = F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top"))
@@ -251,37 +237,72 @@ def count_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     for n, points in reversed(list(enumerate(LEVEL_POINTS))):
         first = F.when(side <= int(points * POINT), n).otherwise(first)
     span = lambda lo, hi: F.sequence(_level_cell(F.col(lo), F.col("level")), _level_cell(F.col(hi), F.col("level")))
-    # A box is no larger than the region that holds it.
+    # A region starts from its first level, and above it from cells that are not divided. A box is no larger than
+    # the region that holds it. `grid` is the size of boxes and the level of the cell in one number.
     starts = written(
-        valid.withColumn("level", first)
+        valid.withColumn("first", first)
+        .withColumn("level", F.explode(F.sequence("first", F.lit(top))))
         .withColumn("cx", F.explode(span("left", "right")))
         .withColumn("cy", F.explode(span("top", "bottom")))
         .withColumn("kind", F.explode(F.sequence(F.lit(0), _grid())))
         .withColumn("grid", F.col("kind") * 16 + F.col("level"))
-        .select(*CELL_KEYS, "level", "region_id", *[F.col(c).alias(r) for c, r in zip(sides, rect)])
-    )
+        .select(
+            *CELL_KEYS, "level", (F.col("level") == F.col("first")).alias("own"), "region_id",
+            *[F.col(c).alias(r) for c, r in zip(sides, rect)],
+        )
+    )
     inside = F.expr("least_left >= r_left and most_right <= r_right and least_top >= r_top and most_bottom <= r_bottom")
     beyond = F.expr("most_left < r_left or least_right > r_right or most_top < r_top or least_bottom > r_bottom")
-    open_, settled, leaves = None, [], []
+    open_, settled, leaves, placed = None, [], [], []
     for level in range(top, -1, -1):
-        met = starts.filter(F.col("level") == level).drop("level").join(cells, CELL_KEYS)
+        here = boxes.withColumns(
+            {
+                "grid": F.col("kind") * 16 + level,
+                "cx": _level_cell(F.col("left"), F.lit(level)),
+                "cy": _level_cell(F.col("top"), F.lit(level)),
+            }
+        )
+        cells = written(
+            here.groupBy(*CELL_KEYS)
+            .agg(
+                F.sum("n").alias("n"),
+                F.count("*").alias("boxes"),
+                F.min("item_id").alias("item_id"),
+                *[F.min(c).alias(f"least_{c}") for c in sides],
+                *[F.max(c).alias(f"most_{c}") for c in sides],
+            )
+            .withColumn("divided", (F.col("boxes") > LEAF_BOXES) & F.lit(level > 0))
+            .drop("boxes")
+        )
+        begun = starts.filter(F.col("level") == level).drop("level")
+        met = _joined(*_dealt(CELL_KEYS, begun, cells), CELL_KEYS).filter("own or not divided").drop("own")
         if open_ is not None:
             parent = [F.lit(0).cast("bigint") if level + 1 == top else F.shiftright(c, 3) for c in ("cx", "cy")]
-            within = cells.filter(F.col("grid") % 16 == level).withColumns(dict(zip(("_px", "_py"), parent)))
-            divided = open_.select(
+            within = cells.withColumns(dict(zip(("_px", "_py"), parent)))
+            entered = open_.select(
                 *PAGE_KEYS, (F.col("grid") - 1).alias("grid"), F.col("cx").alias("_px"), F.col("cy").alias("_py"), "region_id", *rect
             )
-            below = divided.join(within, [*PAGE_KEYS, "grid", "_px", "_py"]).drop("_px", "_py")
-            met = met.unionByName(below)
-        state = F.when(inside, "whole").when(~beyond, F.when((F.col("boxes") <= LEAF_BOXES) | F.lit(level == 0), "leaf").otherwise("open"))
+            keys = [*PAGE_KEYS, "grid", "_px", "_py"]
+            met = met.unionByName(_joined(*_dealt(keys, entered, within), keys).drop("_px", "_py"))
+        state = F.when(inside, "whole").when(~beyond, F.when(F.col("divided"), "open").otherwise("leaf"))
         met = written(met.select(*CELL_KEYS, "region_id", *rect, "n", "item_id", state.alias("state")).filter("state is not null"))
         settled.append(met.filter("state = 'whole'").select("region_id", "n", "item_id"))
         leaves.append(met.filter("state = 'leaf'").drop("n", "item_id", "state"))
         open_ = met.filter("state = 'open'")
+        divided = cells.filter("divided").select(*CELL_KEYS, "divided")
+        n_divided = divided.count()
+        if not n_divided:
+            placed.append(here)
+            break
+        divided = F.broadcast(divided) if n_divided <= LISTED_CELLS else divided.hint("merge")
+        dealt = here if n_divided <= LISTED_CELLS else _dealt(CELL_KEYS, here)[0]
+        here = written(dealt.join(divided, CELL_KEYS, "left"))
+        placed.append(here.filter("divided is null").drop("divided"))
+        boxes = here.filter("divided").drop("divided", "grid", "cx", "cy")
     looked_at = reduce(DataFrame.unionByName, leaves)
-    corner, looked_at, keys = _in_occupied(entered.drop("kind", "level"), looked_at)
+    corner, looked_at, keys = _in_occupied(reduce(DataFrame.unionByName, placed).drop("kind"), looked_at)
     single = (
-        corner.join(looked_at, keys)
+        _joined(corner, looked_at, keys)
         .filter("left >= r_left and right <= r_right and top >= r_top and bottom <= r_bottom")
         .select("region_id", "n", "item_id")
     )
@@ -291,7 +312,7 @@ def count_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("tables"), F.min("item_id").alias("item_id"))
     )
     tables = F.coalesce("tables", F.lit(0)).cast("bigint").alias("tables")
-    return regions.select("region_id").join(counts, "region_id", "left").select("region_id", tables, "item_id")
+    return _joined(regions.select("region_id"), counts, ["region_id"], "left").select("region_id", tables, "item_id")
 
 
 def match_counts(regions: DataFrame, matches: DataFrame) -> DataFrame:

@@ -224,9 +224,9 @@ def read_portions(items: DataFrame, regions: DataFrame) -> tuple[DataFrame, Data
     portions = flatten_recognised(
         counts.filter("tables = 1")
         .select("region_id", "item_id")
-        .join(names, "region_id")
-        .join(items.select("item_id", "page", "data"), "item_id")
+        .join(names.hint("merge"), "region_id")
+        .join(items.select("item_id", "page", "data").hint("merge"), "item_id")
         .select("table_id", "part_ix", "page", "data")
     )
-    errors = counted.filter("tables <> 1").join(names, "region_id").select("table_id", F.col("outcome").alias("error"))
+    errors = counted.filter("tables <> 1").join(names.hint("merge"), "region_id").select("table_id", F.col("outcome").alias("error"))
     return portions, errors

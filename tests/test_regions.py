@@ -248,3 +248,25 @@ def test_crowded_and_other_pages(spark, monkeypatch):
         right = [r for r in areas if r[4] <= r[6] and r[5] <= r[7]]
         pairs = sorted((r.region_a, r.region_b) for r in reg.overlapping(frame(spark, areas, "region_id")).collect())
         assert pairs == sorted((a[0], b[0]) for a in right for b in right if a[0] < b[0] and overlap(a, b))
+
+
+def test_cells_are_counted_no_further_than_needed(spark, monkeypatch):
+    """On pages of few boxes only the pages are counted, and each box is looked up in one cell."""
+    rows = []
+    real = reg.written
+
+    def spy(df):
+        done = real(df)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(reg, "written", spy)
+    items = spark.range(1800).selectExpr(
+        "cast(id as int) item_id", "'d' doc", "cast(id % 60 as int) page", "'m' method", "id * 7919 % 1999999 left", "id * 104729 % 1999999 top",
+        "id * 7919 % 1999999 + 4096 right", "id * 104729 % 1999999 + 4096 bottom",
+    )
+    areas = frame(spark, [(i, "d", i, "m", 0, 0, 300 * 4096, 300 * 4096) for i in range(60)], "region_id")
+    got = {r.region_id: r.tables for r in reg.count_in_regions(items, areas).collect()}
+    want = {r.region_id: r["count"] for r in reg.items_in_regions(items, areas).groupBy("region_id").count().collect()}
+    assert got == {i: want.get(i, 0) for i in range(60)} and sum(got.values()) > 300
+    assert sum(rows) < 2 * 1800

@@ -77,11 +77,16 @@ def read_csv_body(spark: SparkSession, path: str, layout: Layout | None = None)
     return read_csv_tables(spark, path, layout).filter("row_ix > 0")
 
 
+def written_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`(value, table_id)`: the lines of tables written by `write_csv_tables`, in no order."""
+    return spark.read.schema("value string, table_id string").option("lineSep", "\n").text(path)
+
+
 def read_written_tables(
     spark: SparkSession, path: str, layout: Layout | None = None, only: str | None = None
 ) -> DataFrame:
     """Tables written by `write_csv_tables`, or `only` one of them, as portions: each part file is one."""
-    reader = spark.read.schema("value string, table_id string").option("lineSep", "\n").text(path)
+    reader = written_lines(spark, path)
     if only is not None:
         reader = reader.filter(F.col("table_id") == only)
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
